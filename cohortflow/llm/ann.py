@@ -32,7 +32,7 @@ QUERY_BLOCK = 2048
 DEGREE = 32
 ALPHA = 1.2
 BUILD_BEAM = 64
-SEARCH_BEAM = 96
+SEARCH_BEAM = 128
 SCAN_ROWS = 512
 _WIDTH = 4  # points that a step of the search expands for each query
 
@@ -181,7 +181,7 @@ def build_index(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS) -
     shards = max(1, round((facts[1] or 0) / shard_rows))
     dealt = _classes(rows, k + 1).withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
 
-    def build(key, part: pd.DataFrame) -> pd.DataFrame:
+    def build(key, part):
         part = part.iloc[np.argsort(mix(np.fromiter((x[0] for x in part["ids"]), np.int64, len(part)).view(np.uint64)))]
         x = np.stack(part["embedding"].tolist()).astype(np.float64)
         counts = np.fromiter(map(len, part["ids"]), np.int32, len(part))
