@@ -10,9 +10,9 @@ never taken from an estimate. A pair at exactly 0.8 shares no band once in 300,0
 
 Groups of copies: documents with equal sets form a class first and go on as one. Buckets are never expanded into all
 pairs. Each member of a bucket is compared with one leader; confirmed links merge components, and buckets whose members
-all lie in one component are done, for no further link could change anything. Large buckets that are not get a few
-more leaders, drawn by hash. What is left then is settled exactly: members outside the bucket's largest component are
-compared with all members of other components, with length and sketch bounds in the join itself.
+all lie in one component are done, for no further link could change anything. The leader is the most central member, whose bands
+most others share: among copies of one text that is the text itself. What is left is settled exactly by a prefix filter:
+members outside their bucket's largest component meet all others of open buckets that share one of their rarest items.
 
 Components come from alternating large-star and small-star steps on the links; labels are class keys and never leave
 the executors.
@@ -36,9 +36,6 @@ from cohortflow.llm._text import SPACE, U, kept, mix, shingle_hashes, signed, te
 BANDS = 32
 ROWS = 5
 SKETCH_BITS = 512
-#: Star rounds with drawn leaders, and the bucket size from which they are worth it.
-EXTRA_ROUNDS = 3
-LARGE_BUCKET = 16
 
 _WORDS = SKETCH_BITS // 64
 _SKETCH = [f"s{i}" for i in range(_WORDS)]
@@ -178,6 +175,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("u", "v")
 
 
+def _prefix_pairs(side: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) in different components, one of them outside its bucket's main one, that may be similar enough.
+
+    Exact prefix filter: with items in order of rarity, similar sets share an item among the first
+    n - ceil(n * percent / 100) + 1 of each, at places that leave room for the overlap they need.
+    """
+    own = side.join(sets, "cls").select("cls", "comp", "outside", F.size("items").alias("n"), F.posexplode("items").alias("p", "item")).drop("p")
+    often = own.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    # An item that no other set holds proposes nothing, but keeps its place in the order; such items come first.
+    ranked = own.join(often, "item", "left").groupBy("cls", "comp", "outside", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("order"))
+    size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    prefix = ranked.select("cls", "comp", "outside", "n", F.posexplode(F.slice("order", 1, size)).alias("at", "x")).where("x.df > 1").select("cls", "comp", "outside", "n", "at", F.col("x.item").alias("item"))
+    a, b = prefix.where("outside").alias("a"), prefix.alias("b")
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
+    room = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    once = ~F.col("b.outside") | (F.col("a.cls") < F.col("b.cls"))
+    length = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    met = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.comp") != F.col("b.comp")) & once & length & (room >= need))
+    return met.select(F.greatest("a.cls", "b.cls").alias("u"), F.least("a.cls", "b.cls").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: doc_id, tk (xxhash64 of the text), n_shingles, component_id, kept and the component's key."""
     spark: SparkSession = docs.sparkSession
@@ -187,8 +205,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     one = sig.dropDuplicates(["cls"])
 
     keyed = one.select("cls", F.explode("bands").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("lead")).where("size > 1")
-    members = kept(spark, keyed.join(crowded, "key").select("key", "cls", "size", "lead"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    found = kept(spark, keyed.join(crowded, "key").select("key", "cls", "size"))
+    # The most central member leads: the one whose bands the most others share, in a group of copies their original.
+    central = found.groupBy("cls").agg(F.sum("size").alias("weight"))
+    weighed = found.join(central, "cls")
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("l")).select("key", F.col("l.cls").alias("lead"))
+    members = kept(spark, found.join(leaders, "key"))
     candidates = members.select("cls").distinct()
     # The full sets of candidates only: their representatives' texts are found again by id and text key.
     wanted = classes.join(candidates, "cls").select(F.col("rep.doc_id").alias("_id"), F.col("rep.tk").alias("_tk")).hint("shuffle_hash")
@@ -213,28 +236,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     links = star(members.where("cls <> lead").select(F.col("cls").alias("u"), F.col("lead").alias("v")).distinct())
     labels = merged(labels, links)
 
-    def open_members(least: int) -> DataFrame:
-        """Members of buckets that still lie in more than one component."""
-        now = members.where(F.col("size") >= least).select("key", "cls").join(labels, "cls")
-        split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        return now.join(split, "key")
-
-    for turn in range(EXTRA_ROUNDS):
-        now = kept(spark, open_members(LARGE_BUCKET))
-        if now.isEmpty():
-            break
-        lead = now.groupBy("key").agg(F.min_by(F.struct("cls", "comp"), F.xxhash64("cls", F.lit(turn))).alias("l"))
-        pairs = now.join(lead, "key").where(F.col("comp") != F.col("l.comp"))
-        labels = merged(labels, star(pairs.select(F.greatest("cls", "l.cls").alias("u"), F.least("cls", "l.cls").alias("v")).distinct()))
-
-    now = kept(spark, open_members(3))
+    # Buckets of three and more whose members still lie in several components: all that is left to compare.
+    now = members.where("size > 2").select("key", "cls").join(labels, "cls")
+    split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    now = kept(spark, now.join(split, "key"))
     if not now.isEmpty():
         shares = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-        all_of = kept(spark, now.join(shares, "key").join(sketches, "cls"))
-        a, b = all_of.where("comp <> main").alias("a"), all_of.alias("b")
-        rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.cls") < F.col("b.cls"))) & _plausible(percent))
-        pairs = rest.select(F.greatest("a.cls", "b.cls").alias("u"), F.least("a.cls", "b.cls").alias("v")).distinct()
-        labels = merged(labels, kept(spark, _confirmed(kept(spark, pairs), sets, percent)))
+        side = now.join(shares, "key").groupBy("cls", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("outside"))
+        pairs = _prefix_pairs(side, sets, percent)
+        labels = merged(labels, star(pairs))
 
     named = classes.join(labels, "cls", "left").select("cls", "smallest", F.coalesce("comp", "cls").alias("component"))
     names = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
