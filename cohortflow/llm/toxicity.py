@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cohortflow.llm._text import FOLD, NON_ALNUM, U, _powers, _values, mix, text_chunks, words
 
 SAMPLE_DOCS = 8000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 20 << 20
 PREFIXES = (4, 5, 6, 7, 8)
 TABLE_BITS = 20
 BLOCK = 128
@@ -179,40 +179,47 @@ def fit(rows: list[tuple[str, int]]) -> dict:
     labels = np.array([y for _, y in rows], np.int64)
     if not len(rows) or labels.min() == labels.max():
         return {"empty": True}
-    feats, counts = [], []
-    for _, _, data, offsets in text_chunks(pa.array([t for t, _ in rows], pa.string())):
-        _, s, e, n = words(data, offsets, NON_ALNUM)
-        feats.append(features(data, s, e))
-        counts.append(n)
-    feats, counts = np.concatenate(feats, axis=1), np.concatenate(counts)
     size = 1 << TABLE_BITS
-    text = np.repeat(np.arange(len(counts)), counts)
     in_toxic, in_clean = np.zeros(size), np.zeros(size)
-    for row in feats:
-        ok = row >= 0
-        pair = np.unique(text[ok] * size + row[ok])
-        own = labels[pair // size]
-        in_toxic += np.bincount(pair[own == 1] % size, minlength=size)
-        in_clean += np.bincount(pair[own == 0] % size, minlength=size)
+    parts = []  # (features, labels of texts, chains) of each chunk: all that grows with the sample
+    for first, last, data, offsets in text_chunks(pa.array([t for t, _ in rows], pa.string())):
+        _, s, e, counts = words(data, offsets, NON_ALNUM)
+        feats, own = features(data, s, e), labels[first:last]
+        text = np.repeat(np.arange(len(counts)), counts)
+        for row in feats:
+            ok = row >= 0
+            pair = np.unique(text[ok] * size + row[ok])
+            toxic = own[pair // size] == 1
+            in_toxic += np.bincount(pair[toxic] % size, minlength=size)
+            in_clean += np.bincount(pair[~toxic] % size, minlength=size)
+        parts.append((feats, counts, own))
     n_t, n_c = int(labels.sum()), int((1 - labels).sum())
     # Purity on equal footing: as if both classes had as many documents.
     purity = (in_toxic / n_t) / np.maximum(in_toxic / n_t + in_clean / n_c, 1e-12)
     sign = np.append((_ratio(in_toxic, in_clean, n_t, n_c) >= SIGN_RATIO) & (purity >= 0.5 + SIGN_PURITY / 2) & (in_toxic > 2 * in_clean), False)
-    y = (labels[text] == 1) & sign[feats].any(axis=0)
-    chains = Chains(counts)
-    prior = np.zeros_like(y)
-    prior[1:] = y[:-1]
-    prior[(np.cumsum(counts) - counts)[counts > 0]] = False
-    seen = np.array([[(~prior & ~y).sum(), (~prior & y).sum()], [(prior & ~y).sum(), (prior & y).sum()]], float)
+    seen = np.zeros((2, 2))
+    chunks = []
+    for feats, counts, own in parts:
+        y = np.repeat(own == 1, counts) & sign[feats].any(axis=0)
+        prior = np.zeros_like(y)
+        prior[1:] = y[:-1]
+        prior[(np.cumsum(counts) - counts)[counts > 0]] = False
+        seen += np.array([[(~prior & ~y).sum(), (~prior & y).sum()], [(prior & ~y).sum(), (prior & y).sum()]], float)
+        chunks.append((feats, y, Chains(counts), counts))
+    del parts
     move = np.log((seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True))
     weight, bias = np.zeros(size + 1), 0.0
     square_w, square_b, square_m = np.full(size + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(EPOCHS):
-        p, moves = chains.marginals(emissions(weight, bias, feats), move, True)
-        gap = y - p
-        grad = np.zeros(size + 1)
-        for row in feats:
-            grad += np.bincount(np.where(row < 0, size, row), weights=gap, minlength=size + 1)
+        grad, gap_all, moves = np.zeros(size + 1), 0.0, np.zeros((2, 2))
+        for feats, y, chains, _ in chunks:
+            p, own_moves = chains.marginals(emissions(weight, bias, feats), move, True)
+            gap = y - p
+            far = np.flatnonzero(np.abs(gap) > 1e-7)  # the others' share of the gradient is nothing
+            for row in feats[:, far]:
+                grad += np.bincount(np.where(row < 0, size, row), weights=gap[far], minlength=size + 1)
+            gap_all += gap.sum()
+            moves += own_moves
         grad -= 0.05 * weight
         grad[size] = 0
         square_w += grad * grad
@@ -221,10 +228,10 @@ def fit(rows: list[tuple[str, int]]) -> dict:
         step = seen - moves - 0.05 * move
         square_m += step * step
         move = move + 0.2 * step / np.sqrt(square_m)
-        square_b += gap.sum() ** 2
-        bias += 0.2 * gap.sum() / np.sqrt(square_b)
-    p, _ = chains.marginals(emissions(weight, bias, feats), move)
-    final = _logistic(_aggregates(p, counts), labels.astype(float))
+        square_b += gap_all**2
+        bias += 0.2 * gap_all / np.sqrt(square_b)
+    x = [_aggregates(chains.marginals(emissions(weight, bias, feats), move)[0], counts) for feats, _, chains, counts in chunks]
+    final = _logistic(np.concatenate(x), labels.astype(float))
     used = np.flatnonzero(np.abs(weight) > 1e-3)
     return {"used": used.astype(np.int32), "weight": weight[used], "bias": bias, "move": move, "final": final}
 
