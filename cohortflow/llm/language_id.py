@@ -110,19 +110,21 @@ class CrossParser:
         offset = 0
         for k in self.langs:
             follow = suffix_automaton(self.symbol[texts[k]].tolist())
-            table = np.empty((len(follow), n_symbols), np.int32)
-            first = np.zeros(n_symbols, np.int32)
+            n = len(follow)  # the state of a symbol that the sample lacks: a phrase by itself
+            table = np.empty((n + 1, n_symbols), np.int32)
+            first = np.full(n_symbols, n, np.int32)
             for c, to in follow[0].items():
                 first[c] = to
             table[:] = 2 * (first + offset) + 1
-            state = np.repeat(np.arange(len(follow)), [len(f) for f in follow])
+            table[0] -= 1  # the start state only begins the first phrase
+            state = np.repeat(np.arange(n), [len(f) for f in follow])
             symbol = np.fromiter((c for f in follow for c in f), np.int64, len(state))
             to = np.fromiter((t for f in follow for t in f.values()), np.int64, len(state))
             table[state, symbol] = 2 * (to + offset)
             rows.append(table)
             start.append(offset)
             self.bits.append(float(np.log2(max(2, len(texts[k])))))
-            offset += len(follow)
+            offset += n + 1
         self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int32)
         self.start = np.array(start, np.int32)
         self.n_symbols = n_symbols
