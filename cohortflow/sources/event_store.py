@@ -83,9 +83,13 @@ def flatten_turns(records: DataFrame) -> DataFrame:
     return t.select("run_id", F.col("t.turn_number").alias("turn_number"), F.col("t.user_message").alias("user_message"), F.coalesce("t.result.text", F.lit("")).alias("response_text"))
 
 
+def _by_turn(a: Column, b: Column) -> Column:
+    return F.when(a["turn_number"] < b["turn_number"], -1).when(a["turn_number"] > b["turn_number"], 1).otherwise(0)
+
+
 def assemble(headers: DataFrame, turns: DataFrame) -> DataFrame:
     """Headers with their turns as an ordered array: the full record for export. A run's turns are few by design."""
-    nested = turns.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("turn_number", "event_id", "user_message", "result"))).alias("turns"))
+    nested = turns.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("turn_number", "event_id", "user_message", "result")), _by_turn).alias("turns"))
     return headers.join(nested, "run_id", "left")
 
 
