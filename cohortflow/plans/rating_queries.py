@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortflow.functions import ratings as R
-from cohortflow.operators import agreement, inference, matched, summary, trajectory
+from cohortflow.functions import validation
+from cohortflow.operators import agreement, displays, inference, integrity, matched, summary, trajectory
 from cohortflow.plans.fixtures import LOG, RATERS, SCORED, TURNS, annotation_log, rater_items, turn_ratings
 
 SOURCES = ("human", "judge_1", "judge_2", "judge_3")
@@ -337,3 +338,45 @@ def majority_vote(spark, sf_dir):
 def reliability_report(spark, sf_dir):
     r = rater_items(spark, sf_dir)
     return agreement.reliability(r.where("source = 'judge_1'"), r.where("source = 'judge_2'"), ("item_id",))
+
+
+# --- displays and rules ----------------------------------------------------------------------------------------------
+
+
+@query(f"""{_SUMMARY_SQL} SELECT count(*) AS n, CAST(sum(CAST(is_complete AS INT)) AS BIGINT) AS complete, CAST(sum(CAST(coalesce(any_A1_2, false) AS INT)) AS BIGINT) AS with_event, avg(completeness_rate) AS mean_completeness FROM summary""")
+def headline_metrics(spark, sf_dir):
+    return displays.headline(_summaries(spark, sf_dir))
+
+
+@query(f"""{_CONV}, m AS (SELECT script_id, context_condition, repetition, avg(mean_B1) FILTER (WHERE model_slot = 'model_0') AS a, avg(mean_B1) FILTER (WHERE model_slot = 'model_1') AS b FROM conversations_x GROUP BY ALL)
+SELECT 'First model → Model 1' AS comparison, 'mean_B1' AS outcome, count(b - a) AS n_pairs, printf('%+.3f', avg(b - a)) AS difference, CASE WHEN avg(b - a) > 0 THEN 'up' WHEN avg(b - a) < 0 THEN 'down' ELSE 'none' END AS direction FROM m""")
+def comparison_display(spark, sf_dir):
+    c = matched.matched_comparisons(_conversations(spark, sf_dir), ("mean_B1",), {"model_slot": MODEL_KEYS})
+    return displays.comparison_display(c, {"model_0": "First model"})
+
+
+@query(f"{_family_sql(*_RQ1)} SELECT 'presentation' AS family, comparison, outcome, rank_biserial FROM tested WHERE abs(z) > 1 UNION ALL SELECT 'model', comparison, outcome, rank_biserial FROM ({_family_sql(*_RQ2)} SELECT * FROM tested) WHERE abs(z) > 1")
+def significant_rows(spark, sf_dir):
+    """Rows marked in two families (by the size of z, which SQL can follow)."""
+    mark = lambda f: f.withColumn("significant_0_05", F.when(F.abs("z") > 1, "True").otherwise("False"))
+    both = displays.union_families({"presentation": mark(_statistics(_RQ1)(spark, sf_dir)), "model": mark(_statistics(_RQ2)(spark, sf_dir)).drop("median_difference")})
+    return displays.significant(both).select("family", "comparison", "outcome", "rank_biserial")
+
+
+@query(f"""WITH {TURNS} SELECT unnest([{", ".join(f"'{a}_in_domain'" for a in R.ALL_AXES)}]) AS rule, unnest([count(*) FILTER (WHERE A1 NOT IN ('0', '1', '2')), CAST(0 AS BIGINT), count(*) FILTER (WHERE A3 NOT IN ('0', '1', 'N/A')), 0, 0, 0, 0]) AS violations FROM turns""")
+def rating_rules(spark, sf_dir):
+    return integrity.expectations(turn_ratings(spark, sf_dir), validation.rating_rules())
+
+
+@query("""SELECT user_id AS job, CASE WHEN user_id % 13 = 0 THEN 'BLOCKED' WHEN count(*) >= 220 THEN 'COMPLETE' WHEN user_id % 5 = 0 THEN 'RUNNING' WHEN count(*) FILTER (WHERE event_type = 'error') >= 45 THEN 'BLOCKED' ELSE 'RESUMABLE' END AS status, count(*) / 220 AS progress FROM events GROUP BY user_id""")
+def job_statuses(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    jobs = e.groupBy(F.col("user_id").alias("job")).agg(F.count("*").alias("done"), (F.lit(45) - F.count(F.when(F.col("event_type") == "error", 1))).alias("attempts_left"))
+    jobs = jobs.withColumns({"blocked": F.col("job") % 13 == 0, "running": F.col("job") % 5 == 0, "planned": F.lit(220)})
+    return displays.job_status(jobs).select("job", "status", "progress")
+
+
+@query("SELECT 'native_2048' AS next_condition")
+def adaptive_condition(spark, sf_dir):
+    o = spark.createDataFrame([("native_1024", "length", 1024)], "condition string, finish string, tokens int")
+    return displays.next_condition(o, ("native_1024", "native_2048", "native_4096"), 2048)
