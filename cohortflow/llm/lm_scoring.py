@@ -43,8 +43,8 @@ K = 5
 BIG = 0.01
 HOT = 40_000
 #: Tokens of a bucket, text bytes and texts of a block.
-BUCKET_TOKENS = 6_000_000
-BLOCK_BYTES, BLOCK_TEXTS = 12 << 20, 60_000
+BUCKET_TOKENS = 3_000_000
+BLOCK_BYTES, BLOCK_TEXTS = 8 << 20, 60_000
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 _NOT_HOT = 65535
 
@@ -288,6 +288,10 @@ def _count_bucket(shared, part: int, rows: list):
     known_w, known_c = known_w[order], known_c[order]
     two, one = np.concatenate([x[2] for x in blocks]), np.concatenate([x[3] for x in blocks])
     own = np.concatenate([np.add.reduceat(x[6][x[5]].astype(np.int64), np.cumsum(x[4]) - x[4]) for x in blocks])
+    # From here on a block's words are slices of the whole: one copy of everything.
+    bounds = np.cumsum([0, *(len(x[2]) for x in blocks)]).tolist()
+    blocks = [(x[0], x[1], x[4], x[5]) for x in blocks]
+    rows.clear()
     key = mix(one * U(0x9FB21C651E98DF25) + two)
     order = np.argsort(key)
     key = key[order]
@@ -297,6 +301,7 @@ def _count_bucket(shared, part: int, rows: list):
     total = np.add.reduceat(own[order], at)
     count = np.empty(len(key), np.int64)
     count[order] = np.repeat(total, np.diff(np.append(at, len(key))))
+    del key, own, new
     # The second word's own count: sent along, or known to all.
     code, _ = words_.code(two)
     hot = code != _NOT_HOT
@@ -327,10 +332,8 @@ def _count_bucket(shared, part: int, rows: list):
     p2 = np.log10(words_.probability(c2)) if words_.total else np.zeros(len(c2))
     base = np.log10((c2 + 0.1) / (words_.total + 0.1 * (words_.distinct + 1))) if words_.total else np.zeros(len(c2))
     value = np.where(count > K, np.log10(np.maximum(count - BIG, BIG)), 0.0) + np.where(count == 0, p2, 0.0) - np.where((two != END) & (c2 > 0), np.log10(np.maximum(c2, 1)), 0.0)
-    at = 0
-    for block, n_texts, w2, w1, runs, text, _ in blocks:
-        rows_ = np.repeat(np.arange(at, at + len(w2)), runs)
-        at += len(w2)
+    for (block, n_texts, runs, text), a, b in zip(blocks, bounds[:-1], bounds[1:], strict=True):
+        rows_ = np.repeat(np.arange(a, b), runs)
         has = np.flatnonzero(np.bincount(text, minlength=n_texts))
         add = lambda x: np.bincount(text, weights=x, minlength=n_texts)[has]
         small = count[rows_]
@@ -339,7 +342,7 @@ def _count_bucket(shared, part: int, rows: list):
         yield _row(part, _SUMS, block, has.astype(np.uint16), add(base[rows_]), add(value[rows_]), by_count.astype(np.uint32))
         lost = np.flatnonzero(small == 0)
         if len(lost):
-            code1, rare1 = words_.code(w1[rows_[lost] - (at - len(w2))])
+            code1, rare1 = words_.code(one[rows_[lost]])
             yield _row(part, _UNSEEN, block, np.array([len(code1)], np.uint32), code1, rare1, text[lost])
 
 
