@@ -25,12 +25,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortflow.llm._text import span_hashes, text_chunks
 
-#: Pre-tokens that a worker remembers: about 70 MB.
-CACHE_ENTRIES = 300_000
+#: Pre-tokens that a worker remembers: about 50 MB.
+CACHE_ENTRIES = 200_000
+#: Bytes of text whose different pre-tokens share a queue.
+PART_BYTES = 6 << 20
 #: From so many pre-tokens on, one queue serves all of them.
 SHARED_QUEUE = 64
 _GROUP = 9  # ranks of one word of the lower bitmap: 2^9
@@ -296,8 +297,19 @@ class Vocabulary:
 
     def encode(self, column):
         """Yields (first text, text after the last, their ids in a row, number of ids of each) over a text column."""
+        part, size = [], 0
+        for chunk in text_chunks(column):
+            part.append(chunk)
+            size += len(chunk[2])
+            if size >= PART_BYTES:
+                yield from self._encode(part)
+                part, size = [], 0
+        if part:
+            yield from self._encode(part)
+
+    def _encode(self, part):
         chunks, wanted = [], {}
-        for first, last, data, offsets in text_chunks(column):
+        for first, last, data, offsets in part:
             starts, counts = pretoken_starts(data, offsets, self.classes)
             ends = np.append(starts[1:], len(data))
             codes, uniques = pd.factorize(span_hashes(data, starts, ends).view(np.int64))
@@ -342,22 +354,38 @@ def vocabulary(path: str) -> Vocabulary:
     return _open[path]
 
 
+def _encoded(batches, path: str, names: list[str]):
+    """Batches with ids, a batch for each chunk of texts."""
+    v = vocabulary(path)
+    for batch in batches:
+        for first, last, ids, counts in v.encode(batch.column("text")):
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.view(np.int32)))
+            rows = batch.select(names).slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([*rows.columns, lists], [*names, "ids"])
+
+
+def _decoded(batches, path: str):
+    """For each batch with ids: the batch and the bytes that each row's ids stand for, one after the other."""
+    v = vocabulary(path)
+    for batch in batches:
+        yield batch, ((values, v.decode(values.astype(np.int64))) for values in _lists(batch.column("ids")))
+
+
+def _lists(column):
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield values[a:b]
+
+
 def encode(docs: DataFrame, path: str, drop_text: bool = False) -> DataFrame:
     """`docs` with ids (array<int>) of each text; without the text itself if drop_text."""
     docs = docs.drop("ids")
     out = docs.drop("text") if drop_text else docs
     names = out.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-
-    def run(batches):
-        v = vocabulary(path)
-        for batch in batches:
-            for first, last, ids, counts in v.encode(batch.column("text")):
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.view(np.int32)))
-                rows = batch.select(names).slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*rows.columns, lists], [*names, "ids"])
-
-    return docs.mapInArrow(run, f"{schema}, ids array<int>" if names else "ids array<int>")
+    return docs.mapInArrow(lambda batches: _encoded(batches, path, names), f"{schema}, ids array<int>" if names else "ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -366,41 +394,29 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches):
-        v = vocabulary(path)
-        for batch in batches:
-            texts = [v.decode(_ids(x)).decode("utf-8", "replace") for x in _lists(batch.column("ids"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        for batch, rows in _decoded(batches, path):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.decode("utf-8", "replace") for _, t in rows], pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{schema}, decoded string")
 
 
-def _lists(column):
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        yield values[a:b]
-
-
-def _ids(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.int64)
-
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of what they decode to.
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of what they decode to."""
+    The same steps as encode and decode, chained within a task, so that the ids need no way through the JVM.
+    """
 
     def run(batches):
-        v = vocabulary(path)
-        for batch in batches:
+        for batch, rows in _decoded(_encoded(batches, path, ["doc_id"]), path):
             n, ids_hash, text_hash = [], [], []
-            for values in _lists(batch.column("ids")):
+            for values, text in rows:
                 n.append(len(values))
                 ids_hash.append(hashlib.sha256(values.astype("<u4").tobytes()).hexdigest())
-                text_hash.append(hashlib.sha256(v.decode(_ids(values))).hexdigest())
+                text_hash.append(hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_path() -> str:
@@ -411,12 +427,12 @@ def default_path() -> str:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(encode(docs, default_path(), drop_text=True), default_path())
+    return digests(docs, default_path())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the kept documents as ids, checked by decoding them again."""
-    return digests(encode(docs.select("doc_id", "text"), default_path(), drop_text=True), default_path())
+    return digests(docs, default_path())
 
 
 QUERIES = {"op5_byte_bpe": op5_byte_bpe}
