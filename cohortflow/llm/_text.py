@@ -7,6 +7,9 @@ counts as an empty one everywhere.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -102,6 +105,14 @@ def text_chunks(column, limit: int = CHUNK_BYTES):
         last = min(last, n)
         yield row, last, data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
         row = last
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as workers live on between stages; only where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
