@@ -33,7 +33,7 @@ SAMPLE_BYTES = 20 << 20
 PREFIXES = (4, 5, 6, 7, 8)
 TABLE_BITS = 20
 BLOCK = 128
-EPOCHS = 12
+EPOCHS = 25
 #: A sign's least log-likelihood ratio and purity.
 SIGN_RATIO, SIGN_PURITY = 24.0, 0.75
 
