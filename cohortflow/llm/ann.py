@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by largest inner product on robust-pruned directed graphs, one for each shard.
 
-Vectors get one more component that makes all lengths equal (the largest one), so the largest inner product is the
-nearest neighbour. A shard's graph grows in batches that double: each point of a batch is looked up by a greedy beam
+Vectors are dealt to shards by length class (a factor of 4) and hash, and get one more component that makes all lengths of
+a shard equal (its own largest one), so the largest inner product is the nearest neighbour however much longer vectors of
+other shards are. A shard's graph grows in batches that double: each point of a batch is looked up by a greedy beam
 search on the graph so far, and of all points met the relaxed rule keeps as neighbours the nearest one, then the nearest
 of those that are not ALPHA times closer to a kept one than to the point, and so on, DEGREE at most. Edges back are added
 and pruned by the same rule. An index is a table of one row per shard: vectors, edges, ids.
 
 A search sends blocks of queries to all shards; each block is answered with a beam search on the shard's graph, numpy
-stepping through all queries of the block at once. Shards of a few hundred rows are scanned. Scores are inner products
-of the original vectors in double precision; the shards' lists are merged by score, ties to the smaller vec_id.
+stepping through all queries of the block at once. Shards of a few hundred rows are scanned. All is computed in
+double precision. Scores are inner products of the original vectors; the shards' lists are merged by score, ties to the smaller vec_id.
 
 Equal vectors are one point of the graph that carries its 21 smallest ids: more can't be among a query's 20 nearest, as
 ties go to the smaller id. Nothing else is left out; every vector is indexed.
@@ -48,7 +49,7 @@ def beam_search(points: np.ndarray, edges: np.ndarray, n: int, queries: np.ndarr
     seen[:, n:] = True
     seen[:, entries] = True
     ids = np.full((b, beam), n, np.int64)
-    near = np.full((b, beam), -np.inf, np.float32)
+    near = np.full((b, beam), -np.inf)
     m = min(len(entries), beam)
     ids[:, :m] = entries[:m]
     near[:, :m] = queries @ points[entries[:m]].T
@@ -93,10 +94,13 @@ def beam_search(points: np.ndarray, edges: np.ndarray, n: int, queries: np.ndarr
 
 
 def robust_prune(points: np.ndarray, at: np.ndarray, candidates: np.ndarray, none: int) -> np.ndarray:
-    """DEGREE diverse neighbours for each point in `at` of its row of candidates; `none` fills up."""
-    own = points[at]
-    cand = points[np.minimum(candidates, len(points) - 1)]
-    far = np.maximum(2 - 2 * np.einsum("bcd,bd->bc", cand, own), 0)
+    """DEGREE diverse neighbours for each point in `at` of its row of candidates; `none` fills up.
+
+    Distances are those of differences to the own point, so they hold among points that are close together, too.
+    """
+    cand = points[np.minimum(candidates, len(points) - 1)] - points[at][:, None]
+    square = np.einsum("bcd,bcd->bc", cand, cand)
+    far = square.copy()
     far[(candidates >= none) | (candidates == at[:, None])] = np.inf
     out = np.full((len(at), DEGREE), none, np.int64)
     rows = np.arange(len(at))
@@ -107,8 +111,8 @@ def robust_prune(points: np.ndarray, at: np.ndarray, candidates: np.ndarray, non
             break
         out[ok, k] = candidates[rows[ok], best[ok]]
         star = cand[rows, best]
-        between = np.maximum(2 - 2 * np.einsum("bcd,bd->bc", cand, star), 0)
-        far[(ALPHA * ALPHA * between <= far) | (between <= 1e-12)] = np.inf
+        between = square + square[rows, best][:, None] - 2 * np.einsum("bcd,bd->bc", cand, star)
+        far[ALPHA * ALPHA * between <= far] = np.inf
         far[rows, best] = np.inf
     return out
 
@@ -154,7 +158,7 @@ def _evened(vectors: np.ndarray, longest: float) -> np.ndarray:
     """Vectors over the longest one's length, with the component that makes every length 1."""
     x = vectors / longest
     rest = np.sqrt(np.maximum(1 - np.einsum("nd,nd->n", x, x), 0))
-    return np.concatenate([x, rest[:, None]], axis=1).astype(np.float32)
+    return np.concatenate([x, rest[:, None]], axis=1)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -168,27 +172,32 @@ def usable(vectors: DataFrame) -> DataFrame:
 def _classes(rows: DataFrame, ids: int) -> DataFrame:
     """Distinct vectors with their smallest ids."""
     order = Window.partitionBy("embedding").orderBy("vec_id")
-    few = rows.select("vec_id", "embedding").withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= ids)
-    return few.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    few = rows.select("vec_id", "embedding", "dim", "class").withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= ids)
+    return few.groupBy("embedding", "dim", "class").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
 def build_index(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """A row per shard: (shard, dim, n, ids, vectors, edges); vectors are the original ones, as doubles."""
+    """A row per shard: (shard, class, dim, n, longest, ids, vectors, edges); vectors are the original ones, as doubles.
+
+    The lengths of a class are within a factor of 4; the median length is in the middle of its class.
+    """
     spark = vectors.sparkSession
     rows = kept(spark, usable(vectors))
-    facts = rows.agg(F.max("square"), F.approx_count_distinct(F.xxhash64("embedding"))).first()
-    longest = float(np.sqrt(facts[0] or 1.0))
-    shards = max(1, round((facts[1] or 0) / shard_rows))
-    dealt = _classes(rows, k + 1).withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
+    middle = rows.agg(F.percentile_approx("square", 0.5)).first()[0] or 1.0
+    placed = rows.withColumn("dim", F.size("embedding")).withColumn("class", F.floor((F.log2("square") - float(np.log2(middle)) + 2) / 4).cast("int"))
+    # A row for each dimension and length class.
+    sizes = placed.groupBy("dim", "class").agg(F.greatest(F.lit(1), F.round(F.approx_count_distinct(F.xxhash64("embedding")) / shard_rows).cast("int")).alias("shards"))
+    dealt = _classes(placed, k + 1).join(F.broadcast(sizes), ["dim", "class"]).withColumn("shard", F.pmod(F.xxhash64("embedding"), "shards").cast("int"))
 
     def build(key, part):
         part = part.iloc[np.argsort(mix(np.fromiter((x[0] for x in part["ids"]), np.int64, len(part)).view(np.uint64)))]
         x = np.stack(part["embedding"].tolist()).astype(np.float64)
         counts = np.fromiter(map(len, part["ids"]), np.int32, len(part))
+        longest = float(np.sqrt(np.einsum("nd,nd->n", x, x).max()))
         edges = build_graph(_evened(x, longest)).astype(np.int32) if len(x) > SCAN_ROWS else np.zeros(0, np.int32)
-        return pd.DataFrame({"shard": [key[0]], "dim": [key[1]], "n": [len(x)], "longest": [longest], "counts": [counts.tobytes()], "ids": [np.concatenate(part["ids"].tolist()).astype(np.int64).tobytes()], "vectors": [x.tobytes()], "edges": [edges.tobytes()]})
+        return pd.DataFrame({"shard": [key[0]], "class": [key[1]], "dim": [key[2]], "n": [len(x)], "longest": [longest], "counts": [counts.tobytes()], "ids": [np.concatenate(part["ids"].tolist()).astype(np.int64).tobytes()], "vectors": [x.tobytes()], "edges": [edges.tobytes()]})
 
-    return kept(spark, dealt.groupBy("shard", "dim").applyInPandas(build, "shard int, dim int, n int, longest double, counts binary, ids binary, vectors binary, edges binary"))
+    return kept(spark, dealt.groupBy("shard", "class", "dim").applyInPandas(build, "shard int, class int, dim int, n int, longest double, counts binary, ids binary, vectors binary, edges binary"))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
@@ -214,7 +223,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH
                 if len(row.edges):
                     points = _evened(x, row.longest)
                     edges = np.frombuffer(row.edges, np.int32).astype(np.int64).reshape(row.n + 1, DEGREE)
-                    flat = np.concatenate([q / row.longest, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+                    flat = np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))], axis=1)
                     met = np.concatenate([beam_search(points, edges, row.n, flat[a : a + 256], max(beam, k + 1), _entries(row.n))[0] for a in range(0, len(q), 256)])
                 else:
                     met = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, : max(beam, k + 1)]
@@ -228,7 +237,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH
                     out["found"].append([{"vec_id": int(v), "score": float(s)} for v, s in zip(all_ids[best], all_close[best], strict=True)])
                 yield pd.DataFrame(out)
 
-    hits = sent.repartition("shard", "block").mapInPandas(answer, "qkey long, qhash long, found array<struct<vec_id: long, score: double>>")
+    hits = sent.repartition("shard", "class", "block").mapInPandas(answer, "qkey long, qhash long, found array<struct<vec_id: long, score: double>>")
     one = hits.select("qkey", "qhash", F.explode("found").alias("f"))
     order = Window.partitionBy("qkey", "qhash").orderBy(F.col("f.score").desc(), "f.vec_id")
     best = one.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)

@@ -236,6 +236,38 @@ def test_ann_ties_and_recall(spark, tiny):
     assert equal == list(range(1001, 1001 + len(equal))) and len(equal) > 10
 
 
+@pytest.mark.parametrize("ratio", (1, 10_000))
+def test_ann_one_much_longer_vector(spark, tmp_path, ratio):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= ratio
+    x = x.astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = defaultdict(set)
+    for r in ann.op9_ann(spark, str(tmp_path)).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    exact = x.astype(np.float64) @ x[::20].astype(np.float64).T
+    hits = 0
+    for i in range(100):
+        best = [v for v in np.argsort(-exact[:, i]).tolist() if v != 20 * i][:20]
+        hits += len(set(best) & found[20 * i])
+    assert hits / 2000 >= 0.95
+
+
+def test_ann_prunes_close_points_by_their_distances():
+    """Points closer than float32 tells apart get the edges of the rule by exact distances."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([1 + 1e-5 * rng.normal(size=(200, 8)), np.ones((1, 8))])
+    points = ann._evened(x, float(np.linalg.norm(x, axis=1).max()))
+    edges = ann.robust_prune(points, np.array([200]), np.arange(200)[None], 201)
+    open_, rule, far = list(range(200)), [], lambda i, j: math.dist(points[i], points[j])
+    while open_ and len(rule) < ann.DEGREE:
+        rule.append(min(open_, key=lambda i: far(i, 200)))
+        open_ = [i for i in open_ if ann.ALPHA * far(i, rule[-1]) > far(i, 200)]
+    assert [e for e in edges[0].tolist() if e < 201] == rule and len(rule) > 1
+
+
 def test_chat_parts(spark):
     part = lambda kind, t=None, ref=None, w=None, h=None, s=None, p=None: (kind, t, ref, w, h, s, p)
     parts = [part("text", "see <|image|> "), part("image", ref="a.png", w=57, h=28), part("audio", ref="b.wav", s=1.5), part("document", ref="c.pdf", p=2), part("image", ref="d.png")]
