@@ -241,6 +241,27 @@ def test_baseline_guards(spark):
         assert baseline.leaking(folds.where(F.col("fold") != k), folds.where(F.col("fold") == k)).count() == 0
 
 
+def test_baseline_has_every_term_and_summary(spark):
+    texts = [f"w{i} " * (1 + i % 3) + f"same word{i % 2}" for i in range(24)]
+    rows = spark.createDataFrame([(f"c{i}", f"t{i // 8}", i % 2, t) for i, t in enumerate(texts)] + [("c0", "t0", 0, texts[0])], "conversation_id string, theme string, label int, text string")
+    m, models, words = baseline.evaluate(rows)
+    grams = lambda t: t.split() + [" ".join(p) for p in zip(t.split(), t.split()[1:])]
+    train = [texts[0], *texts[:16]]
+    df = {g: sum(g in grams(t) for t in train) for t in train for g in grams(t)}
+    place = {r["term"]: (r["bucket"], r["idf"]) for r in words["t2"].collect()}
+    assert {t: v[1] for t, v in place.items()} == pytest.approx({g: math.log((1 + 17) / (1 + n)) + 1 for g, n in df.items()})
+    assert sorted(v[0] for v in place.values()) == list(range(len(df))) and models["t2"].stages[-1].numFeatures == len(df)
+    data = spark.createDataFrame([("r", "t0", 1, texts[2] + " unknown")], "row string, fold string, copies long, text string")
+    x = {e["bucket"]: e["w"] for e in one(baseline.vectors(baseline.term_counts(data), words["t2"]))["x"]}
+    raw = {place[g][0]: (1 + math.log(grams(texts[2]).count(g))) * place[g][1] for g in grams(texts[2])}
+    norm = math.sqrt(sum(v * v for v in raw.values()))
+    assert x == pytest.approx({b: v / norm for b, v in raw.items()})
+    got = m.collect()
+    assert {r["fold"]: r["n"] for r in got} == {"t0": 9, "t1": 8, "t2": 8}
+    s, f1 = one(baseline.fold_summary(m)), [r["macro_f1"] for r in got]
+    assert s["macro_f1_mean"] == pytest.approx(sum(f1) / 3) and s["macro_f1_std"] == pytest.approx(math.sqrt(sum((v - sum(f1) / 3) ** 2 for v in f1) / 3))
+
+
 def test_stream_deduplicates(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([(1, "2026-01-01 00:00:00", "u", "error"), (1, "2026-01-01 00:00:00", "u", "error"), (2, "2026-01-01 00:10:00", "u", "view")], "event_id long, ts string, user_id string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(src)
