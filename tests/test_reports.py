@@ -5,7 +5,9 @@ import hmac
 import base64
 import json
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +264,19 @@ def test_baseline_has_every_term_and_summary(spark):
     assert s["macro_f1_mean"] == pytest.approx(sum(f1) / 3) and s["macro_f1_std"] == pytest.approx(math.sqrt(sum((v - sum(f1) / 3) ** 2 for v in f1) / 3))
 
 
+def test_projection_of_all_terms(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(60)) for _ in range(40)]
+    got = {r["k"]: (abs(r["component_1"]), abs(r["component_2"])) for r in text.projection(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t").collect()}
+    grams = [t.split() + [" ".join(p) for p in zip(t.split(), t.split()[1:])] for t in texts]
+    words = sorted({g for d in grams for g in d})
+    tf = np.array([[d.count(g) for g in words] for d in grams], float)
+    x = tf * (np.log((1 + len(texts)) / (1 + (tf > 0).sum(axis=0))) + 1)
+    u, s, _ = np.linalg.svd(x / np.linalg.norm(x, axis=1, keepdims=True), full_matrices=False)
+    assert len(words) > 1024 and len(got) == 40
+    assert np.allclose([got[k] for k in range(40)], np.abs(u[:, :2] * s[:2]), atol=1e-6)
+
+
 def test_stream_deduplicates(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([(1, "2026-01-01 00:00:00", "u", "error"), (1, "2026-01-01 00:00:00", "u", "error"), (2, "2026-01-01 00:10:00", "u", "view")], "event_id long, ts string, user_id string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(src)
