@@ -132,6 +132,35 @@ def seeded_bootstrap(values: DataFrame, groups: Sequence[str], value: str, order
     return values.groupBy(*groups).applyInPandas(draw, f"{kinds}, n long, estimate double, ci_low double, ci_high double")
 
 
+def counted_bootstrap(values: DataFrame, groups: Sequence[str], value: str, resamples: int = 10_000, seed: int = 0, slice_: int = 100) -> DataFrame:
+    """Percentile interval of the mean for scores of few distinct values: a resample is a multinomial draw of their counts.
+
+    That has the distribution of drawing rows. Slices of a group's resamples are rows of their own, dealt over the
+    cluster; each gets the distinct values with their counts, never the group's rows.
+    """
+    v = F.col(value).cast("double")
+    counted = values.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).groupBy(*groups, v.alias("_v")).agg(F.count("*").alias("_c"))
+    sized = counted.groupBy(*groups).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("estimate"), F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_x"))
+    own = F.xxhash64(F.lit(seed), *(F.col(g).cast("string") for g in groups))
+    slices = sized.select(*groups, "n", "estimate", "_x", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // slice_))).alias("_s"))
+
+    def draw(batches):
+        for pdf in batches:
+            means = []
+            for r in pdf.itertuples(index=False):
+                own, s, n, x = r[-2], r[-1], r[-5], r[-3]
+                count = np.array([e["_c"] for e in x], np.int64)
+                rng = np.random.default_rng([own % (1 << 64), s])
+                many = min(slice_, resamples - s * slice_)
+                means.append(rng.multinomial(n, count / count.sum(), size=many) @ np.array([e["_v"] for e in x]) / n)
+            yield pdf.iloc[:, :-3].assign(m=means)
+
+    kinds = ", ".join(f"{g} {values.schema[g].dataType.simpleString()}" for g in groups)
+    drawn = slices.repartition(*groups, "_s").mapInPandas(draw, f"{kinds}, n long, estimate double, m array<double>")
+    ends = drawn.select(*groups, "n", "estimate", F.explode("m").alias("m")).groupBy(*groups, "n", "estimate").agg(F.count("*").alias("resamples"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return ends.select(*groups, "n", "estimate", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "resamples")
+
+
 def unit_bootstrap(frame: DataFrame, statistic: Callable[[pd.DataFrame], float], unit: str = "run_id", cluster: str | None = None, order: Sequence[str] = (), resamples: int = 2_000, seed: int = 0) -> DataFrame:
     """Interval of any statistic of one row per unit, resampling units or whole clusters; estimates that fail or aren't finite are dropped."""
     if frame.groupBy(unit).count().where("count > 1").limit(1).count():

@@ -40,6 +40,15 @@ def distribution_map(events: DataFrame, by: Sequence[str], column: str, missing:
     return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("counts"))
 
 
+def in_order(distinct: DataFrame, column: str, name: str) -> DataFrame:
+    """The frame with a number from 1 in the column's order: by range partition, with the counts of those before."""
+    dealt = distinct.repartitionByRange(column).withColumn("_p", F.spark_partition_id()).persist()
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(column))
+    return dealt.withColumn("_place", place).join(F.broadcast(starts), "_p").withColumn(name, (F.col("_start") + F.col("_place")).cast("int")).drop("_p", "_place", "_start")
+
+
 def execution_summary(plan: DataFrame, runs: DataFrame, planned_turns: int = 6, allowance: int | None = None) -> DataFrame:
     """One row over planned runs and what is stored of them.
 

@@ -250,11 +250,9 @@ g AS (SELECT count(*) AS planned, count(*) FILTER (WHERE turns >= 6) AS complete
 
 @query(f"WITH {_RUNS} SELECT *, missing - unfillable AS fillable, greatest(0, 576 - attempts) AS remaining_allowance, greatest(0, 576 - attempts) >= missing - unfillable AS allowance_sufficient FROM g")
 def execution_summary(spark, sf_dir):
-    from pyspark.sql import Window
-
     e = technical_events(spark, sf_dir)
     ids = e.select("run_id").distinct().unionByName(spark.sql("SELECT explode(array('run_x', 'run_y')) AS run_id"))
-    plan = ids.withColumn("execution_order", F.row_number().over(Window.orderBy("run_id")))
+    plan = telemetry.in_order(ids, "run_id", "execution_order")
     ok = F.count(F.when(F.col("kind") == "success", 1))
     runs = e.groupBy("run_id").agg(F.least(F.lit(6), ok % 8).alias("turns"), F.count(F.when(F.col("kind") == "error", 1)).alias("errors"), F.count("*").alias("attempts"), (F.count("*") % 11 == 0).alias("closed"))
     return telemetry.execution_summary(plan, runs, allowance=576)

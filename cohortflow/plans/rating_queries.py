@@ -279,7 +279,7 @@ def hashed_bootstrap(spark, sf_dir):
 
 @query()
 def group_mean_bootstrap(spark, sf_dir):
-    return inference.seeded_bootstrap(_conversations(spark, sf_dir).where("mean_A1 IS NOT NULL"), ("presentation_level",), "mean_A1", ("run_id",), resamples=200, seed=7)
+    return inference.counted_bootstrap(_conversations(spark, sf_dir), ("presentation_level",), "mean_A1", seed=7)
 
 
 # --- agreement -------------------------------------------------------------------------------------------------------

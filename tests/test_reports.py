@@ -264,6 +264,22 @@ def test_baseline_has_every_term_and_summary(spark):
     assert s["macro_f1_mean"] == pytest.approx(sum(f1) / 3) and s["macro_f1_std"] == pytest.approx(math.sqrt(sum((v - sum(f1) / 3) ** 2 for v in f1) / 3))
 
 
+def test_counted_bootstrap(spark):
+    f = spark.createDataFrame([("a", float(i % 3)) for i in range(300)] + [("b", 1.0)] * 5 + [("b", None)], "g string, v double")
+    got = {r["g"]: r for r in inference.counted_bootstrap(f, ("g",), "v", seed=7).collect()}
+    again = {r["g"]: r for r in inference.counted_bootstrap(f.repartition(3), ("g",), "v", seed=7).collect()}
+    rows = {r["g"]: r for r in inference.seeded_bootstrap(f, ("g",), "v", ("v",), seed=1).collect()}
+    assert got == again and all(r["resamples"] == 10_000 for r in got.values())
+    assert (got["a"]["n"], got["b"]["n"], got["b"]["ci_low"], got["b"]["ci_high"]) == (300, 5, 1.0, 1.0)
+    assert all(got["a"][c] == pytest.approx(rows["a"][c], abs=0.01) for c in ("estimate", "ci_low", "ci_high"))
+
+
+def test_numbers_in_order(spark):
+    ids = spark.createDataFrame([(f"r{i:04d}",) for i in range(1000)], "run_id string").repartition(7)
+    got = telemetry.in_order(ids, "run_id", "n")
+    assert all(r["n"] == int(r["run_id"][1:]) + 1 for r in got.collect())
+
+
 def test_projection_of_all_terms(spark):
     rng = random.Random(4)
     texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(60)) for _ in range(40)]
