@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
+import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -167,16 +170,39 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def kept(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """The frame, computed once and kept in the shared checkpoint folder, so that lost executors cost no lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between steps: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only a session without one (tests) gets a folder of its own.
+    A local session without one (tests) gets a folder of its own; a cluster without one is refused, as its machines
+    can't read each other's disks.
     """
-    if not spark.sparkContext.getCheckpointDir():
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            import tempfile
-
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def kept(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the shared folder, so that lost executors cost no lineage."""
+    shared_folder(spark)
     return frame.checkpoint(eager=True)
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame as a compressed table in the shared folder."""
+    path = f"{shared_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def own_name(taken, name: str) -> str:
+    """`name`, with underscores in front until no column of the frame (whatever its case) is called so."""
+    names = {c.lower() for c in taken}
+    while name.lower() in names:
+        name = f"_{name}"
+    return name

@@ -9,26 +9,34 @@ P(w) = c*(w) / N, and the freed rest belongs to unknown words.
 Scoring follows the recursion token by token: the bigram table answers for seen bigrams, the others go on to the
 table of contexts for alpha(v) and to the word's own probability. Nothing of the corpus is held in one place:
 
-1. Word counts: a table by word. Its HOT most frequent words, a fixed number, are known to all tasks.
-2. Texts go in blocks; a block deals its bigrams, sorted, to buckets by the second word (a hot word's by both words, as
-   its count is known anywhere), with the texts that hold them. A bucket counts, keeps its part of the bigram table and
-   answers: for each text how many of its bigrams were seen how often, and which weren't.
-3. The discounts follow from the counts of counts. Buckets' shares of each context are added up by first word into the
-   table of contexts; unseen bigrams meet it there, hot contexts by a broadcast of HOT weights.
-4. The answers of all buckets are added up for each block of texts.
-
-Rows between the steps are packed arrays, one row for each block and bucket; word codes are two bytes for hot words and
-64-bit hashes for the others (two different words share one with probability n^2 / 2^65). Each step's output is written
-to the shared checkpoint folder. The number of buckets follows the number of tokens.
+1. Word counts: a table by word. Hot words, those that are at least 1/HOT of the training tokens (so HOT at most), are
+   known to all tasks. So are hot bigrams, those that a share of 1/PAIRS of the tokens is seen for in blocks where they
+   are as frequent (so PAIRS at most; every bigram of twice that share is among them).
+2. Texts go in blocks; a block deals its distinct bigrams with their counts to buckets by the second word (a hot word's
+   by both words, as its count is known anywhere), and apart from them the texts that hold each. Only a hot bigram's
+   texts stay with the block. A bucket is walked in slices of its keys: a slice's bigrams are sorted and counted, its part
+   of the bigram table goes out and two small numbers for each of the blocks' bigrams stay. Then the blocks' lists of
+   texts pass by, one at a time, and are answered: for each text how many of its bigrams were seen how often, and which
+   weren't.
+3. The discounts follow from the counts of counts. Slices' shares of each context are added up by first word into the
+   table of contexts; unseen bigrams meet it there, hot contexts by a broadcast of HOT weights at most.
+4. The answers of all buckets are added up for each block of texts, hot bigrams' by a broadcast of their counts.
+
+Rows between steps 2 and 4 are packed arrays, one for each block and bucket that have something in common, so never more
+than tokens; contexts and unseen bigrams are plain rows. Word codes are two bytes for hot words and 64-bit hashes for the
+others (two different words share one with probability n^2 / 2^65). Each step's output is written to the shared
+checkpoint folder. The number of buckets follows the number of tokens. A task holds one block, or one bucket's packed
+counts and one slice; a text that alone exceeds a block is a block.
 
 Defined results: a null text is empty and has one token; a null doc_id is scored, but neither learned from nor held
 out; repeated rows count and are scored each; without training text every score is that of unknown words at
-probability 1, 0.0, and so is base_score; an empty table gives an empty table; extra columns are ignored.
+probability 1, 0.0, and so is base_score; an empty table gives an empty table; texts of any length are scored whole;
+ties can't change a result; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -37,85 +45,88 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm._text import SPACE, U, kept, mix, signed, text_chunks, words
+from cohortflow.llm._text import SPACE, U, mix, signed, stored, text_chunks, words
 
 K = 5
 BIG = 0.01
-HOT = 40_000
-#: Tokens of a bucket, text bytes and texts of a block.
-BUCKET_TOKENS = 3_000_000
+#: Bounds on the words and bigrams known to all tasks.
+HOT, PAIRS = 60_000, 4_000
+#: Tokens of a bucket and of a slice of it; text bytes and texts of a block.
+BUCKET_TOKENS, SLICE_TOKENS = 4_000_000, 400_000
 BLOCK_BYTES, BLOCK_TEXTS = 8 << 20, 60_000
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 _NOT_HOT = 65535
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """The frame as a compressed table in the shared checkpoint folder."""
-    spark = frame.sparkSession
-    kept(spark, spark.range(0))  # sets the folder where the session has none
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-def _blocks(batches):
-    """(number, ids, training flags, token hashes, previous tokens, text of each token) of blocks of texts."""
-    number = 0
+def _pieces(batches):
+    """(ids, training flags, word hashes, words of each text, bytes) of runs of texts, at most BLOCK_TEXTS each."""
     for batch in batches:
         ids, train = batch.column("doc_id"), batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        have, size, first = [], 0, 0
-
-        def block(last, first, have):
-            w, p, text = [], [], []
-            at = 0
-            for h, counts in have:
-                n = int(counts.sum()) + len(counts)
-                ends = np.cumsum(counts + 1) - 1
-                own = np.empty(n, np.uint64)
-                is_end = np.zeros(n, bool)
-                is_end[ends] = True
-                own[is_end] = END
-                own[~is_end] = h
-                before = np.empty(n, np.uint64)
-                before[1:] = own[:-1]
-                before[np.concatenate([[0], ends[:-1] + 1])] = START
-                w.append(own)
-                p.append(before)
-                text.append(np.repeat(np.arange(at, at + len(counts), dtype=np.uint16), counts + 1))
-                at += len(counts)
-            return ids.slice(first, last - first), train[first:last], np.concatenate(w), np.concatenate(p), np.concatenate(text)
-
         for a, b, data, offsets in text_chunks(batch.column("text")):
-            if have and (size + len(data) > BLOCK_BYTES or b - first > BLOCK_TEXTS):
-                yield number, *block(a, first, have)
-                number, have, size, first = number + 1, [], 0, a
             h, _, _, counts = words(data, offsets, SPACE)
-            have.append((h, counts))
-            size += len(data)
-        if have:
-            yield number, *block(batch.num_rows, first, have)
-            number += 1
-
-
-def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inverse, weights=weights, minlength=len(u))
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(w, c): every training token's hash and count."""
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            for i in range(a, b, BLOCK_TEXTS):
+                j = min(b, i + BLOCK_TEXTS)
+                yield ids.slice(i, j - i), train[i:j], h[edges[i - a] : edges[j - a]], counts[i - a : j - a], int(offsets[j - a] - offsets[i - a])
+
+
+def _block(pieces: list):
+    """(ids, training flags, token hashes, previous tokens, text of each token) of a block's pieces."""
+    counts = np.concatenate([p[3] for p in pieces])
+    h = np.concatenate([p[2] for p in pieces])
+    n = len(h) + len(counts)
+    ends = np.cumsum(counts + 1) - 1
+    own, before = np.empty(n, np.uint64), np.empty(n, np.uint64)
+    is_end = np.zeros(n, bool)
+    is_end[ends] = True
+    own[is_end], own[~is_end] = END, h
+    before[1:] = own[:-1]
+    before[np.concatenate([[0], ends[:-1] + 1])] = START
+    text = np.repeat(np.arange(len(counts), dtype=np.uint16), counts + 1)
+    return pa.concat_arrays([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]), own, before, text
+
+
+def _blocks(batches, block_bytes: int):
+    """The blocks of a task's texts, whatever batches they come in."""
+    have, size, texts = [], 0, 0
+    for piece in _pieces(batches):
+        if have and (size + piece[4] > block_bytes or texts + len(piece[3]) > BLOCK_TEXTS):
+            yield _block(have)
+            have, size, texts = [], 0, 0
+        have.append(piece)
+        size += piece[4]
+        texts += len(piece[3])
+    if have:
+        yield _block(have)
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * U(0x9FB21C651E98DF25) + second)
+
+
+def token_counts(texts: DataFrame, pairs: int = PAIRS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(kind, w, c): kind 0, every training token's hash and count; kind 1, bigrams' counts in blocks where they are frequent."""
+    names, kinds = ["kind", "w", "c"], "kind int, w long, c long"
+
+    def rows(kind, keys, counts):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(signed(keys)), pa.array(counts.astype(np.int64))], names)
 
     def run(batches):
         keys, counts = np.zeros(0, np.uint64), np.zeros(0)
-        for _, _, train, w, _, text in _blocks(batches):
-            u, c = np.unique(w[train[text]], return_counts=True)
-            keys, counts = _counted(np.concatenate([keys, u]), np.concatenate([counts, c]))
-            if len(keys) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(counts.astype(np.int64))], ["w", "c"])
+        for _, train, w, before, text in _blocks(batches, block_bytes):
+            own = train[text]
+            u, c = np.unique(w[own], return_counts=True)
+            keys, inverse = np.unique(np.concatenate([keys, u]), return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([counts, c]), minlength=len(keys))
+            p, c = np.unique(pair_hash(before[own], w[own]), return_counts=True)
+            often = c * pairs >= own.sum()
+            yield rows(1, p[often], c[often])
+            if len(keys) > 1_000_000:
+                yield rows(0, keys, counts)
                 keys, counts = np.zeros(0, np.uint64), np.zeros(0)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(counts.astype(np.int64))], ["w", "c"])
+        yield rows(0, keys, counts)
 
-    return texts.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, kinds).groupBy("kind", "w").agg(F.sum("c").alias("c"))
 
 
 def discounts(n: list[float]) -> list[float]:
@@ -135,13 +146,14 @@ def _star(c: np.ndarray, by_count: np.ndarray) -> np.ndarray:
 
 
 class _Words:
-    """What every task knows of words: the hot ones' codes and counts, and how counts become probabilities."""
+    """What every task knows of words: the hot ones' codes and counts, hot bigrams, and how counts become probabilities."""
 
-    def __init__(self, hot: list[tuple[int, int]], total: int, distinct: int, star: list[float], rest: float):
+    def __init__(self, hot: list[tuple[int, int]], pairs: list[int], total: int, distinct: int, star: list[float], rest: float):
         order = np.array(hot, dtype=object).reshape(-1, 2)
         h = np.array([x % (1 << 64) for x in order[:, 0]], np.uint64)
         at = np.argsort(h)
         self.hash, self.count = h[at], np.array(order[:, 1], np.float64)[at]
+        self.pairs = np.sort(np.array([x % (1 << 64) for x in pairs], np.uint64))
         self.total, self.distinct, self.star, self.rest = float(total), distinct, np.array(star), rest
 
     def code(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,15 +171,33 @@ class _Words:
         out[~hot] = rare
         return out
 
+    def pair(self, key: np.ndarray) -> np.ndarray:
+        """The place of each hot bigram in their order, -1 for others."""
+        if not len(self.pairs):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, at, -1)
+
     def probability(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, _star(c, self.star), self.rest) / self.total
 
+    def shares(self, count: np.ndarray, c2: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(base score, score as far as discounts of small counts don't matter) of one token of a bigram.
+
+        A token's own count is the divisor of the bigram after it, so it is taken off here.
+        """
+        if not self.total:
+            return np.zeros(len(c2)), np.zeros(len(c2))
+        base = np.log10((c2 + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
+        seen = np.where(count > K, np.log10(np.maximum(count - BIG, BIG)), 0.0)
+        return base, seen + np.where(count == 0, np.log10(self.probability(c2)), 0.0) - np.where(~ends & (c2 > 0), np.log10(np.maximum(c2, 1)), 0.0)
+
 
 _PACKED = "part int, kind int, block long, a binary, b binary, c binary, d binary, e binary"
-_NAMES = ["part", "kind", "block", "a", "b", "c", "d", "e"]
 _FORMAT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcde")])
-#: Kinds of rows: known words, a block's bigrams; then the bigram table, texts' sums, unseen bigrams, contexts, weights, texts.
-_KNOWN, _BIGRAMS, _TABLE, _SUMS, _UNSEEN, _CONTEXT, _WEIGHTS, _TEXTS = range(8)
+#: Kinds of rows, in the order a bucket reads them: known words, a block's bigrams, their texts, a block's texts; then what
+#: it gives: the bigram table, hot bigrams' counts, texts' sums, unseen bigrams.
+_KNOWN, _BIGRAMS, _HOLDERS, _TEXTS, _TABLE, _PAIRS, _SUMS, _UNSEEN = range(8)
 
 
 def _row(part: int, kind: int, block: int, *arrays: np.ndarray) -> pa.RecordBatch:
@@ -181,267 +211,289 @@ def _rows(batches):
             yield tuple(batch.column(j)[i].as_py() for j in range(8))
 
 
-def _grouped(frame: DataFrame, parts: int, reduce) -> DataFrame:
-    """Rows dealt by part; reduce(part, rows) for each, its rows ordered by kind."""
+def _grouped(frame: DataFrame, parts: int, column: str, reduce, schema: str) -> DataFrame:
+    """Rows dealt by a column; reduce(its value, rows as they come, ordered by kind and block or part) for each value."""
+    place = _FORMAT.get_field_index(column)
 
     def run(batches):
-        now, own = None, []
-        for r in _rows(batches):
-            if own and r[0] != now:
-                yield from reduce(now, own)
-                own = []
-            now = r[0]
-            own.append(r)
-        if own:
-            yield from reduce(now, own)
+        for value, rows in itertools.groupby(_rows(batches), key=lambda r: r[place]):
+            yield from reduce(value, rows)
 
-    return frame.repartition(parts, "part").sortWithinPartitions("part", "kind", "block").mapInArrow(run, _PACKED)
+    return frame.repartition(parts, column).sortWithinPartitions(column, "kind", "block", "part").mapInArrow(run, schema)
 
 
 def _slices(keys: np.ndarray, parts: int) -> list[int]:
     return np.searchsorted(keys, np.arange(parts + 1)).tolist()
 
 
-def _deal_bigrams(texts: DataFrame, shared, parts: int) -> DataFrame:
-    """Each block's bigrams by bucket: second words and runs, first words, occurrences, texts, training flags."""
+def _bytes(*arrays: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(a).view(np.uint8) for a in arrays])
+
+
+def _deal_bigrams(texts: DataFrame, shared, parts: int, slices: int, block_bytes: int) -> DataFrame:
+    """Each block's bigrams by bucket and slice: second words and runs, first words, training counts; and who holds them."""
 
     def run(batches):
         words_ = shared.value
         base = TaskContext.get().partitionId() << 32
-        for number, ids, train, w, before, text in _blocks(batches):
+        for number, (ids, train, w, before, text) in enumerate(_blocks(batches, block_bytes)):
             block = base + number
             length = np.bincount(text, minlength=len(train)).astype(np.int64)
             valid = np.array(ids.is_valid().to_numpy(zero_copy_only=False), bool)
-            yield _row(-1, _TEXTS, block, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), length, train, valid)
             code, uniques = pd.factorize(np.concatenate([w, before]).view(np.int64))
             uniques = uniques.view(np.uint64)
             n = len(w)
             second, first = code[:n], code[n:]
             hot = words_.code(uniques)[0] != _NOT_HOT
-            where = (mix(uniques) % U(parts)).astype(np.int64)
-            spread = np.where(hot[second], (where[second] + (mix(uniques ^ START) % U(parts)).astype(np.int64)[first]) % parts, where[second])
-            bits = max(1, int(len(uniques)).bit_length())
-            key = (spread << (2 * bits)) | (second.astype(np.int64) << bits) | first
-            order = np.argsort(key)
-            key, text = key[order], text[order]
+            two, one = mix(uniques), mix(uniques ^ START)
+            spread = ((np.where(hot[second], two[second] + one[first], two[second])) % U(parts * slices)).astype(np.int64)
+            order = np.lexsort((first, second, spread)) if int(parts * slices).bit_length() + 2 * int(len(uniques)).bit_length() > 63 else np.argsort(((spread * len(uniques)) + second) * len(uniques) + first)
+            spread, second, first, text = spread[order], second[order], first[order], text[order]
             new = np.ones(n, bool)
-            new[1:] = key[1:] != key[:-1]
+            new[1:] = (second[1:] != second[:-1]) | (first[1:] != first[:-1])
             at = np.flatnonzero(new)
-            key = key[at]
+            spread, second, first = spread[at], second[at], first[at]
             runs = np.diff(np.append(at, n)).astype(np.uint32)
-            cuts = _slices(key >> (2 * bits), parts)
-            mask = (1 << bits) - 1
-            flags = np.packbits(train)
+            own = np.add.reduceat(train[text].astype(np.int64), at).astype(np.uint32)
+            pair = words_.pair(pair_hash(uniques[first], uniques[second]))
+            # The texts of hot bigrams stay with the block.
+            stay = np.repeat(pair >= 0, runs)
+            held = np.flatnonzero(pair >= 0)
+            yield _row(int(mix(np.array([block], np.uint64))[0] % U(parts)), _TEXTS, block, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), length, valid, _bytes(pair[held].astype(np.uint32), runs[held]), text[stay])
+            text = text[~stay]
+            sent = np.where(pair >= 0, 0, runs).astype(np.uint32)
+            begin = np.concatenate([[0], np.cumsum(sent, dtype=np.int64)])
+            cuts = _slices(spread, parts * slices)
             for part in range(parts):
-                a, b = cuts[part], cuts[part + 1]
+                edges = cuts[part * slices : (part + 1) * slices + 1]
+                a, b = edges[0], edges[-1]
                 if a == b:
                     continue
-                two, one = (key[a:b] >> bits) & mask, key[a:b] & mask
-                change = np.flatnonzero(np.concatenate([[True], two[1:] != two[:-1]]))
-                code2, rare2 = words_.code(uniques[two[change]])
-                code1, rare1 = words_.code(uniques[one])
-                head = np.array([len(train), len(code2), len(code1)], np.uint32)
-                last = int(at[b]) if b < len(at) else n
-                yield _row(
-                    part,
-                    _BIGRAMS,
-                    block,
-                    np.concatenate([head.view(np.uint8), code2.view(np.uint8), rare2.view(np.uint8), np.diff(np.append(change, b - a)).astype(np.uint32).view(np.uint8)]),
-                    np.concatenate([code1.view(np.uint8), rare1.view(np.uint8)]),
-                    runs[a:b],
-                    text[int(at[a]) : last],
-                    flags,
-                )
+                change = np.flatnonzero(np.concatenate([[True], (second[a + 1 : b] != second[a : b - 1]) | (spread[a + 1 : b] != spread[a : b - 1])]))
+                code2, rare2 = words_.code(uniques[second[a:b][change]])
+                code1, rare1 = words_.code(uniques[first[a:b]])
+                # Where each slice begins: in second words, rare ones of them, first words, rare ones of them.
+                cut1 = np.array(edges, np.int64) - a
+                cut2 = np.searchsorted(change, cut1)
+                rare_before = lambda code, cut: np.concatenate([[0], np.cumsum(code == _NOT_HOT)])[cut]
+                head = np.stack([cut2, rare_before(code2, cut2), cut1, rare_before(code1, cut1)]).astype(np.uint32)
+                yield _row(part, _BIGRAMS, block, head.ravel(), _bytes(code2, rare2), np.diff(np.append(change, b - a)).astype(np.uint32), _bytes(code1, rare1), own[a:b])
+                if begin[b] > begin[a]:
+                    yield _row(part, _HOLDERS, block, np.array([len(train)], np.uint32), sent[a:b], text[begin[a] : begin[b]])
 
     return texts.mapInArrow(run, _PACKED)
 
 
-def _words_of(data: bytes, at: int, n: int, words_: _Words) -> tuple[np.ndarray, int]:
-    code = np.frombuffer(data, np.uint16, n, at)
-    rare = int((code == _NOT_HOT).sum())
-    at += 2 * n
-    return words_.word(code, np.frombuffer(data[at : at + 8 * rare], np.uint64)), at + 8 * rare
+def _coded(data: bytes, n: int, at: int, rare_at: int, count: int, rare_count: int, words_: _Words) -> np.ndarray:
+    """`count` words from place `at` of n packed ones, the rare ones among them from `rare_at`."""
+    code = np.frombuffer(data, np.uint16, count, 2 * at)
+    return words_.word(code, np.frombuffer(data[2 * n + 8 * rare_at : 2 * n + 8 * (rare_at + rare_count)], np.uint64))
 
 
-def _count_bucket(shared, part: int, rows: list):
+def _count_bucket(shared, slices: int, part: int, rows):
     """A bucket's part of the bigram table, and for the texts of each block sums, counts and unseen bigrams."""
     words_ = shared.value
-    known_w, known_c = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    blocks = []
-    for _, kind, block, a, b, c, d, e in rows:
-        if kind == _TEXTS:
-            yield _row(part, _TEXTS, block, *(np.frombuffer(x, np.uint8) for x in (a, b, c, d)))
-        elif kind == _KNOWN:
+    known_w, known_c, blocks, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], {}, None
+    for row in rows:
+        _, kind, block, a, b, c, d, e = row
+        if kind == _KNOWN:
             known_w.append(np.frombuffer(a, np.uint64))
             known_c.append(np.frombuffer(b, np.int64))
+        elif kind == _BIGRAMS:
+            blocks[block] = (np.frombuffer(a, np.uint32).reshape(4, slices + 1).astype(np.int64), b, np.frombuffer(c, np.uint32), d, np.frombuffer(e, np.uint32))
+        elif kind == _TEXTS:
+            yield _row(part, _TEXTS, block, *(np.frombuffer(x, np.uint8) for x in (a, b, c, d, e)))
         else:
-            n_texts, n2, n1 = np.frombuffer(a, np.uint32, 3).tolist()
-            two, at = _words_of(a, 12, n2, words_)
-            two = np.repeat(two, np.frombuffer(a[at:], np.uint32))
-            one, _ = _words_of(b, 0, n1, words_)
-            train = np.unpackbits(np.frombuffer(e, np.uint8), count=n_texts).astype(bool)
-            blocks.append((block, n_texts, two, one, np.frombuffer(c, np.uint32).astype(np.int64), np.frombuffer(d, np.uint16), train))
-    if not blocks:
-        return
-    known_w, known_c = np.concatenate(known_w), np.concatenate(known_c)
+            if counts is None:
+                counts = yield from _count_slices(words_, slices, part, blocks, np.concatenate(known_w), np.concatenate(known_c))
+            yield from _answers(words_, part, block, blocks[block], *counts[block], int(np.frombuffer(a, np.uint32)[0]), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint16))
+            del blocks[block], counts[block]
+    if counts is None and blocks:
+        yield from _count_slices(words_, slices, part, blocks, np.concatenate(known_w), np.concatenate(known_c))
+
+
+def _count_slices(words_: _Words, slices: int, part: int, blocks: dict, known_w: np.ndarray, known_c: np.ndarray):
+    """Counts the bigrams slice by slice; returns for each block its bigrams' counts and those of their second words."""
     order = np.argsort(known_w)
     known_w, known_c = known_w[order], known_c[order]
-    two, one = np.concatenate([x[2] for x in blocks]), np.concatenate([x[3] for x in blocks])
-    own = np.concatenate([np.add.reduceat(x[6][x[5]].astype(np.int64), np.cumsum(x[4]) - x[4]) for x in blocks])
-    # From here on a block's words are slices of the whole: one copy of everything.
-    bounds = np.cumsum([0, *(len(x[2]) for x in blocks)]).tolist()
-    blocks = [(x[0], x[1], x[4], x[5]) for x in blocks]
-    rows.clear()
-    key = mix(one * U(0x9FB21C651E98DF25) + two)
-    order = np.argsort(key)
-    key = key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    at = np.flatnonzero(new)
-    total = np.add.reduceat(own[order], at)
-    count = np.empty(len(key), np.int64)
-    count[order] = np.repeat(total, np.diff(np.append(at, len(key))))
-    del key, own, new
-    # The second word's own count: sent along, or known to all.
-    code, _ = words_.code(two)
-    hot = code != _NOT_HOT
-    c2 = np.zeros(len(two))
-    c2[hot] = words_.count[code[hot]]
-    if len(known_w):
-        place = np.minimum(np.searchsorted(known_w, two[~hot]), len(known_w) - 1)
-        c2[~hot] = np.where(known_w[place] == two[~hot], known_c[place], 0)
-    # The table, second word by second word.
-    seen = at[total > 0]
-    first, c = order[seen], total[total > 0]
-    by_second = np.argsort(two[first], kind="stable")
-    first, c = first[by_second], c[by_second]
-    if len(first):
-        change = np.flatnonzero(np.concatenate([[True], two[first][1:] != two[first][:-1]]))
-        code2, rare2 = words_.code(two[first][change])
-        code1, rare1 = words_.code(one[first])
-        yield _row(
-            part,
-            _TABLE,
-            0,
-            np.concatenate([np.array([len(code2), len(code1)], np.uint32).view(np.uint8), code2.view(np.uint8), rare2.view(np.uint8), np.diff(np.append(change, len(first))).astype(np.uint32).view(np.uint8)]),
-            np.concatenate([code1.view(np.uint8), rare1.view(np.uint8)]),
-            c,
-            c2[first][change],
-            np.bincount(np.minimum(c, K + 2), minlength=K + 3).astype(np.int64),
-        )
-    p2 = np.log10(words_.probability(c2)) if words_.total else np.zeros(len(c2))
-    base = np.log10((c2 + 0.1) / (words_.total + 0.1 * (words_.distinct + 1))) if words_.total else np.zeros(len(c2))
-    value = np.where(count > K, np.log10(np.maximum(count - BIG, BIG)), 0.0) + np.where(count == 0, p2, 0.0) - np.where((two != END) & (c2 > 0), np.log10(np.maximum(c2, 1)), 0.0)
-    for (block, n_texts, runs, text), a, b in zip(blocks, bounds[:-1], bounds[1:], strict=True):
-        rows_ = np.repeat(np.arange(a, b), runs)
-        has = np.flatnonzero(np.bincount(text, minlength=n_texts))
-        add = lambda x: np.bincount(text, weights=x, minlength=n_texts)[has]
-        small = count[rows_]
-        by_count = np.bincount(text.astype(np.int64) * (K + 1) + np.where(small <= K, small, 0), minlength=n_texts * (K + 1)).reshape(n_texts, K + 1)[has]
-        by_count[:, 0] = add(c2[rows_] > 0)
-        yield _row(part, _SUMS, block, has.astype(np.uint16), add(base[rows_]), add(value[rows_]), by_count.astype(np.uint32))
-        lost = np.flatnonzero(small == 0)
-        if len(lost):
-            code1, rare1 = words_.code(one[rows_[lost]])
-            yield _row(part, _UNSEEN, block, np.array([len(code1)], np.uint32), code1, rare1, text[lost])
-
-
-def _contexts(tables: DataFrame, shared, star: np.ndarray, parts: int) -> DataFrame:
-    """From the bigram table each context's freed count and covered probability, and the unseen bigrams, by first word."""
+    number = np.uint32 if words_.total < 1 << 32 else np.int64
+    out = {block: (np.zeros(len(x[4]), number), np.zeros(len(x[4]), number)) for block, x in blocks.items()}
+    for s in range(slices):
+        twos, ones, owns, where = [], [], [], []
+        for block, (head, second, runs, first, own) in blocks.items():
+            (c2, r2, c1, r1), (to2, q2, to1, q1) = head[:, s].tolist(), head[:, s + 1].tolist()
+            if c1 == to1:
+                continue
+            twos.append(np.repeat(_coded(second, int(head[0, -1]), c2, r2, to2 - c2, q2 - r2, words_), runs[c2:to2]))
+            ones.append(_coded(first, int(head[2, -1]), c1, r1, to1 - c1, q1 - r1, words_))
+            owns.append(own[c1:to1])
+            where.append((block, c1, to1))
+        if not where:
+            continue
+        two, one, own = np.concatenate(twos), np.concatenate(ones), np.concatenate(owns)
+        del twos, ones, owns
+        key = pair_hash(one, two)
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.add.reduceat(own[order].astype(np.int64), at)
+        head = order[at]  # one of each bigram
+        two_, one_ = two[head], one[head]
+        # The second word's own count: sent along, or known to all.
+        code = words_.code(two_)[0]
+        hot = code != _NOT_HOT
+        c2 = np.zeros(len(two_), np.int64)
+        c2[hot] = words_.count[code[hot]]
+        if len(known_w):
+            place = np.minimum(np.searchsorted(known_w, two_[~hot]), len(known_w) - 1)
+            c2[~hot] = np.where(known_w[place] == two_[~hot], known_c[place], 0)
+        count, of_second = np.empty(len(key), number), np.empty(len(key), number)
+        size = np.diff(np.append(at, len(key)))
+        count[order], of_second[order] = np.repeat(total, size), np.repeat(c2, size)
+        begin = 0
+        for block, a, b in where:
+            out[block][0][a:b], out[block][1][a:b] = count[begin : begin + b - a], of_second[begin : begin + b - a]
+            begin += b - a
+        pair = words_.pair(key[at])
+        mine = np.flatnonzero(pair >= 0)
+        if len(mine):
+            yield _row(part, _PAIRS, 0, pair[mine], total[mine], c2[mine], two_[mine] == END)
+        # The table, second word by second word.
+        seen = np.flatnonzero(total > 0)
+        seen = seen[np.argsort(two_[seen], kind="stable")]
+        if len(seen):
+            change = np.flatnonzero(np.concatenate([[True], two_[seen][1:] != two_[seen][:-1]]))
+            code2, rare2 = words_.code(two_[seen][change])
+            code1, rare1 = words_.code(one_[seen])
+            yield _row(part, _TABLE, 0, _bytes(np.array([len(code2)], np.uint32), code2, rare2, np.diff(np.append(change, len(seen))).astype(np.uint32)), _bytes(code1, rare1), total[seen], c2[seen][change], np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3).astype(np.int64))
+    return out
+
+
+def _answers(words_: _Words, part: int, block: int, bigrams: tuple, count: np.ndarray, c2: np.ndarray, n_texts: int, runs: np.ndarray, text: np.ndarray):
+    """What a block's texts get from one bucket."""
+    head, second, runs2, first, _ = bigrams
+    (n2, r2), (n1, r1) = head[:2, -1].tolist(), head[2:, -1].tolist()
+    ends = np.repeat(_coded(second, n2, 0, 0, n2, r2, words_) == END, runs2)
+    base, value = words_.shares(count.astype(np.float64), c2.astype(np.float64), ends)
+    rows = np.repeat(np.arange(len(runs)), runs)
+    has = np.flatnonzero(np.bincount(text, minlength=n_texts))
+    add = lambda x: np.bincount(text, weights=x, minlength=n_texts)[has]
+    small = count[rows]
+    by_count = np.bincount(text.astype(np.int64) * (K + 1) + np.where(small <= K, small, 0), minlength=n_texts * (K + 1)).reshape(n_texts, K + 1)[has]
+    by_count[:, 0] = add(c2[rows] > 0)
+    yield _row(part, _SUMS, block, has.astype(np.uint16), add(base[rows]), add(value[rows]), by_count.astype(np.uint32))
+    lost = np.flatnonzero(small == 0)
+    if len(lost):
+        code1, rare1 = words_.code(_coded(first, n1, 0, 0, n1, r1, words_)[rows[lost]])
+        yield _row(part, _UNSEEN, block, code1, rare1, text[lost])
+
+
+def contexts(tables: DataFrame, shared, star: np.ndarray) -> DataFrame:
+    """(v, weight): log10 of alpha(v) c(v) of every word that begins a seen bigram, from the bigram table."""
 
     def run(batches):
         words_ = shared.value
-        for part, kind, block, a, b, c, d, _ in _rows(batches):
-            if kind == _TABLE:
-                n2, n1 = np.frombuffer(a, np.uint32, 2).tolist()
-                _, at = _words_of(a, 8, n2, words_)
-                runs = np.frombuffer(a[at:], np.uint32)
-                one, _ = _words_of(b, 0, n1, words_)
-                count = np.frombuffer(c, np.int64).astype(np.float64)
-                covered = np.repeat(words_.probability(np.frombuffer(d, np.float64)), runs)
-                u, inverse = np.unique(one, return_inverse=True)
-                freed, covered = np.bincount(inverse, weights=count - _star(count, star)), np.bincount(inverse, weights=covered)
-                where = (mix(u) % U(parts)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                cuts = _slices(where[order], parts)
-                for p in range(parts):
-                    mine = order[cuts[p] : cuts[p + 1]]
-                    if len(mine):
-                        code, rare = words_.code(u[mine])
-                        yield _row(p, _CONTEXT, 0, np.array([len(code)], np.uint32), code, rare, freed[mine], covered[mine])
-            else:
-                code, rare, text = np.frombuffer(b, np.uint16), np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint16)
-                text = text[code == _NOT_HOT]  # hot contexts are answered without a shuffle
-                where = (mix(rare) % U(parts)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                cuts = _slices(where[order], parts)
-                for p in range(parts):
-                    mine = order[cuts[p] : cuts[p + 1]]
-                    if len(mine):
-                        yield _row(p, _UNSEEN, block, rare[mine], text[mine])
-
-    return tables.where(F.col("kind").isin(_TABLE, _UNSEEN)).mapInArrow(run, _PACKED)
-
-
-def _weigh(shared, part: int, rows: list):
-    """The bucket's contexts and log10 of alpha(v) c(v), and what it adds to texts with unseen bigrams."""
-    words_ = shared.value
-    keys, freed, covered, asked = [], [], [], []
-    for _, kind, block, a, b, c, d, e in rows:
-        if kind == _CONTEXT:
-            keys.append(words_.word(np.frombuffer(b, np.uint16), np.frombuffer(c, np.uint64)))
-            freed.append(np.frombuffer(d, np.float64))
-            covered.append(np.frombuffer(e, np.float64))
-        else:
-            asked.append((block, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint16)))
-    none = np.zeros(0)
-    u, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
-    freed = np.bincount(inverse, weights=np.concatenate([none, *freed]), minlength=len(u))
-    covered = np.bincount(inverse, weights=np.concatenate([none, *covered]), minlength=len(u))
-    weight = np.log10(np.maximum(freed, 1e-300) / np.maximum(1 - covered, 1e-300))
-    if len(u):
-        yield _row(part, _WEIGHTS, 0, u, weight)
-    for block, w, text in asked:
-        found = np.zeros(len(w))
-        if len(u):
-            at = np.minimum(np.searchsorted(u, w), len(u) - 1)
-            found = np.where(u[at] == w, weight[at], 0.0)  # an unknown context has no bigrams: weight 1
-        yield _answer(part, block, text, found)
-
-
-def _answer(part: int, block: int, text: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+        for _, _, _, a, b, c, d, _ in _rows(batches):
+            n2 = int(np.frombuffer(a, np.uint32, 1)[0])
+            rare2 = int((np.frombuffer(a, np.uint16, n2, 4) == _NOT_HOT).sum())
+            runs = np.frombuffer(a[4 + 2 * n2 + 8 * rare2 :], np.uint32)
+            n1 = int(runs.sum())
+            one = words_.word(np.frombuffer(b, np.uint16, n1), np.frombuffer(b[2 * n1 :], np.uint64))
+            count = np.frombuffer(c, np.int64).astype(np.float64)
+            covered = np.repeat(words_.probability(np.frombuffer(d, np.int64).astype(np.float64)), runs)
+            u, inverse = np.unique(one, return_inverse=True)
+            freed, covered = np.bincount(inverse, weights=count - _star(count, star)), np.bincount(inverse, weights=covered)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(freed), pa.array(covered)], ["v", "freed", "covered"])
+
+    shares = tables.where(F.col("kind") == _TABLE).mapInArrow(run, "v long, freed double, covered double")
+    least = F.lit(1e-300)
+    summed = shares.groupBy("v").agg(F.sum("freed").alias("freed"), F.sum("covered").alias("covered"))
+    return summed.select("v", F.log10(F.greatest("freed", least) / F.greatest(1 - F.col("covered"), least)).alias("weight"))
+
+
+def _sum_row(block: int, text: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
     has, inverse = np.unique(text, return_inverse=True)
-    return _row(part, _SUMS, block, has, np.zeros(len(has)), np.bincount(inverse, weights=found, minlength=len(has)), np.zeros((len(has), K + 1), np.uint32))
+    return _row(0, _SUMS, block, has.astype(np.uint16), np.zeros(len(has)), np.bincount(inverse, weights=weight, minlength=len(has)), np.zeros((len(has), K + 1), np.uint32))
+
+
+def _unseen_answers(tables: DataFrame, weights: DataFrame, shared, parts: int) -> DataFrame:
+    """The context weights of unseen bigrams, added up by text: hot contexts from a broadcast, the others by a join."""
+    spark = tables.sparkSession
+
+    def hot(batches):
+        words_ = shared.value
+        for batch in batches:
+            code, _ = words_.code(batch.column("v").to_numpy().view(np.uint64))
+            mine = pa.array(code != _NOT_HOT)
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)).filter(mine), batch.column("weight").filter(mine)], ["code", "weight"])
 
+    known = np.zeros(len(shared.value.hash))  # the hot words and the start
+    for r in weights.mapInArrow(hot, "code int, weight double").toLocalIterator():
+        known[r["code"]] = r["weight"]
+    hot_weights = spark.sparkContext.broadcast(known)
+    unseen = tables.where(F.col("kind") == _UNSEEN)
 
-def score(docs: DataFrame, train: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text, train)."""
+    def hot_answers(batches):
+        for _, _, block, a, _, c, _, _ in _rows(batches):
+            code, text = np.frombuffer(a, np.uint16), np.frombuffer(c, np.uint16)
+            ok = code != _NOT_HOT
+            if ok.any():
+                yield _sum_row(block, text[ok], hot_weights.value[code[ok]])
+
+    def plain(batches):
+        for _, _, block, a, b, c, _, _ in _rows(batches):
+            text = np.frombuffer(c, np.uint16)[np.frombuffer(a, np.uint16) == _NOT_HOT]
+            if not len(text):
+                continue
+            both, n = np.unique(np.stack([np.frombuffer(b, np.uint64), text.astype(np.uint64)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(both[0].copy())), pa.array(np.full(len(n), block)), pa.array(both[1].astype(np.int32)), pa.array(n)], ["v", "block", "text", "n"])
+
+    def packed(batches):
+        for batch in batches:
+            block, text, weight = (batch.column(i).to_numpy() for i in range(3))
+            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+            for a, b in zip(cut, np.append(cut[1:], len(block)), strict=True):
+                yield _sum_row(int(block[a]), text[a:b], weight[a:b])
+
+    # An unknown context has no bigrams and no row: weight 1.
+    met = unseen.mapInArrow(plain, "v long, block long, text int, n long").join(weights, "v").groupBy("block", "text").agg(F.sum(F.col("weight") * F.col("n")).alias("weight"))
+    return unseen.mapInArrow(hot_answers, _PACKED).unionByName(met.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(packed, _PACKED))
+
+
+def score(docs: DataFrame, buckets: int | None = None, slices: int | None = None, hot: int = HOT, pairs: int = PAIRS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text, train).
+
+    `hot` (65,000 at most) and `pairs` bound the words and bigrams known to all tasks.
+    """
     spark: SparkSession = docs.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("train", F.lit(False)).alias("train"))
-    counts = stored(word_counts(texts))
+    every = stored(token_counts(texts, pairs, block_bytes))
+    counts = every.where("kind = 0")
     facts = counts.agg(F.sum("c"), F.count("*"), *(F.sum((F.col("c") == r).cast("long")) for r in range(1, K + 2))).first()
     total, distinct = int(facts[0] or 0), int(facts[1])
-    star = discounts([0.0, *(float(x or 0) for x in facts[2:])])
     n_r = [float(x or 0) for x in facts[2:]]
+    star = discounts([0.0, *n_r])
     small = sum(r * n for r, n in zip(range(1, K + 1), n_r, strict=False))
-    big_types = distinct - sum(n_r[:K])
-    rest = small - sum(s * n for s, n in zip(star[1:], n_r, strict=False)) + BIG * big_types  # counts freed for unknown words
-    hot = [(r["w"], r["c"]) for r in counts.orderBy(F.desc("c"), "w").limit(HOT).collect()]
+    rest = small - sum(s * n for s, n in zip(star[1:], n_r, strict=False)) + BIG * (distinct - sum(n_r[:K]))  # counts freed for unknown words
+    # No more than `hot` words and `pairs` bigrams can reach these shares of the tokens.
+    hot_words = [(r["w"], r["c"]) for r in counts.where(F.col("c") * hot >= total).select("w", "c").collect()]
+    hot_pairs = [r["w"] for r in every.where("kind = 1").where(F.col("c") * pairs >= total).select("w").collect()]
     training_texts = texts.where("train").count()
     start = int(START) - (1 << 64) if int(START) >= 1 << 63 else int(START)
-    shared = spark.sparkContext.broadcast(_Words([*hot, (start, training_texts)], total, distinct, star, max(rest, 1e-12)))
-    parts = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, -(-total // BUCKET_TOKENS), 1)
+    shared = spark.sparkContext.broadcast(_Words([*hot_words, (start, training_texts)], hot_pairs, total, distinct, star, max(rest, 1e-12)))
+    parts = buckets or max(shuffles // 4, -(-total // BUCKET_TOKENS), 1)
+    slices = slices or max(1, -(-total // (parts * SLICE_TOKENS)))
 
     def known(batches):
         words_ = shared.value
         for batch in batches:
             w = batch.column("w").to_numpy().view(np.uint64)
             c = batch.column("c").to_numpy()
-            code, _ = words_.code(w)
-            rare = code == _NOT_HOT
+            rare = words_.code(w)[0] == _NOT_HOT
             w, c = w[rare], c[rare]
-            where = (mix(w) % U(parts)).astype(np.int64)
+            where = (mix(w) % U(parts * slices)).astype(np.int64) // slices
             order = np.argsort(where, kind="stable")
             cuts = _slices(where[order], parts)
             for p in range(parts):
@@ -449,9 +501,8 @@ def score(docs: DataFrame, train: DataFrame | None = None, buckets: int | None =
                 if len(mine):
                     yield _row(p, _KNOWN, 0, w[mine], c[mine])
 
-    dealt = _deal_bigrams(texts, shared, parts)
-    sent = dealt.withColumn("part", F.when(F.col("part") < 0, F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")).otherwise(F.col("part"))).unionByName(counts.mapInArrow(known, _PACKED))
-    tables = stored(_grouped(sent, parts, lambda part, rows: _count_bucket(shared, part, rows)))
+    sent = _deal_bigrams(texts, shared, parts, slices, block_bytes).unionByName(counts.select("w", "c").mapInArrow(known, _PACKED))
+    tables = stored(_grouped(sent, parts, "part", lambda part, rows: _count_bucket(shared, slices, part, rows), _PACKED))
 
     def count_counts(batches):
         for r in _rows(batches):
@@ -459,69 +510,39 @@ def score(docs: DataFrame, train: DataFrame | None = None, buckets: int | None =
 
     bigram_n = tables.where(F.col("kind") == _TABLE).mapInArrow(count_counts, "n array<long>").agg(*(F.sum(F.col("n")[r]) for r in range(1, K + 2))).first()
     bigram_star = np.array(discounts([0.0, *(float(x or 0) for x in bigram_n)]))
-    weighed = stored(_grouped(_contexts(tables, shared, bigram_star, parts), parts, lambda part, rows: _weigh(shared, part, rows)))
-
-    def hot_weights(batches):
-        words_ = shared.value
-        for r in _rows(batches):
-            w, x = np.frombuffer(r[3], np.uint64), np.frombuffer(r[4], np.float64)
-            code, _ = words_.code(w)
-            ok = code != _NOT_HOT
-            yield pa.RecordBatch.from_arrays([pa.array(code[ok].astype(np.int32)), pa.array(x[ok])], ["code", "x"])
-
-    known_weights = np.zeros(len(hot) + 1)  # of the HOT words and the start
-    for r in weighed.where(F.col("kind") == _WEIGHTS).mapInArrow(hot_weights, "code int, x double").toLocalIterator():
-        known_weights[r["code"]] = r["x"]
-    hot_shared = spark.sparkContext.broadcast(known_weights)
-
-    def hot_answers(batches):
-        for part, _, block, _, b, _, d, _ in _rows(batches):
-            code, text = np.frombuffer(b, np.uint16), np.frombuffer(d, np.uint16)
-            ok = code != _NOT_HOT
-            if ok.any():
-                yield _answer(part, block, text[ok], hot_shared.value[code[ok]])
-
-    log_star = np.log10(np.maximum(bigram_star, 1e-300))
-    log_start = float(np.log10(max(training_texts, 1)))
-
-    def add_up(part: int, rows: list):
-        by_block: dict[int, list] = {}
+    weights = stored(contexts(tables, shared, bigram_star))
+    # Hot bigrams' counts: `pairs` entries at most, in a row for each slice that has some.
+    pair_count, pair_c2, pair_end = np.zeros(len(hot_pairs)), np.zeros(len(hot_pairs)), np.zeros(len(hot_pairs), bool)
+    for r in tables.where(F.col("kind") == _PAIRS).select("a", "b", "c", "d").toLocalIterator():
+        at = np.frombuffer(r["a"], np.int64)
+        pair_count[at], pair_c2[at], pair_end[at] = np.frombuffer(r["b"], np.int64), np.frombuffer(r["c"], np.int64), np.frombuffer(r["d"], bool)
+    base_of, value_of = shared.value.shares(pair_count, pair_c2, pair_end)
+    of_pairs = spark.sparkContext.broadcast((pair_count.astype(np.int64), pair_c2, base_of, value_of))
+    log_star, log_start = np.log10(np.maximum(bigram_star, 1e-300)), float(np.log10(max(training_texts, 1)))
+
+    def add_up(_, rows):
+        """One block's texts: its own row comes first."""
+        _, kind, block, a, b, c, d, e = next(rows)
+        if kind != _TEXTS:
+            raise RuntimeError(f"block {block} has no texts")
+        ids, length, valid = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, bool)
+        n = len(ids)
+        held = np.frombuffer(d, np.uint32).reshape(2, -1)
+        pair, text = np.repeat(held[0], held[1]), np.frombuffer(e, np.uint16)
+        count, c2, base_p, value_p = (x[pair] for x in of_pairs.value)
+        base, value = (np.bincount(text, weights=x, minlength=n).astype(float) for x in (base_p, value_p))
+        by_count = np.bincount(text.astype(np.int64) * (K + 1) + np.where(count <= K, count, 0), minlength=n * (K + 1)).reshape(n, K + 1).astype(float)
+        by_count[:, 0] = np.bincount(text, weights=c2 > 0, minlength=n)
         for r in rows:
-            by_block.setdefault(r[2], []).append(r)
-        for own in by_block.values():
-            head = next(r for r in own if r[1] == _TEXTS)
-            ids, length, valid = np.frombuffer(head[3], np.int64), np.frombuffer(head[4], np.int64), np.frombuffer(head[6], bool)
-            n = len(ids)
-            base, value, by_count = np.zeros(n), np.zeros(n), np.zeros((n, K + 1))
-            for r in sorted(own, key=lambda r: (r[0], r[1])):
-                if r[1] == _SUMS:
-                    at = np.frombuffer(r[3], np.uint16)
-                    base[at] += np.frombuffer(r[4], np.float64)
-                    value[at] += np.frombuffer(r[5], np.float64)
-                    by_count[at] += np.frombuffer(r[6], np.uint32).reshape(-1, K + 1)
-            known_n = by_count[:, 0].astype(np.int64)
-            out = value + by_count[:, 1:] @ log_star[1:] - log_start if total else np.zeros(n)
-            yield ids, valid, length, known_n, base, out
-
-    def finish(batches):
-        now, own = None, []
-
-        def result(part, rows):
-            for ids, valid, length, known_n, base, out in add_up(part, rows):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), pa.array(length), pa.array(known_n), pa.array(np.full(len(ids), total, np.int64)), pa.array(base), pa.array(out)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        for r in _rows(batches):
-            if own and r[2] != now:
-                yield from result(now, own)
-                own = []
-            now = r[2]
-            own.append(r)
-        if own:
-            yield from result(now, own)
-
-    sums = tables.where(F.col("kind").isin(_SUMS, _TEXTS)).unionByName(weighed.where(F.col("kind") == _SUMS)).unionByName(tables.where(F.col("kind") == _UNSEEN).mapInArrow(hot_answers, _PACKED))
-    by_block = sums.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "kind", "part")
-    done = by_block.mapInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            at = np.frombuffer(r[3], np.uint16)
+            base[at] += np.frombuffer(r[4], np.float64)
+            value[at] += np.frombuffer(r[5], np.float64)
+            by_count[at] += np.frombuffer(r[6], np.uint32).reshape(-1, K + 1)
+        out = value + by_count[:, 1:] @ log_star[1:] - log_start if total else np.zeros(n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), pa.array(length), pa.array(by_count[:, 0].astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(out)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    sums = tables.where(F.col("kind").isin(_SUMS, _TEXTS)).unionByName(_unseen_answers(tables, weights, shared, shuffles))
+    done = _grouped(sums, shuffles, "block", add_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumn("doc_id", F.col("doc_id").cast(kind_of_id))
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from cohortflow.llm import ann, byte_bpe, chat_format, decontamination, entry, language_id, line_dedup, lm_scoring, near_dedup, toxicity
 from oracle import rows
+from pyspark.sql import functions as F
 
 
 def same_as_sql(spark, name, folder):
@@ -148,9 +149,17 @@ def brute_katz(docs):
         yield (i, i is not None and zlib.crc32(str(i).encode()) % 10 == 0, len(w), sum(uni[x] > 0 for x in w), total, round(base, 6), round(s, 6))
 
 
-def test_lm_scoring_equals_brute_force(spark, tiny, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HOT", 5)
-    got = [tuple(r)[:5] + (round(r["base_score"], 6), round(r["score"], 6)) for r in lm_scoring.op4_lm_scoring(spark, tiny).collect()]
+@pytest.mark.parametrize("setting", [{}, {"hot": 5, "pairs": 3, "buckets": 1, "slices": 1}, {"hot": 40, "pairs": 60, "buckets": 3, "slices": 4, "block_bytes": 4000}, {"hot": 1, "pairs": 1, "buckets": 2, "slices": 7, "block_bytes": 1}])
+def test_lm_scoring_equals_brute_force(spark, tiny, setting):
+    """Several blocks, buckets and slices; few and many hot words and bigrams."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    if setting:
+        train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) != 0
+        scored = lm_scoring.score(docs.withColumn("train", train).repartition(3), **setting)
+        scored = scored.withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0, F.lit(False)))
+    else:
+        scored = lm_scoring.op4_lm_scoring(spark, tiny)
+    got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in scored.collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute_katz(texts(spark, tiny))))
 
 
