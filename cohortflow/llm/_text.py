@@ -196,7 +196,8 @@ def kept(spark: SparkSession, frame: DataFrame) -> DataFrame:
 def stored(frame: DataFrame) -> DataFrame:
     """The frame as a compressed table in the shared folder."""
     path = f"{shared_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    # Small row groups: writers hold one of each task, and rows of packed arrays are large.
+    frame.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -23,8 +23,8 @@ table of contexts for alpha(v) and to the word's own probability. Nothing of the
 4. The answers of all buckets are added up for each block of texts, hot bigrams' by a broadcast of their counts.
 
 Rows between steps 2 and 4 are packed arrays, one for each block and bucket that have something in common, so never more
-than tokens; contexts and unseen bigrams are plain rows. Word codes are two bytes for hot words and 64-bit hashes for the
-others (two different words share one with probability n^2 / 2^65). Each step's output is written to the shared
+than tokens; contexts and unseen bigrams are plain rows. Word codes are three bytes for hot words and 64-bit hashes for
+the others (two different words share one with probability n^2 / 2^65). Each step's output is written to the shared
 checkpoint folder. The number of buckets follows the number of tokens. A task holds one block, or one bucket's packed
 counts and one slice; a text that alone exceeds a block is a block.
 
@@ -50,12 +50,12 @@ from cohortflow.llm._text import SPACE, U, mix, signed, stored, text_chunks, wor
 K = 5
 BIG = 0.01
 #: Bounds on the words and bigrams known to all tasks.
-HOT, PAIRS = 60_000, 4_000
+HOT, PAIRS = 1_000_000, 4_000
 #: Tokens of a bucket and of a slice of it; text bytes and texts of a block.
 BUCKET_TOKENS, SLICE_TOKENS = 4_000_000, 400_000
-BLOCK_BYTES, BLOCK_TEXTS = 8 << 20, 60_000
+BLOCK_BYTES, BLOCK_TEXTS = 4 << 20, 60_000
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-_NOT_HOT = 65535
+_NOT_HOT = 0xFFFFFF
 
 
 def _pieces(batches):
@@ -148,27 +148,35 @@ def _star(c: np.ndarray, by_count: np.ndarray) -> np.ndarray:
 class _Words:
     """What every task knows of words: the hot ones' codes and counts, hot bigrams, and how counts become probabilities."""
 
-    def __init__(self, hot: list[tuple[int, int]], pairs: list[int], total: int, distinct: int, star: list[float], rest: float):
-        order = np.array(hot, dtype=object).reshape(-1, 2)
-        h = np.array([x % (1 << 64) for x in order[:, 0]], np.uint64)
-        at = np.argsort(h)
-        self.hash, self.count = h[at], np.array(order[:, 1], np.float64)[at]
+    def __init__(self, hot: np.ndarray, hot_counts: np.ndarray, pairs: list[int], total: int, distinct: int, star: list[float], rest: float):
+        at = np.argsort(hot.view(np.uint64))
+        self.hash, self.count = hot.view(np.uint64)[at], hot_counts[at].astype(np.float64)
         self.pairs = np.sort(np.array([x % (1 << 64) for x in pairs], np.uint64))
         self.total, self.distinct, self.star, self.rest = float(total), distinct, np.array(star), rest
 
-    def code(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(code of each word, hashes of those without one)."""
+    def code(self, w: np.ndarray) -> np.ndarray:
+        """Each word's place among the hot ones, -1 for others."""
         if not len(self.hash):
-            return np.full(len(w), _NOT_HOT, np.uint16), w
+            return np.full(len(w), -1, np.int64)
         at = np.minimum(np.searchsorted(self.hash, w), len(self.hash) - 1)
-        hot = self.hash[at] == w
-        return np.where(hot, at, _NOT_HOT).astype(np.uint16), w[~hot]
-
-    def word(self, code: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        out = np.empty(len(code), np.uint64)
+        return np.where(self.hash[at] == w, at, -1)
+
+    def packed(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the words in bytes: three for each, then eight for each that isn't hot; which those are)."""
+        code = self.code(w)
+        rare = code < 0
+        code[rare] = _NOT_HOT
+        return _bytes((code & 0xFFFF).astype(np.uint16), (code >> 16).astype(np.uint8), w[rare]), rare
+
+    def unpacked(self, data: bytes, n: int, at: int = 0, to: int | None = None, rare_at: int = 0) -> np.ndarray:
+        """Words `at` to `to` of n packed ones, `rare_at` not hot ones standing before them."""
+        size = (n if to is None else to) - at
+        code = np.frombuffer(data, np.uint16, size, 2 * at) | (np.frombuffer(data, np.uint8, size, 2 * n + at).astype(np.int32) << 16)
         hot = code != _NOT_HOT
+        out = np.empty(size, np.uint64)
         out[hot] = self.hash[code[hot]]
-        out[~hot] = rare
+        rare = size - int(hot.sum())
+        out[~hot] = np.frombuffer(data[3 * n + 8 * rare_at : 3 * n + 8 * (rare_at + rare)], np.uint64)
         return out
 
     def pair(self, key: np.ndarray) -> np.ndarray:
@@ -219,7 +227,9 @@ def _grouped(frame: DataFrame, parts: int, column: str, reduce, schema: str) ->
         for value, rows in itertools.groupby(_rows(batches), key=lambda r: r[place]):
             yield from reduce(value, rows)
 
-    return frame.repartition(parts, column).sortWithinPartitions(column, "kind", "block", "part").mapInArrow(run, schema)
+    # Buckets are numbered, so each gets a partition of its own.
+    dealt = F.col(column) if column == "part" else F.xxhash64(column)
+    return frame.repartitionById(parts, F.pmod(dealt, F.lit(parts)).cast("int")).sortWithinPartitions(column, "kind", "block", "part").mapInArrow(run, schema)
 
 
 def _slices(keys: np.ndarray, parts: int) -> list[int]:
@@ -230,6 +240,16 @@ def _bytes(*arrays: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ascontiguousarray(a).view(np.uint8) for a in arrays])
 
 
+def _small(numbers: np.ndarray) -> np.ndarray:
+    """The numbers in as few bytes as their largest one needs."""
+    top = int(numbers.max()) if len(numbers) else 0
+    return numbers.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // n])
+
+
 def _deal_bigrams(texts: DataFrame, shared, parts: int, slices: int, block_bytes: int) -> DataFrame:
     """Each block's bigrams by bucket and slice: second words and runs, first words, training counts; and who holds them."""
 
@@ -244,7 +264,7 @@ def _deal_bigrams(texts: DataFrame, shared, parts: int, slices: int, block_bytes
             uniques = uniques.view(np.uint64)
             n = len(w)
             second, first = code[:n], code[n:]
-            hot = words_.code(uniques)[0] != _NOT_HOT
+            hot = words_.code(uniques) >= 0
             two, one = mix(uniques), mix(uniques ^ START)
             spread = ((np.where(hot[second], two[second] + one[first], two[second])) % U(parts * slices)).astype(np.int64)
             order = np.lexsort((first, second, spread)) if int(parts * slices).bit_length() + 2 * int(len(uniques)).bit_length() > 63 else np.argsort(((spread * len(uniques)) + second) * len(uniques) + first)
@@ -270,26 +290,20 @@ def _deal_bigrams(texts: DataFrame, shared, parts: int, slices: int, block_bytes
                 if a == b:
                     continue
                 change = np.flatnonzero(np.concatenate([[True], (second[a + 1 : b] != second[a : b - 1]) | (spread[a + 1 : b] != spread[a : b - 1])]))
-                code2, rare2 = words_.code(uniques[second[a:b][change]])
-                code1, rare1 = words_.code(uniques[first[a:b]])
+                packed2, rare2 = words_.packed(uniques[second[a:b][change]])
+                packed1, rare1 = words_.packed(uniques[first[a:b]])
                 # Where each slice begins: in second words, rare ones of them, first words, rare ones of them.
                 cut1 = np.array(edges, np.int64) - a
                 cut2 = np.searchsorted(change, cut1)
-                rare_before = lambda code, cut: np.concatenate([[0], np.cumsum(code == _NOT_HOT)])[cut]
-                head = np.stack([cut2, rare_before(code2, cut2), cut1, rare_before(code1, cut1)]).astype(np.uint32)
-                yield _row(part, _BIGRAMS, block, head.ravel(), _bytes(code2, rare2), np.diff(np.append(change, b - a)).astype(np.uint32), _bytes(code1, rare1), own[a:b])
+                before = lambda rare, cut: np.concatenate([[0], np.cumsum(rare)])[cut]
+                head = np.stack([cut2, before(rare2, cut2), cut1, before(rare1, cut1)]).astype(np.uint32)
+                yield _row(part, _BIGRAMS, block, head.ravel(), packed2, _small(np.diff(np.append(change, b - a))), packed1, _small(own[a:b]))
                 if begin[b] > begin[a]:
-                    yield _row(part, _HOLDERS, block, np.array([len(train)], np.uint32), sent[a:b], text[begin[a] : begin[b]])
+                    yield _row(part, _HOLDERS, block, np.array([len(train)], np.uint32), _small(sent[a:b]), text[begin[a] : begin[b]])
 
     return texts.mapInArrow(run, _PACKED)
 
 
-def _coded(data: bytes, n: int, at: int, rare_at: int, count: int, rare_count: int, words_: _Words) -> np.ndarray:
-    """`count` words from place `at` of n packed ones, the rare ones among them from `rare_at`."""
-    code = np.frombuffer(data, np.uint16, count, 2 * at)
-    return words_.word(code, np.frombuffer(data[2 * n + 8 * rare_at : 2 * n + 8 * (rare_at + rare_count)], np.uint64))
-
-
 def _count_bucket(shared, slices: int, part: int, rows):
     """A bucket's part of the bigram table, and for the texts of each block sums, counts and unseen bigrams."""
     words_ = shared.value
@@ -300,13 +314,14 @@ def _count_bucket(shared, slices: int, part: int, rows):
             known_w.append(np.frombuffer(a, np.uint64))
             known_c.append(np.frombuffer(b, np.int64))
         elif kind == _BIGRAMS:
-            blocks[block] = (np.frombuffer(a, np.uint32).reshape(4, slices + 1).astype(np.int64), b, np.frombuffer(c, np.uint32), d, np.frombuffer(e, np.uint32))
+            head = np.frombuffer(a, np.uint32).reshape(4, slices + 1).astype(np.int64)
+            blocks[block] = (head, b, _numbers(c, head[0, -1]), d, _numbers(e, head[2, -1]))
         elif kind == _TEXTS:
             yield _row(part, _TEXTS, block, *(np.frombuffer(x, np.uint8) for x in (a, b, c, d, e)))
         else:
             if counts is None:
                 counts = yield from _count_slices(words_, slices, part, blocks, np.concatenate(known_w), np.concatenate(known_c))
-            yield from _answers(words_, part, block, blocks[block], *counts[block], int(np.frombuffer(a, np.uint32)[0]), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint16))
+            yield from _answers(words_, part, block, blocks[block], *counts[block], int(np.frombuffer(a, np.uint32)[0]), _numbers(b, blocks[block][0][2, -1]), np.frombuffer(c, np.uint16))
             del blocks[block], counts[block]
     if counts is None and blocks:
         yield from _count_slices(words_, slices, part, blocks, np.concatenate(known_w), np.concatenate(known_c))
@@ -321,11 +336,11 @@ def _count_slices(words_: _Words, slices: int, part: int, blocks: dict, known_w:
     for s in range(slices):
         twos, ones, owns, where = [], [], [], []
         for block, (head, second, runs, first, own) in blocks.items():
-            (c2, r2, c1, r1), (to2, q2, to1, q1) = head[:, s].tolist(), head[:, s + 1].tolist()
+            (c2, r2, c1, r1), (to2, _, to1, _) = head[:, s].tolist(), head[:, s + 1].tolist()
             if c1 == to1:
                 continue
-            twos.append(np.repeat(_coded(second, int(head[0, -1]), c2, r2, to2 - c2, q2 - r2, words_), runs[c2:to2]))
-            ones.append(_coded(first, int(head[2, -1]), c1, r1, to1 - c1, q1 - r1, words_))
+            twos.append(np.repeat(words_.unpacked(second, int(head[0, -1]), c2, to2, r2), runs[c2:to2]))
+            ones.append(words_.unpacked(first, int(head[2, -1]), c1, to1, r1))
             owns.append(own[c1:to1])
             where.append((block, c1, to1))
         if not where:
@@ -340,8 +355,8 @@ def _count_slices(words_: _Words, slices: int, part: int, blocks: dict, known_w:
         head = order[at]  # one of each bigram
         two_, one_ = two[head], one[head]
         # The second word's own count: sent along, or known to all.
-        code = words_.code(two_)[0]
-        hot = code != _NOT_HOT
+        code = words_.code(two_)
+        hot = code >= 0
         c2 = np.zeros(len(two_), np.int64)
         c2[hot] = words_.count[code[hot]]
         if len(known_w):
@@ -363,17 +378,16 @@ def _count_slices(words_: _Words, slices: int, part: int, blocks: dict, known_w:
         seen = seen[np.argsort(two_[seen], kind="stable")]
         if len(seen):
             change = np.flatnonzero(np.concatenate([[True], two_[seen][1:] != two_[seen][:-1]]))
-            code2, rare2 = words_.code(two_[seen][change])
-            code1, rare1 = words_.code(one_[seen])
-            yield _row(part, _TABLE, 0, _bytes(np.array([len(code2)], np.uint32), code2, rare2, np.diff(np.append(change, len(seen))).astype(np.uint32)), _bytes(code1, rare1), total[seen], c2[seen][change], np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3).astype(np.int64))
+            runs = np.diff(np.append(change, len(seen))).astype(np.uint32)
+            of_counts = np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3)
+            yield _row(part, _TABLE, 0, words_.packed(two_[seen][change])[0], runs, words_.packed(one_[seen])[0], total[seen], np.concatenate([of_counts, c2[seen][change]]).astype(np.int64))
     return out
 
 
 def _answers(words_: _Words, part: int, block: int, bigrams: tuple, count: np.ndarray, c2: np.ndarray, n_texts: int, runs: np.ndarray, text: np.ndarray):
     """What a block's texts get from one bucket."""
     head, second, runs2, first, _ = bigrams
-    (n2, r2), (n1, r1) = head[:2, -1].tolist(), head[2:, -1].tolist()
-    ends = np.repeat(_coded(second, n2, 0, 0, n2, r2, words_) == END, runs2)
+    ends = np.repeat(words_.unpacked(second, int(head[0, -1])) == END, runs2)
     base, value = words_.shares(count.astype(np.float64), c2.astype(np.float64), ends)
     rows = np.repeat(np.arange(len(runs)), runs)
     has = np.flatnonzero(np.bincount(text, minlength=n_texts))
@@ -384,8 +398,7 @@ def _answers(words_: _Words, part: int, block: int, bigrams: tuple, count: np.nd
     yield _row(part, _SUMS, block, has.astype(np.uint16), add(base[rows]), add(value[rows]), by_count.astype(np.uint32))
     lost = np.flatnonzero(small == 0)
     if len(lost):
-        code1, rare1 = words_.code(_coded(first, n1, 0, 0, n1, r1, words_)[rows[lost]])
-        yield _row(part, _UNSEEN, block, code1, rare1, text[lost])
+        yield _row(part, _UNSEEN, block, words_.packed(words_.unpacked(first, int(head[2, -1]))[rows[lost]])[0], text[lost])
 
 
 def contexts(tables: DataFrame, shared, star: np.ndarray) -> DataFrame:
@@ -393,14 +406,10 @@ def contexts(tables: DataFrame, shared, star: np.ndarray) -> DataFrame:
 
     def run(batches):
         words_ = shared.value
-        for _, _, _, a, b, c, d, _ in _rows(batches):
-            n2 = int(np.frombuffer(a, np.uint32, 1)[0])
-            rare2 = int((np.frombuffer(a, np.uint16, n2, 4) == _NOT_HOT).sum())
-            runs = np.frombuffer(a[4 + 2 * n2 + 8 * rare2 :], np.uint32)
-            n1 = int(runs.sum())
-            one = words_.word(np.frombuffer(b, np.uint16, n1), np.frombuffer(b[2 * n1 :], np.uint64))
-            count = np.frombuffer(c, np.int64).astype(np.float64)
-            covered = np.repeat(words_.probability(np.frombuffer(d, np.int64).astype(np.float64)), runs)
+        for _, _, _, _, b, c, d, e in _rows(batches):
+            count = np.frombuffer(d, np.int64).astype(np.float64)
+            one = words_.unpacked(c, len(count))
+            covered = np.repeat(words_.probability(np.frombuffer(e, np.int64)[K + 3 :].astype(np.float64)), np.frombuffer(b, np.uint32))
             u, inverse = np.unique(one, return_inverse=True)
             freed, covered = np.bincount(inverse, weights=count - _star(count, star)), np.bincount(inverse, weights=covered)
             yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(freed), pa.array(covered)], ["v", "freed", "covered"])
@@ -423,29 +432,34 @@ def _unseen_answers(tables: DataFrame, weights: DataFrame, shared, parts: int) -
     def hot(batches):
         words_ = shared.value
         for batch in batches:
-            code, _ = words_.code(batch.column("v").to_numpy().view(np.uint64))
-            mine = pa.array(code != _NOT_HOT)
+            code = words_.code(batch.column("v").to_numpy().view(np.uint64))
+            mine = pa.array(code >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)).filter(mine), batch.column("weight").filter(mine)], ["code", "weight"])
 
     known = np.zeros(len(shared.value.hash))  # the hot words and the start
-    for r in weights.mapInArrow(hot, "code int, weight double").toLocalIterator():
-        known[r["code"]] = r["weight"]
+    found = weights.mapInArrow(hot, "code int, weight double").toArrow()
+    known[found.column("code").to_numpy()] = found.column("weight").to_numpy()
     hot_weights = spark.sparkContext.broadcast(known)
     unseen = tables.where(F.col("kind") == _UNSEEN)
 
     def hot_answers(batches):
-        for _, _, block, a, _, c, _, _ in _rows(batches):
-            code, text = np.frombuffer(a, np.uint16), np.frombuffer(c, np.uint16)
-            ok = code != _NOT_HOT
+        words_ = shared.value
+        for _, _, block, a, b, _, _, _ in _rows(batches):
+            text = np.frombuffer(b, np.uint16)
+            code = words_.code(words_.unpacked(a, len(text)))
+            ok = code >= 0
             if ok.any():
                 yield _sum_row(block, text[ok], hot_weights.value[code[ok]])
 
     def plain(batches):
-        for _, _, block, a, b, c, _, _ in _rows(batches):
-            text = np.frombuffer(c, np.uint16)[np.frombuffer(a, np.uint16) == _NOT_HOT]
-            if not len(text):
+        words_ = shared.value
+        for _, _, block, a, b, _, _, _ in _rows(batches):
+            text = np.frombuffer(b, np.uint16)
+            first = words_.unpacked(a, len(text))
+            rare = words_.code(first) < 0
+            if not rare.any():
                 continue
-            both, n = np.unique(np.stack([np.frombuffer(b, np.uint64), text.astype(np.uint64)]), axis=1, return_counts=True)
+            both, n = np.unique(np.stack([first[rare], text[rare].astype(np.uint64)]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(both[0].copy())), pa.array(np.full(len(n), block)), pa.array(both[1].astype(np.int32)), pa.array(n)], ["v", "block", "text", "n"])
 
     def packed(batches):
@@ -463,7 +477,7 @@ def _unseen_answers(tables: DataFrame, weights: DataFrame, shared, parts: int) -
 def score(docs: DataFrame, buckets: int | None = None, slices: int | None = None, hot: int = HOT, pairs: int = PAIRS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text, train).
 
-    `hot` (65,000 at most) and `pairs` bound the words and bigrams known to all tasks.
+    `hot` (16 million at most) and `pairs` bound the words and bigrams known to all tasks.
     """
     spark: SparkSession = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -478,11 +492,11 @@ def score(docs: DataFrame, buckets: int | None = None, slices: int | None = None
     small = sum(r * n for r, n in zip(range(1, K + 1), n_r, strict=False))
     rest = small - sum(s * n for s, n in zip(star[1:], n_r, strict=False)) + BIG * (distinct - sum(n_r[:K]))  # counts freed for unknown words
     # No more than `hot` words and `pairs` bigrams can reach these shares of the tokens.
-    hot_words = [(r["w"], r["c"]) for r in counts.where(F.col("c") * hot >= total).select("w", "c").collect()]
+    hot_words = counts.where(F.col("c") * hot >= total).select("w", "c").toArrow()
     hot_pairs = [r["w"] for r in every.where("kind = 1").where(F.col("c") * pairs >= total).select("w").collect()]
     training_texts = texts.where("train").count()
     start = int(START) - (1 << 64) if int(START) >= 1 << 63 else int(START)
-    shared = spark.sparkContext.broadcast(_Words([*hot_words, (start, training_texts)], hot_pairs, total, distinct, star, max(rest, 1e-12)))
+    shared = spark.sparkContext.broadcast(_Words(np.append(hot_words.column("w").to_numpy(), start), np.append(hot_words.column("c").to_numpy(), training_texts), hot_pairs, total, distinct, star, max(rest, 1e-12)))
     parts = buckets or max(shuffles // 4, -(-total // BUCKET_TOKENS), 1)
     slices = slices or max(1, -(-total // (parts * SLICE_TOKENS)))
 
@@ -491,7 +505,7 @@ def score(docs: DataFrame, buckets: int | None = None, slices: int | None = None
         for batch in batches:
             w = batch.column("w").to_numpy().view(np.uint64)
             c = batch.column("c").to_numpy()
-            rare = words_.code(w)[0] == _NOT_HOT
+            rare = words_.code(w) < 0
             w, c = w[rare], c[rare]
             where = (mix(w) % U(parts * slices)).astype(np.int64) // slices
             order = np.argsort(where, kind="stable")
@@ -506,7 +520,7 @@ def score(docs: DataFrame, buckets: int | None = None, slices: int | None = None
 
     def count_counts(batches):
         for r in _rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(r[7], np.int64).tolist()], pa.list_(pa.int64()))], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(r[7], np.int64)[: K + 3].tolist()], pa.list_(pa.int64()))], ["n"])
 
     bigram_n = tables.where(F.col("kind") == _TABLE).mapInArrow(count_counts, "n array<long>").agg(*(F.sum(F.col("n")[r]) for r in range(1, K + 2))).first()
     bigram_star = np.array(discounts([0.0, *(float(x or 0) for x in bigram_n)]))
