@@ -11,24 +11,28 @@ UNWEIGHTED = ("A3",)
 
 
 def rater_pairs(raters: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """item_id, axis, source_a, source_b, a, b for all pairs of sources in their given order."""
-    order = F.create_map(*(x for i, s in enumerate(sources) for x in (F.lit(s), F.lit(i))))
-    ranked = raters.where(F.col("source").isin(*sources)).withColumn("_rank", order[F.col("source")])
-    by_item = ranked.groupBy("item_id", "axis").agg(F.collect_list(F.struct("_rank", "source", "rating")).alias("r"))
-    # An item has one rating of each source: the array is as short as the list of sources.
-    each = by_item.select("item_id", "axis", F.explode("r").alias("x"), "r").select("item_id", "axis", "x", F.explode("r").alias("y")).where("x._rank < y._rank")
-    return each.select("item_id", "axis", F.col("x.source").alias("source_a"), F.col("y.source").alias("source_b"), F.col("x.rating").alias("a"), F.col("y.rating").alias("b"))
+    """item_id, axis, source_a, source_b, a, b for all pairs of sources in their given order.
 
+    An item's ratings are columns, one for each source; of a source that rates an item twice the largest rating counts.
+    """
+    own = lambda s: F.col("source") == s
+    columns = [x for i, s in enumerate(sources) for x in (F.max(F.when(own(s), F.col("rating"))).alias(f"_r{i}"), F.count(F.when(own(s), 1)).alias(f"_n{i}"))]
+    by_item = raters.where(F.col("source").isin(*sources)).groupBy("item_id", "axis").agg(*columns)
+    both = [(i, j) for i in range(len(sources)) for j in range(i + 1, len(sources))]
+    pair = lambda i, j: F.when((F.col(f"_n{i}") > 0) & (F.col(f"_n{j}") > 0), F.struct(F.lit(sources[i]).alias("source_a"), F.lit(sources[j]).alias("source_b"), F.col(f"_r{i}").alias("a"), F.col(f"_r{j}").alias("b")))
+    return by_item.select("item_id", "axis", F.explode(F.array(*(pair(i, j) for i, j in both))).alias("x")).where("x IS NOT NULL").select("item_id", "axis", "x.*")
 
-def _kappa(a: Column, b: Column, weighted: Column) -> Column:
+
+def _kappa(a: Column, b: Column, weighted: Column, copies: Column | None = None) -> Column:
     """Cohen's kappa over the fixed categories 0, 1, 2 of numeric pairs; null below two pairs or without expected disagreement."""
-    ok = a.isNotNull() & b.isNotNull()
-    n = F.count(F.when(ok, 1))
-    p = [F.avg(F.when(ok, (a == k).cast("double"))) for k in (0, 1, 2)]
-    q = [F.avg(F.when(ok, (b == k).cast("double"))) for k in (0, 1, 2)]
-    far = F.avg(F.when(ok, F.abs(a - b) / 2.0))
+    ok, c = a.isNotNull() & b.isNotNull(), F.lit(1) if copies is None else copies
+    n = F.coalesce(F.sum(F.when(ok, c)), F.lit(0))
+    mean = lambda x: F.sum(F.when(ok, x * c)) / F.sum(F.when(ok, c))
+    p = [mean((a == k).cast("double")) for k in (0, 1, 2)]
+    q = [mean((b == k).cast("double")) for k in (0, 1, 2)]
+    far = mean(F.abs(a - b) / 2.0)
     expected_far = sum((abs(i - j) / 2.0 * p[i] * q[j] for i in range(3) for j in range(3) if i != j), F.lit(0.0))
-    same = F.avg(F.when(ok, (a == b).cast("double")))
+    same = mean((a == b).cast("double"))
     expected_same = p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
     linear = F.when(expected_far > 1e-15, 1 - far / expected_far)
     plain = F.when(F.abs(1 - expected_same) > 1e-15, (same - expected_same) / (1 - expected_same))
@@ -40,19 +44,22 @@ def _numbers() -> tuple[Column, Column]:
 
 
 def agreement_table(raters: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """Per pair of sources and axis: exact agreement with and without "N/A", and kappa."""
-    pairs = rater_pairs(raters, sources)
+    """Per pair of sources and axis: exact agreement with and without "N/A", and kappa; from counts of pairs of ratings."""
+    pairs = rater_pairs(raters, sources).groupBy("source_a", "source_b", "axis", "a", "b").agg(F.count("*").alias("n"))
     a, b = _numbers()
+    n = F.col("n")
     whole = F.col("a").isNotNull() & F.col("b").isNotNull()
     numeric = a.isNotNull() & b.isNotNull()
     weighted = ~F.max("axis").isin(*UNWEIGHTED)
+    number = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long")
+    share = lambda x, of: F.sum(F.when(of, x.cast("double") * n)) / F.sum(F.when(of, n))
     return pairs.groupBy("source_a", "source_b", "axis").agg(
-        F.count("*").alias("n_items_common"),
-        F.count(F.when(whole, 1)).alias("n_all_ratings"),
-        F.avg(F.when(whole, (F.col("a") == F.col("b")).cast("double"))).alias("exact_agreement_including_na"),
-        F.count(F.when(numeric, 1)).alias("n_numeric_pairs"),
-        F.avg(F.when(numeric, (a == b).cast("double"))).alias("exact_agreement_numeric"),
-        _kappa(a, b, weighted).alias("cohen_kappa"),
+        F.sum("n").alias("n_items_common"),
+        number(whole).alias("n_all_ratings"),
+        share(F.col("a") == F.col("b"), whole).alias("exact_agreement_including_na"),
+        number(numeric).alias("n_numeric_pairs"),
+        share(a == b, numeric).alias("exact_agreement_numeric"),
+        _kappa(a, b, weighted, n).alias("cohen_kappa"),
         F.when(weighted, "linear_weighted").otherwise("unweighted").alias("kappa_method"),
     )
 

@@ -11,21 +11,25 @@ from cohortflow.functions.ratings import ALL_AXES, lenient_rating, long_ratings,
 
 
 def _statistics() -> list[Column]:
-    s, r = F.col("score"), F.col("rating")
-    number = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    """Of rows counted by rating: every figure is a sum of a few products, the median is that of weighted values."""
+    s, r, n = F.col("score"), F.col("rating"), F.col("n")
+    number = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long")
+    numeric, total = F.sum(F.when(s.isNotNull(), n)), F.sum(s * n)
+    spread = F.sum(s * s * n) - total * total / numeric
     return [
-        F.count("*").alias("n_total"),
-        F.count(s).alias("n_numeric"),
+        F.sum(n).alias("n_total"),
+        number(s.isNotNull()).alias("n_numeric"),
         number(r == "N/A").alias("n_na"),
-        F.avg(s).alias("mean"),
-        F.median(s).alias("median"),
-        F.stddev_samp(s).alias("std"),
+        (total / numeric).alias("mean"),
+        F.percentile(s, 0.5, n).alias("median"),
+        F.when(numeric > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (numeric - 1))).alias("std"),
         *(number(s == k).alias(f"count_{k}") for k in (0, 1, 2)),
     ]
 
 
-def _long(turns: DataFrame, factors: Sequence[str], axes: Sequence[str]) -> DataFrame:
-    rows = long_ratings(turns, list(factors), axes)
+def _counted(turns: DataFrame, factors: Sequence[str], axes: Sequence[str]) -> DataFrame:
+    """(factors, axis, rating, score, n): as many rows as the factors have combinations, times axes and ratings."""
+    rows = long_ratings(turns, list(factors), axes).groupBy(*factors, "axis", "raw").agg(F.count("*").alias("n"))
     r = lenient_rating(F.col("raw"))
     return rows.withColumn("rating", r).withColumn("score", numeric_view(r))
 
@@ -33,23 +37,23 @@ def _long(turns: DataFrame, factors: Sequence[str], axes: Sequence[str]) -> Data
 def score_summary(turns: DataFrame, factors: Sequence[str] = (), axes: Sequence[str] = ALL_AXES, overall: bool = True) -> DataFrame:
     """Per axis, overall and for every level of each factor; shares are of the numeric scores."""
     sets = [(f, f) for f in factors] + ([("overall", None)] if overall else [])
-    rows = _long(turns.select("*"), factors, axes)
-    # One expansion gives every grouping's rows; the aggregate is then a single one.
+    rows = _counted(turns, factors, axes)
+    # One expansion of the counts gives every grouping's rows; the aggregate is then a single one.
     named = F.explode(F.array(*(F.struct(F.lit(n).alias("factor"), (F.col(f).cast("string") if f else F.lit("all")).alias("level")) for n, f in sets)))
-    g = rows.select("axis", "rating", "score", named.alias("x")).groupBy("x.factor", "x.level", "axis").agg(*_statistics())
+    g = rows.select("axis", "rating", "score", "n", named.alias("x")).groupBy("x.factor", "x.level", "axis").agg(*_statistics())
     return g.withColumns({f"prop_{k}": F.when(F.col("n_numeric") > 0, F.col(f"count_{k}") / F.col("n_numeric")) for k in (0, 1, 2)})
 
 
 def grouped_score_summary(turns: DataFrame, factors: Sequence[str], axes: Sequence[str] = ALL_AXES) -> DataFrame:
     """Per combination of factors and axis; the share of score 2 is of all rows, as long as one is numeric."""
-    g = _long(turns, factors, axes).groupBy(*factors, "axis").agg(*_statistics()).drop("std")
+    g = _counted(turns, factors, axes).groupBy(*factors, "axis").agg(*_statistics()).drop("std")
     return g.withColumn("prop_score_2", F.when(F.col("n_numeric") > 0, F.col("count_2") / F.col("n_total")))
 
 
 def grouping_report(turns: DataFrame, groupings: Sequence[Sequence[str]], axes: Sequence[str] = ALL_AXES) -> DataFrame:
     """Several groupings in one pass: a null factor column is one that the row is not grouped by; `grouping` names those it is."""
     factors = list(dict.fromkeys(f for g in groupings for f in g))
-    rows = _long(turns, factors, axes)
+    rows = _counted(turns, factors, axes)
     g = rows.groupingSets([[F.col(x) for x in [*own, "axis"]] for own in groupings], *(F.col(f) for f in factors), F.col("axis")).agg(*_statistics(), *(F.grouping(f).alias(f"_g_{f}") for f in factors))
     names = F.concat_ws("+", *(F.when(F.col(f"_g_{f}") == 0, F.lit(f)) for f in factors))
     return g.withColumn("grouping", F.when(names == "", "overall").otherwise(names)).drop(*(f"_g_{f}" for f in factors))
