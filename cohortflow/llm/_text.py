@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass looks at; longer texts are cut at separators and put together again.
 CHUNK_BYTES = 1 << 21
@@ -39,6 +40,8 @@ NON_ALNUM[0x30:0x3A] = False
 NON_ALNUM[0x61:0x7B] = False
 NON_ALNUM[0x80:] = False
 
+_PLAIN = ("doc_id", "text")
+
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -201,9 +204,17 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def own_name(taken, name: str) -> str:
-    """`name`, with underscores in front until no column of the frame (whatever its case) is called so."""
-    names = {c.lower() for c in taken}
-    while name.lower() in names:
-        name = f"_{name}"
-    return name
+def framed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row: all other columns go into one struct, where no name of theirs can clash with an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in _PLAIN]
+    return docs.select(*(c for c in _PLAIN if c in docs.columns), F.struct(*rest or [F.lit(0).alias("none")]).alias("row"))
+
+
+def unframed(frame: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again, in their order."""
+    return frame.select(*columns_of(docs))
+
+
+def columns_of(docs: DataFrame) -> list:
+    """Those columns, as they are read from a frame made by `framed`."""
+    return [F.col(c) if c in _PLAIN else F.col("row").getField(c).alias(c) for c in docs.columns]

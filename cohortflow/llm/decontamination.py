@@ -10,11 +10,12 @@ Words are the runs of bytes outside [\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-ca
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has no windows; the windows
 of an item with a null id mark words but are not listed as an item; repeated benchmark rows count once, repeated
-documents give a row each; an empty benchmark hits nothing; extra columns of documents are kept and those whose names
-clash with the results are replaced.
+documents give a row each; shingles that are as rare as each other are taken in order of their hashes, which changes no
+result; a text of any length is probed whole; an empty benchmark hits nothing; extra columns of documents are kept and
+those whose names clash with the results are replaced, but the stage returns all of them as they were.
 
-The benchmark is measured first. Up to `block_windows` windows travel to the tasks as one variable; more are dealt in
-blocks of that size, each joined with all documents, and the hits of the blocks are united.
+The benchmark is measured first. Up to `block_windows` windows of BLOCK_BYTES at most travel to the tasks as one variable;
+more are dealt in blocks of that size, each joined with all documents, and the hits of the blocks are united.
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from cohortflow.llm._text import NON_ALNUM, FOLD, U, kept, shingle_hashes, signed, text_chunks, words
+from cohortflow.llm._text import FOLD, NON_ALNUM, U, columns_of, framed, kept, shingle_hashes, signed, text_chunks, unframed, words
 
-#: Windows that one broadcast may hold: with 10 words each about 100 MB of Python objects at most.
-BLOCK_WINDOWS = 100_000
+#: Windows, and bytes of their words, that one broadcast may hold: about 100 MB of Python objects at most.
+BLOCK_WINDOWS, BLOCK_BYTES = 100_000, 16 << 20
 SHINGLE_WORDS = 5
 
-_RESULT = "n_words long, n_hit long, item_ids array<string>"
+_RESULT = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("item_ids", ArrayType(StringType()))]
+_RANGES = StructField("ranges", ArrayType(StructType().add("first", IntegerType()).add("n", IntegerType())))
 
 
 def _word_bytes(text: str | None) -> list[bytes]:
@@ -139,8 +142,7 @@ def _document_frequency(docs: DataFrame, shingles: dict[int, np.ndarray]) -> Dat
 
 def _probe(docs: DataFrame, prober, with_ranges: bool) -> DataFrame:
     """Adds the results of one block to every row of `docs`; with_ranges also the hit runs, to be united with others."""
-    extra = ", ranges array<struct<first: int, n: int>>" if with_ranges else ""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + _RESULT + extra
+    schema = StructType([*docs.schema.fields, *_RESULT, *([_RANGES] if with_ranges else [])])
 
     def probe(batches):
         p = prober.value
@@ -178,10 +180,10 @@ def _covered(runs: list[tuple[int, int]]) -> int:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle_words: int = SHINGLE_WORDS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """`docs` with n_words, n_hit and item_ids (sorted strings) of the windows of `benchmark` that occur in each text."""
     spark: SparkSession = docs.sparkSession
-    docs = docs.drop("n_words", "n_hit", "item_ids", "ranges")
+    docs = docs.drop("n_words", "n_hit", "item_ids")
     windows = kept(spark, benchmark_windows(benchmark, window))
-    total = windows.count()
-    blocks = max(1, -(-total // block_windows))
+    total, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
+    blocks = max(1, -(-total // block_windows), -(-size // BLOCK_BYTES))
 
     def block(i: int) -> list[tuple[bytes, list[str]]]:
         mine = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == i)
@@ -208,7 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         hit = kept(spark, hit)
         sides = hit if sides is None else sides.unionByName(hit)
     united = sides.groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("_items"), F.flatten(F.collect_list("ranges")).alias("_ranges"))
-    plain = _probe(docs, spark.sparkContext.broadcast(_Prober([], shingle_words, {})), False).drop("n_hit", "item_ids")
+    plain = _probe(framed(docs), spark.sparkContext.broadcast(_Prober([], shingle_words, {})), False).drop("n_hit", "item_ids")
     joined = plain.withColumn("_key", F.sha2("text", 256)).join(united, "_key", "left")
     # Runs in order; each adds what lies beyond the furthest end so far.
     state = F.aggregate(
@@ -219,7 +221,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
             F.greatest(s["end"], (r["first"] + r["n"]).cast("long")).alias("end"),
         ),
     )
-    return joined.select(*docs.columns, "n_words", F.coalesce(state["total"], F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("item_ids"))
+    return joined.select(*columns_of(docs), "n_words", F.coalesce(state["total"], F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +238,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a window of the benchmark go."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0").select(*docs.columns)
+    """Pipeline stage: documents that hold a window of the benchmark go; the others keep every column, whatever its name."""
+    return unframed(decontaminate(framed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0"), docs)
 
 
 ORACLE = r"""

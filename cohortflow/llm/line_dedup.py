@@ -12,8 +12,10 @@ The answer is one row per document that loses lines: (doc_id, row_hash, n_lines,
 per line, 1 = keep.
 
 Defined results: a null or empty text is one empty line; documents with a null doc_id neither count as holders nor lose
-lines; rows that repeat a doc_id count as one document, and each keeps its own bitmap (row_hash tells texts apart);
-an empty table gives no rows.
+lines; rows that repeat a doc_id count as one document, and each keeps its own bitmap (a row is known by its doc_id and the
+64-bit hash of its text, row_hash); equal lines of one document share its fate; a text of any length is cut whole; an empty
+table gives no rows. Extra columns are kept whatever their names, but for `bitmap`, which `with_bitmaps` replaces and
+`stage` keeps.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm._text import FOLD, SPACE, kept, signed, span_hashes, text_chunks
+from cohortflow.llm._text import FOLD, SPACE, framed, kept, signed, span_hashes, text_chunks, unframed
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -204,9 +206,9 @@ def unpack(bitmap: bytes, n_lines: int) -> np.ndarray:
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Every row of docs with its bitmap, null where it keeps all lines."""
-    side = bitmaps.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row"), "bitmap").hint("shuffle_hash")
-    own = docs.drop("bitmap")
-    return own.join(side, (own["doc_id"] == F.col("_id")) & (F.xxhash64(own["text"]) == F.col("_row")), "left").drop("_id", "_row")
+    own, side = docs.drop("bitmap").alias("d"), bitmaps.hint("shuffle_hash").alias("b")
+    met = (F.col("d.doc_id") == F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.row_hash"))
+    return own.join(side, met, "left").select("d.*", "b.bitmap")
 
 
 def _kept_text(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
@@ -230,7 +232,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without the dropped lines; n_chars follows the text where the table has it."""
+    """Pipeline stage: texts without the dropped lines; n_chars follows the text where the table has it, and every other
+    column, whatever its name, comes out as it was."""
 
     @F.pandas_udf("string")
     def cut(text, bitmap):
@@ -238,10 +241,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         return pd.Series([t if b is None else _kept_text(t, b)[2] for t, b in zip(text, bitmap, strict=True)], dtype=object)
 
-    joined = with_bitmaps(docs, keep_bitmaps(docs)).withColumn("text", cut("text", "bitmap"))
+    own = framed(docs)
+    joined = with_bitmaps(own, keep_bitmaps(own)).withColumn("text", cut("text", "bitmap"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("bitmap").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+        n = F.when(F.col("bitmap").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+        joined = joined.withColumn("row", F.col("row").withField("n_chars", n))
+    return unframed(joined, docs)
 
 
 ORACLE = r"""

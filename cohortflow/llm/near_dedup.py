@@ -18,8 +18,9 @@ Components come from alternating large-star and small-star steps on the links; l
 the executors.
 
 Defined results: null, empty or wordless texts have an empty set, are linked with nothing and kept; a null doc_id never
-names a component unless all its ids are null; repeated rows fall into one class and each is reported; an empty table
-gives an empty result; extra columns are ignored.
+names a component unless all its ids are null; repeated rows fall into one class and each is reported; a text of any
+length is one set; leaders that tie are chosen by class key, which changes no result; an empty table gives an empty
+result; extra columns are ignored by the operator and returned as they were by the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm._text import SPACE, U, kept, mix, shingle_hashes, signed, text_chunks, words
+from cohortflow.llm._text import SPACE, U, framed, kept, mix, shingle_hashes, signed, text_chunks, unframed, words
 
 BANDS = 32
 ROWS = 5
@@ -262,23 +263,28 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays (five-word shingles, 0.8); texts without a word all stay."""
-    found = kept(spark, near_duplicates(docs))
-    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct().hint("shuffle_hash")
-    rest = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tk")), "left_anti")
+    """Pipeline stage: one document of each group stays, by the query's own setting (two-word shingles, 0.8).
+
+    Texts without a word all stay; every column of those that stay, whatever its name, comes out as it was.
+    """
+    own = framed(docs)
+    found = kept(spark, near_duplicates(own, shingle_words=2))
+    key = F.xxhash64("d.text")
+    same = lambda side: F.col("d.doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & (key == F.col(f"{side}.tk"))
+    gone = found.where("not kept").select("doc_id", "tk").distinct().hint("shuffle_hash")
+    rest = own.alias("d").join(gone.alias("g"), same("g"), "left_anti")
     # Rows that repeat an id as well as a text are kept together above; only such tables need another look.
-    twice = found.where("kept and component is not null").groupBy("component").count().where("count > 1")
+    grouped = found.where("kept and component is not null")
+    twice = grouped.groupBy("component").count().where("count > 1")
     if not twice.isEmpty():
-        own = found.where("kept and component is not null").join(twice, "component", "left_semi")
-        first = own.groupBy("component").agg(F.min(F.struct("doc_id", "tk")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.tk").alias("_tk"))
-        several = own.select(F.col("doc_id").alias("_i"), F.col("tk").alias("_t")).distinct()
-        is_own = lambda i, t: docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(t))
-        lone = rest.join(several, is_own("_i", "_t"), "left_anti")
-        again = docs.join(first, is_own("_id", "_tk"), "left_semi")
-        key = F.xxhash64("text")
-        again = again.withColumn("_k", key).dropDuplicates(["doc_id", "_k"]).drop("_k")
-        rest = lone.unionByName(again)
-    return rest.select(*docs.columns)
+        mine = grouped.join(twice, "component", "left_semi")
+        first = mine.groupBy("component").agg(F.min(F.struct("doc_id", "tk")).alias("f")).select("f.*")
+        lone = rest.alias("d").join(mine.select("doc_id", "tk").distinct().alias("s"), same("s"), "left_anti")
+        again = own.alias("d").join(first.alias("f"), same("f"), "left_semi")
+        # Of rows equal in id and text the first in the order of their other columns' text.
+        one = again.groupBy("doc_id", "text").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        rest = lone.unionByName(one)
+    return unframed(rest, docs)
 
 
 ORACLE = r"""

@@ -6,36 +6,46 @@ every word's marginal; the score of a document is a logistic function of their s
 words over one half are the offending offsets.
 
 Learning: labels mark documents, so tokens are labelled first. A feature is a toxic sign if it occurs in toxic labelled
-documents far oftener than chance allows (log-likelihood ratio) and hardly elsewhere; the words of toxic documents that
-carry a sign are labelled toxic, all other words clean. The weights then maximise the conditional likelihood of these
-chains. It is all fitted on a sample of at most SAMPLE_DOCS labelled rows (smallest hash of doc_id) and SAMPLE_BYTES of
-their text; scoring covers every text whole.
+documents far oftener than chance allows and hardly elsewhere. How far follows the sample: by the log-likelihood ratios
+of all features tested, at most SIGN_RATE of the signs are expected to be chance. The words of toxic documents that carry
+a sign are labelled toxic, all other words clean. The weights then maximise the conditional likelihood of these chains.
+It is all fitted on a sample of at most SAMPLE_DOCS labelled rows (smallest hash of doc_id), whole texts; its features
+are a table in the shared folder and each step of training a job over it. Scoring covers every text whole.
 
 Chains are cut into blocks so that numpy can step through all texts of a chunk at once: the product of each block's
 2 x 2 matrices links the blocks of a text, and the marginals are those of the unbroken chain.
 
 Defined results: a null, empty or wordless text has no marginals and scores what the logistic gives for none; a null
 doc_id is never learned from; labels other than 0 and 1 are ignored; without any labelled row of either class all
-scores are 0; repeated rows get a row each; extra columns are kept and those named like results replaced.
+scores are 0; repeated rows get a row each and are learned from once; a text of any length is one chain, its words cut
+in pieces of bounded memory; ties of hashes are broken by id, text and label; an empty table gives an empty result.
+`score` keeps extra columns and replaces those named like its results; `stage` returns every column as it was.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
+
+from cohortflow.llm._text import FOLD, NON_ALNUM, U, _powers, _values, framed, mix, stored, text_chunks, unframed, words
 
-from cohortflow.llm._text import FOLD, NON_ALNUM, U, _powers, _values, mix, text_chunks, words
+_SPAN = StructType().add("start", LongType()).add("end", LongType())
+_SCORES = StructType().add("score", DoubleType()).add("predicted", IntegerType()).add("spans", ArrayType(_SPAN))
 
+#: Labelled rows of the sample; its tasks, and text bytes that a step of training looks at.
 SAMPLE_DOCS = 8000
-SAMPLE_BYTES = 20 << 20
+SAMPLE_PARTS, SAMPLE_CHUNK = 12, 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
 TABLE_BITS = 20
 BLOCK = 128
 EPOCHS = 25
-#: A sign's least log-likelihood ratio and purity.
-SIGN_RATIO, SIGN_PURITY = 24.0, 0.75
+#: The share of signs that may be there by chance, and a sign's least purity.
+SIGN_RATE, SIGN_PURITY = 0.01, 0.75
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -174,91 +184,186 @@ def _ratio(t: np.ndarray, c: np.ndarray, n_t: int, n_c: int) -> np.ndarray:
     return 2 * (part(t, n_t, t / n_t) + part(c, n_c, c / n_c) - part(t, n_t, rate) - part(c, n_c, rate))
 
 
-def fit(rows: list[tuple[str, int]]) -> dict:
-    """The model of a sample of (text, label)."""
-    labels = np.array([y for _, y in rows], np.int64)
-    if not len(rows) or labels.min() == labels.max():
-        return {"empty": True}
-    size = 1 << TABLE_BITS
-    in_toxic, in_clean = np.zeros(size), np.zeros(size)
-    parts = []  # (features, labels of texts, chains) of each chunk: all that grows with the sample
-    for first, last, data, offsets in text_chunks(pa.array([t for t, _ in rows], pa.string())):
-        _, s, e, counts = words(data, offsets, NON_ALNUM)
-        feats, own = features(data, s, e), labels[first:last]
-        text = np.repeat(np.arange(len(counts)), counts)
-        for row in feats:
-            ok = row >= 0
-            pair = np.unique(text[ok] * size + row[ok])
-            toxic = own[pair // size] == 1
-            in_toxic += np.bincount(pair[toxic] % size, minlength=size)
-            in_clean += np.bincount(pair[~toxic] % size, minlength=size)
-        parts.append((feats, counts, own))
-    n_t, n_c = int(labels.sum()), int((1 - labels).sum())
-    # Purity on equal footing: as if both classes had as many documents.
-    purity = (in_toxic / n_t) / np.maximum(in_toxic / n_t + in_clean / n_c, 1e-12)
-    sign = np.append((_ratio(in_toxic, in_clean, n_t, n_c) >= SIGN_RATIO) & (purity >= 0.5 + SIGN_PURITY / 2) & (in_toxic > 2 * in_clean), False)
+def _significant(ratio: np.ndarray, tested: int) -> float:
+    """The least ratio that a sign needs: of all features at or over it, SIGN_RATE at most are expected by chance."""
+    order = np.sort(ratio)[::-1]
+    # Twice the log of a likelihood ratio is distributed as the square of a normal variable.
+    chance = np.array([math.erfc(math.sqrt(max(r, 0.0) / 2)) for r in order.tolist()])
+    ok = np.flatnonzero(chance * max(tested, 1) <= SIGN_RATE * np.arange(1, len(order) + 1))
+    return float(order[ok[-1]]) if len(ok) else math.inf
+
+
+_SIZE = 1 << TABLE_BITS
+
+
+def _sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
+    """(text, toxic) of sample_docs labelled rows at most, those with the smallest hashes of doc_id."""
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    # A threshold first, so that what is sorted doesn't grow with the table; a fifth more than is needed.
+    n = usable.agg(F.approx_count_distinct("doc_id")).first()[0]
+    share = 1.2 * sample_docs / max(n, 1)
+    if share < 1:
+        usable = usable.where(F.xxhash64("doc_id") < F.lit(int(share * (1 << 64)) - (1 << 63)))
+    chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_docs)
+    # The sample's ids, sample_docs at most, are what is broadcast.
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return own.dropDuplicates().orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "text", "toxic").limit(sample_docs).select("text", "toxic")
+
+
+def _featured(sample: DataFrame) -> DataFrame:
+    """Chunks of the sample as (features, words of each text, labels), packed; a table in the shared folder."""
+
+    def run(batches):
+        for batch in batches:
+            labels = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int8)
+            for first, last, data, offsets in text_chunks(batch.column("text"), SAMPLE_CHUNK):
+                _, s, e, counts = words(data, offsets, NON_ALNUM)
+                packed = (features(data, s, e), counts.astype(np.int64), labels[first:last])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["f", "n", "y"])
+
+    return stored(sample.repartition(SAMPLE_PARTS, F.xxhash64("text")).mapInArrow(run, "f binary, n binary, y binary"))
+
+
+def _over_chunks(chunks: DataFrame, task, known=None):
+    """What `task(chunks of a partition, known)`, three arrays, gives for each partition of the sample."""
+    shared = chunks.sparkSession.sparkContext.broadcast(known)
+    names = ["at", "values", "rest"]
+
+    def run(batches):
+        def unpacked():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    f, n, y = (batch.column(j)[i].as_py() for j in range(3))
+                    yield np.frombuffer(f, np.int32).reshape(1 + len(PREFIXES), -1), np.frombuffer(n, np.int64), np.frombuffer(y, np.int8)
+
+        out = [np.ascontiguousarray(a, np.float64).tobytes() for a in task(unpacked(), shared.value)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], names)
+
+    for row in chunks.mapInArrow(run, ", ".join(f"{x} binary" for x in names)).toLocalIterator():
+        yield [np.frombuffer(x, np.float64) for x in row]
+    shared.destroy()
+
+
+def _sparse(x: np.ndarray) -> list[np.ndarray]:
+    at = np.flatnonzero(x)
+    return [at, x[at]]
+
+
+def _add_up(parts) -> tuple[np.ndarray, np.ndarray]:
+    """The sums over partitions of (places, values) pairs, and of the few numbers beside them."""
+    total, rest = np.zeros(_SIZE + 1), np.zeros(5)
+    for at, values, others in parts:
+        total[at.astype(np.int64)] += values
+        rest[: len(others)] += others
+    return total, rest
+
+
+def _count_task(label: int):
+    def task(chunks, _):
+        seen, n = np.zeros(_SIZE), 0
+        for feats, counts, y in chunks:
+            mine = np.repeat(y == label, counts)
+            text = np.repeat(np.arange(len(counts)), counts)[mine]
+            pairs = [np.unique(text[row >= 0] * _SIZE + row[row >= 0]) for row in feats[:, mine]]
+            for pair in pairs:
+                seen += np.bincount(pair % _SIZE, minlength=_SIZE)
+            n += int((y == label).sum())
+        return [*_sparse(seen), np.array([n])]
+
+    return task
+
+
+def _tagged(feats, counts, y, sign):
+    """The words labelled toxic."""
+    return np.repeat(y == 1, counts) & sign[feats].any(axis=0)
+
+
+def _moves_task(chunks, sign):
     seen = np.zeros((2, 2))
-    chunks = []
-    for feats, counts, own in parts:
-        y = np.repeat(own == 1, counts) & sign[feats].any(axis=0)
-        prior = np.zeros_like(y)
-        prior[1:] = y[:-1]
+    for feats, counts, y in chunks:
+        tags = _tagged(feats, counts, y, sign)
+        prior = np.zeros_like(tags)
+        prior[1:] = tags[:-1]
         prior[(np.cumsum(counts) - counts)[counts > 0]] = False
-        seen += np.array([[(~prior & ~y).sum(), (~prior & y).sum()], [(prior & ~y).sum(), (prior & y).sum()]], float)
-        chunks.append((feats, y, Chains(counts), counts))
-    del parts
-    move = np.log((seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True))
-    weight, bias = np.zeros(size + 1), 0.0
-    square_w, square_b, square_m = np.full(size + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    for _ in range(EPOCHS):
-        grad, gap_all, moves = np.zeros(size + 1), 0.0, np.zeros((2, 2))
-        for feats, y, chains, _ in chunks:
-            p, own_moves = chains.marginals(emissions(weight, bias, feats), move, True)
-            gap = y - p
+        seen += np.array([[(~prior & ~tags).sum(), (~prior & tags).sum()], [(prior & ~tags).sum(), (prior & tags).sum()]], float)
+    return [np.zeros(0), np.zeros(0), seen.ravel()]
+
+
+def _gradient_task(sign):
+    def task(chunks, model):
+        used, values, bias, move = model
+        weight = np.zeros(_SIZE + 1)
+        weight[used] = values
+        grad, gap_all, moves = np.zeros(_SIZE + 1), 0.0, np.zeros((2, 2))
+        for feats, counts, y in chunks:
+            p, own_moves = Chains(counts).marginals(emissions(weight, bias, feats), move, True)
+            gap = _tagged(feats, counts, y, sign) - p
             far = np.flatnonzero(np.abs(gap) > 1e-7)  # the others' share of the gradient is nothing
             for row in feats[:, far]:
-                grad += np.bincount(np.where(row < 0, size, row), weights=gap[far], minlength=size + 1)
+                grad += np.bincount(np.where(row < 0, _SIZE, row), weights=gap[far], minlength=_SIZE + 1)
             gap_all += gap.sum()
             moves += own_moves
+        return [*_sparse(grad), np.append(moves.ravel(), gap_all)]
+
+    return task
+
+
+def _aggregate_task(chunks, model):
+    used, values, bias, move = model
+    weight = np.zeros(_SIZE + 1)
+    weight[used] = values
+    x, labels = [np.zeros((0, 4))], [np.zeros(0)]
+    for feats, counts, y in chunks:
+        x.append(_aggregates(Chains(counts).marginals(emissions(weight, bias, feats), move)[0], counts))
+        labels.append(y.astype(float))
+    return [np.zeros(0), np.concatenate(x).ravel(), np.concatenate(labels)]
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
+    """A model from the labelled documents in `labels` (doc_id, toxic).
+
+    Every step over the sample is a Spark job; the driver adds up a gradient of at most 2^20 weights from each partition.
+    """
+    chunks = _featured(_sample(docs, labels, sample_docs))
+    in_toxic, n_t = _add_up(_over_chunks(chunks, _count_task(1)))
+    in_clean, n_c = _add_up(_over_chunks(chunks, _count_task(0)))
+    n_t, n_c = int(n_t[0]), int(n_c[0])
+    if not n_t or not n_c:
+        return {"empty": True}
+    # Purity on equal footing: as if both classes had as many documents.
+    purity = (in_toxic / n_t) / np.maximum(in_toxic / n_t + in_clean / n_c, 1e-12)
+    could = np.flatnonzero((purity >= 0.5 + SIGN_PURITY / 2) & (in_toxic > 2 * in_clean))
+    ratio = _ratio(in_toxic[could], in_clean[could], n_t, n_c)
+    sign = np.zeros(_SIZE + 1, bool)
+    sign[could[ratio >= _significant(ratio, int(((in_toxic + in_clean) > 0).sum()))]] = True
+    seen = _add_up(_over_chunks(chunks, _moves_task, sign))[1][:4].reshape(2, 2)
+    move = np.log((seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True))
+    weight, bias = np.zeros(_SIZE + 1), 0.0
+    square_w, square_b, square_m = np.full(_SIZE + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    used = lambda: (np.flatnonzero(weight).astype(np.int32), weight[weight != 0], bias, move)
+    for _ in range(EPOCHS):
+        grad, rest = _add_up(_over_chunks(chunks, _gradient_task(sign), used()))
+        moves, gap_all = rest[:4].reshape(2, 2), rest[4]
         grad -= 0.05 * weight
-        grad[size] = 0
+        grad[_SIZE] = 0
         square_w += grad * grad
         weight += 0.8 * grad / np.sqrt(square_w)
-        weight[size] = 0
+        weight[_SIZE] = 0
         step = seen - moves - 0.05 * move
         square_m += step * step
         move = move + 0.2 * step / np.sqrt(square_m)
         square_b += gap_all**2
         bias += 0.2 * gap_all / np.sqrt(square_b)
-    x = [_aggregates(chains.marginals(emissions(weight, bias, feats), move)[0], counts) for feats, _, chains, counts in chunks]
-    final = _logistic(np.concatenate(x), labels.astype(float))
-    used = np.flatnonzero(np.abs(weight) > 1e-3)
-    return {"used": used.astype(np.int32), "weight": weight[used], "bias": bias, "move": move, "final": final}
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict:
-    """A model from the labelled documents in `labels` (doc_id, toxic)."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_docs)
-    # The sample's ids, sample_docs at most, are what is broadcast; only its texts are read into the driver, up to the bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "text", "toxic")
-    sample, used = [], 0
-    for r in rows.select("text", "toxic").toLocalIterator():
-        if used >= sample_bytes:
-            break
-        sample.append((r["text"] or "", r["toxic"]))
-        used += len(sample[-1][0])
-    return fit(sample)
-
-
-_tables: dict[int, np.ndarray] = {}
+    x, y = zip(*((a.reshape(-1, 4), b) for _, a, b in _over_chunks(chunks, _aggregate_task, used())), strict=True)
+    final = _logistic(np.concatenate(x), np.concatenate(y))
+    large = np.flatnonzero(np.abs(weight) > 1e-3)
+    return {"used": large.astype(np.int32), "weight": weight[large], "bias": float(bias), "move": move, "final": final}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """`docs` with score, predicted and spans, the offending (start, end) in code points of the text."""
     docs = docs.drop("score", "predicted", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -289,7 +394,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             flat = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flat), pa.array((flat >= 0.5).astype(np.int32)), pa.array(spans, span)], [*batch.schema.names, "score", "predicted", "spans"])
 
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int, spans array<struct<start: long, end: long>>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *_SCORES.fields]))
 
 
 def _fold(column: str):
@@ -304,11 +409,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted toxic go."""
+    """Pipeline stage: documents predicted toxic go; the others keep all their columns, whatever they are called."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold("doc_id") != 0)
-    own = docs.withColumnRenamed("score", "_score").withColumnRenamed("predicted", "_predicted").withColumnRenamed("spans", "_spans")
-    kept_rows = score(own, learn(docs, labels)).where("predicted = 0").drop("score", "predicted", "spans")
-    return kept_rows.withColumnRenamed("_score", "score").withColumnRenamed("_predicted", "predicted").withColumnRenamed("_spans", "spans").select(*docs.columns)
+    return unframed(score(framed(docs), learn(docs, labels)).where("predicted = 0"), docs)
 
 
 QUERIES = {"op6_toxicity": op6_toxicity}

@@ -84,6 +84,38 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark, tiny):
     assert left[200] == 1 and not any(left[k] for k in (201, 205, 210, 211, 212)) and left[220] == left[221] == left[222] == 1 and left[None] == 1
 
 
+@pytest.mark.parametrize("module", (toxicity, line_dedup, near_dedup, decontamination))
+def test_stages_return_every_column(spark, tiny, module):
+    """Columns named like the operators' own come out as they were."""
+    taken = "ranges item_ids n_words n_hit bitmap row_hash row _id _row _tk tk _k _key _score score predicted spans held_out kept cls component none".split()
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "lang", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in taken))
+    out = module.stage(spark, docs, tiny)
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert found and all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in found for n in taken)
+
+
+def test_toxicity_held_out(spark):
+    """Labels of held-out documents, a tenth of all labels being wrong."""
+    import random
+
+    from conftest import BAD, text
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        toxic = rng.random() < 0.3
+        words = text(rng, rng.choice([5, 40, 150])).split()
+        if toxic:
+            words.insert(rng.randrange(len(words)), rng.choice(BAD))
+        rows.append((i, " ".join(words), int(toxic), int(toxic != (rng.random() < 0.1))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, truth int, toxic int")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = toxicity.learn(docs.select("doc_id", "text"), docs.where(~held).select("doc_id", "toxic"))
+    right = [r["truth"] == r["predicted"] for r in toxicity.score(docs.where(held), model).collect()]
+    assert len(right) > 50 and sum(right) / len(right) >= 0.97
+
+
 def test_byte_bpe_equals_tiktoken(spark, tiny):
     import public_tokenizers as p
     import tiktoken
