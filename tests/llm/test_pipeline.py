@@ -28,7 +28,7 @@ def test_pipeline(spark, tiny):
             if i is not None and len(key(x)) >= 20:
                 holders[key(x)].add(i)
     docs = [(i, "\n".join(x for x in (t or "").split("\n") if i is None or len(holders[key(x)]) < 3 or max(holders[key(x)]) == i)) for i, t in docs]
-    sets = [(lambda w: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())(words(t)) for _, t in docs]
+    sets = [(lambda w: {tuple(w[j : j + 2]) for j in range(max(1, len(w) - 1))} if w else set())(words(t)) for _, t in docs]
     root = list(range(len(docs)))
     for _ in range(6):
         for a in range(len(docs)):
@@ -48,3 +48,9 @@ def test_pipeline(spark, tiny):
 
     want = sorted((repr(i), hashlib.sha256(t.encode()).hexdigest()) for i, t in docs if clean(t))
     assert sorted((repr(r["doc_id"]), r["decoded_sha256"]) for r in got) == want
+
+
+def test_pipeline_on_empty_tables(spark, empty):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, empty).count() == 0
