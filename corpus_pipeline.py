@@ -4,6 +4,11 @@ A stage takes (spark, docs, sf_dir), docs being what its predecessor kept, and r
 one returns their ids' and decoded bytes' digests. Toxic documents go; lines that many documents hold go from all but
 the last; of each group of near copies the smallest doc_id stays; documents with a passage of the benchmark go; what is
 left is encoded. Each stage's output is written as Parquet and read again, so a lost executor costs one stage at most.
+
+Defined results: null, empty and wordless texts pass all stages but toxicity's, which scores them like any other; a null
+doc_id is never learned from, loses no lines and stays unless it is a copy of a document with an id; of repeated rows one
+stays; ties and texts of any length are as the operators' modules say; empty tables give an empty result; extra columns,
+whatever their names, pass unchanged up to the last stage, which returns ids and digests only.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortflow.llm import byte_bpe, decontamination, line_dedup, near_dedup, toxicity
-from cohortflow.llm._text import kept
+from cohortflow.llm._text import shared_folder
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -29,8 +34,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    kept(spark, spark.range(0))  # sets the shared folder where the session has none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
