@@ -228,22 +228,51 @@ def test_marginals_equal_enumeration():
     assert abs(moves.sum() - counts.sum()) < 1e-6
 
 
+def parsed(clean, sample):
+    """Phrases of the greedy parse, by looking for every piece in the sample."""
+    phrases, at = 0, 0
+    while at < len(clean):
+        size = 1
+        while at + size < len(clean) and clean[at : at + size + 1] in sample:
+            size += 1
+        at, phrases = at + size, phrases + 1
+    return phrases
+
+
 def test_cross_parsing_equals_brute_force():
-    samples = {"a": "abracadabra abra", "b": "banana bandana"}
+    """Short texts, texts over many lanes that never meet the lane's own parse, and large alphabets."""
+    import random
+
+    rng = random.Random(4)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    samples = {"a": "abracadabra abra", "b": "banana bandana", "long": "ab" * 4000 + " ba", "han": "".join(rng.choice(han[:1500]) for _ in range(3000)), "kan": "".join(rng.choice(han[1500:]) for _ in range(3000)), "prose": " ".join(rng.choice(["the", "river", "stone", "of", "light"]) for _ in range(800))}
     parser = language_id.CrossParser(samples)
-    for t in ["abrabanana cab", "zzz", "b", "Dana! bra"]:
-        data = np.frombuffer(t.encode(), np.uint8)
-        cost, letters, symbols = parser.costs(data, np.array([0, len(data)]))
-        clean = re.sub("[^a-z]+", " ", t.lower())
-        assert symbols[0] == len(clean)
-        for k, lang in enumerate(sorted(samples)):
-            phrases, at = 0, 0
-            while at < len(clean):
-                size = 1
-                while at + size < len(clean) and clean[at : at + size + 1] in samples[lang]:
-                    size += 1
-                at, phrases = at + size, phrases + 1
-            assert abs(cost[0, k] - phrases * math.log2(len(samples[lang])) / len(clean)) < 1e-9
+    texts = ["abrabanana cab", "zzz", "b", "Dana! bra", "ab" * 3000, "ab" * 1500 + "x" + "ba" * 900, "".join(rng.choice(han) for _ in range(700)), samples["prose"][37:] + " " + samples["prose"][:900], "", "a" * language_id.LANE, "river" * 400, samples["han"][5:2500]]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    cost, letters, symbols = parser.costs(data, np.cumsum([0] + [len(t.encode()) for t in texts]))
+    for i, t in enumerate(texts):
+        clean = re.sub(r"[\W\d_]+", " ", t.lower())
+        assert symbols[i] == len(clean)
+        for k, lang in enumerate(parser.langs):
+            assert abs(cost[i, k] - parsed(clean, samples[lang]) * math.log2(len(samples[lang])) / max(len(clean), 1)) < 1e-9
+    assert parser.costs(data[:0], np.zeros(1, np.int64))[0].shape == (0, 6)
+
+
+def test_language_id_equals_brute_force(spark, tiny):
+    """The whole query: sample, parse and choice."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    samples = language_id.learn(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1))
+    own = {lang: {re.sub(r"[\W\d_]+", " ", r["text"].lower()) for r in docs.collect() if r["doc_id"] is not None and r["text"] and r["lang"] == lang and fold(r["doc_id"]) != 1} for lang in ("en", "fr")}
+    for lang, sample in samples.items():  # whole texts of that language's learning fold
+        assert sum(len(t) for t in own[lang] if t in sample) >= len(sample) - 2 * language_id.SAMPLE_DOCS
+    for r in language_id.op7_language_id(spark, tiny).collect():
+        text = next(d["text"] for d in docs.where(F.col("doc_id").eqNullSafe(r["doc_id"])).collect()) if r["doc_id"] in (None, 5, 13, 23, 225, 230, 231) else None
+        if text is None:
+            continue
+        clean = re.sub(r"[\W\d_]+", " ", text.lower())
+        costs = {lang: parsed(clean, s) * math.log2(len(s)) for lang, s in sorted(samples.items())}
+        assert r["doc_id"] is None or r["lang_pred"] == min(costs, key=costs.get)
 
 
 def test_language_id(spark, tiny):
@@ -296,6 +325,29 @@ def test_ann_one_much_longer_vector(spark, tmp_path, ratio):
     assert hits / 2000 >= 0.95
 
 
+@pytest.mark.parametrize("ratio", (1, 10_000))
+def test_ann_several_shards_and_dimensions(spark, ratio):
+    """Clustered vectors over several shards, blocks and lanes; another number of components; a shard of a single row."""
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(40, 64))[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 64))).astype(np.float32)
+    x[11] *= ratio
+    other = rng.normal(size=(60, 3)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, v.tolist()) for i, v in enumerate(other)], "vec_id long, embedding array<float>")
+    index = ann.build_index(frame, shard_rows=400)
+    assert index.where("dim = 64").count() >= 5
+    found = defaultdict(set)
+    for r in ann.search(index, frame.where("vec_id % 20 = 0"), block=40).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for base, rows_ in ((0, x), (10_000, other)):
+        y = rows_.astype(np.float64)
+        for q in range(0, len(y), 20):
+            best = [base + v for v in np.argsort(-(y @ y[q])).tolist() if v != q][:20]
+            assert len(found[base + q]) == 20
+            hits += len(set(best) & found[base + q])
+    assert hits / (20 * len(found)) >= 0.95 and len(found) == 153
+
+
 def test_ann_prunes_close_points_by_their_distances():
     """Points closer than float32 tells apart get the edges of the rule by exact distances."""
     rng = np.random.default_rng(6)
