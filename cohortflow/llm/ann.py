@@ -7,22 +7,24 @@ search on the graph so far, and of all points met the relaxed rule keeps as neig
 of those that are not ALPHA times closer to a kept one than to the point, and so on, DEGREE at most. Edges back are added
 and pruned by the same rule. An index is a table of one row per shard: vectors, edges, ids.
 
-A search sends blocks of queries to all shards; each block is answered with a beam search on the shard's graph, numpy
-stepping through all queries of the block at once. Shards of a few hundred rows are scanned. All is computed in
-double precision. Scores are inner products of the original vectors; the shards' lists are merged by score, ties to the smaller vec_id.
+A search sends blocks of queries to all shards: rows of both are dealt by shard and lane, a shard's row going first, so a
+task holds one shard and one block at a time. Each block is answered with a beam search on the shard's graph, numpy
+stepping through all queries of the block at once. All is computed in double precision. Scores are inner products of the
+original vectors; the shards' lists are merged by score, ties to the smaller vec_id.
 
 Equal vectors are one point of the graph that carries its 21 smallest ids: more can't be among a query's 20 nearest, as
 ties go to the smaller id. Nothing else is left out; every vector is indexed.
 
 Defined results: null ids and vectors that are null, all zero, empty or hold null or non-finite components take no part;
-vectors of different lengths never meet; repeated rows count once; an empty table gives an empty result; extra columns
-are ignored.
+vectors of different numbers of components never meet; repeated rows count once; an empty table gives an empty result;
+extra columns are ignored whatever their names. There are no texts, so no very long ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,6 @@ DEGREE = 32
 ALPHA = 1.2
 BUILD_BEAM = 64
 SEARCH_BEAM = 128
-SCAN_ROWS = 512
 _WIDTH = 4  # points that a step of the search expands for each query
 
 
@@ -194,12 +195,32 @@ def build_index(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS) -
         x = np.stack(part["embedding"].tolist()).astype(np.float64)
         counts = np.fromiter(map(len, part["ids"]), np.int32, len(part))
         longest = float(np.sqrt(np.einsum("nd,nd->n", x, x).max()))
-        edges = build_graph(_evened(x, longest)).astype(np.int32) if len(x) > SCAN_ROWS else np.zeros(0, np.int32)
+        edges = build_graph(_evened(x, longest)).astype(np.int32)
         return pd.DataFrame({"shard": [key[0]], "class": [key[1]], "dim": [key[2]], "n": [len(x)], "longest": [longest], "counts": [counts.tobytes()], "ids": [np.concatenate(part["ids"].tolist()).astype(np.int64).tobytes()], "vectors": [x.tobytes()], "edges": [edges.tobytes()]})
 
     return kept(spark, dealt.groupBy("shard", "class", "dim").applyInPandas(build, "shard int, class int, dim int, n int, longest double, counts binary, ids binary, vectors binary, edges binary"))
 
 
+def _found(x, points, edges, counts, begin, ids, q, k: int, beam: int) -> tuple[pa.Array, pa.Array]:
+    """The ids and inner products of the k + 1 best vectors of a shard for each query."""
+    n = len(x)
+    flat = np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))], axis=1)
+    lists, scores = [], []
+    for a in range(0, len(q), 256):
+        met, _ = beam_search(points, edges, n, flat[a : a + 256], max(beam, k + 1), _entries(n))
+        for i, places in enumerate(met, a):
+            places = places[places < n]
+            close = np.cumsum(x[places] * q[i], axis=1)[:, -1]
+            m = counts[places]
+            all_ids = ids[np.repeat(begin[places], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)]
+            all_close = np.repeat(close, m)
+            best = np.lexsort((all_ids, -all_close))[: k + 1]
+            lists.append(all_ids[best])
+            scores.append(all_close[best])
+    offsets = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(scores)))
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all shards for each query, never the query's own row."""
     spark = index.sparkSession
@@ -208,36 +229,33 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH
     blocks = max(1, -(-distinct.count() // block))
     blocked = distinct.withColumn("block", F.pmod(F.hash("qkey", "qhash"), F.lit(blocks)))
     packed = blocked.groupBy("dim", "block").agg(F.collect_list(F.struct("qkey", "qhash", "embedding")).alias("asked"))
-    # Every block of queries goes to every shard of its dimension: an equi-join on the shard's number.
-    sent = index.join(packed, "dim")
+    # A shard is read by several tasks where there are fewer shards than tasks; each takes its share of the blocks.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = index.count()
+    lanes = max(1, min(blocks, -(-parts // max(shards, 1))))
+    places = index.select("shard", "class", "dim")
+    no_block, no_shard = F.lit(None).cast(packed.schema["asked"].dataType), F.lit(None).cast("binary")
+    graphs = index.select("shard", "class", "dim", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(-1).alias("block"), "n", "longest", "counts", "ids", "vectors", "edges", no_block.alias("asked"))
+    # Every block goes to every shard of its dimension; the shards' names are few, their rows are not sent along.
+    sent = packed.join(places, "dim").select("shard", "class", "dim", F.pmod("block", F.lit(lanes)).alias("lane"), "block", F.lit(0).alias("n"), F.lit(0.0).alias("longest"), *(no_shard.alias(c) for c in ("counts", "ids", "vectors", "edges")), "asked")
+    met = graphs.unionByName(sent).repartition(max(parts, shards), "shard", "class", "dim", "lane").sortWithinPartitions("shard", "class", "dim", "lane", "block")
 
     def answer(batches):
-        for frame in batches:
-            for row in frame.itertuples(index=False):
-                x = np.frombuffer(row.vectors, np.float64).reshape(row.n, row.dim)
-                counts = np.frombuffer(row.counts, np.int32)
-                begin = np.cumsum(counts) - counts
-                ids = np.frombuffer(row.ids, np.int64)
-                q = np.stack([a["embedding"] for a in row.asked]).astype(np.float64)
-                out = {"qkey": [a["qkey"] for a in row.asked], "qhash": [a["qhash"] for a in row.asked], "found": []}
-                if len(row.edges):
-                    points = _evened(x, row.longest)
-                    edges = np.frombuffer(row.edges, np.int32).astype(np.int64).reshape(row.n + 1, DEGREE)
-                    flat = np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))], axis=1)
-                    met = np.concatenate([beam_search(points, edges, row.n, flat[a : a + 256], max(beam, k + 1), _entries(row.n))[0] for a in range(0, len(q), 256)])
+        shard = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                value = lambda name, i=i, batch=batch: batch.column(name)[i].as_py()
+                if value("block") < 0:
+                    x = np.frombuffer(value("vectors"), np.float64).reshape(value("n"), value("dim"))
+                    counts, edges = np.frombuffer(value("counts"), np.int32), np.frombuffer(value("edges"), np.int32)
+                    shard = (x, _evened(x, value("longest")), edges.astype(np.int64).reshape(len(x) + 1, DEGREE), counts, np.cumsum(counts) - counts, np.frombuffer(value("ids"), np.int64))
                 else:
-                    met = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, : max(beam, k + 1)]
-                for i, places in enumerate(met):
-                    places = places[places < row.n]
-                    close = np.cumsum(x[places] * q[i], axis=1)[:, -1]
-                    n = counts[places]
-                    all_ids = ids[np.repeat(begin[places], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-                    all_close = np.repeat(close, n)
-                    best = np.lexsort((all_ids, -all_close))[: k + 1]
-                    out["found"].append([{"vec_id": int(v), "score": float(s)} for v, s in zip(all_ids[best], all_close[best], strict=True)])
-                yield pd.DataFrame(out)
-
-    hits = sent.repartition("shard", "class", "block").mapInPandas(answer, "qkey long, qhash long, found array<struct<vec_id: long, score: double>>")
+                    asked = batch.column("asked")[i].values
+                    q = asked.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(asked), -1)
+                    yield pa.RecordBatch.from_arrays([asked.field("qkey"), asked.field("qhash"), *_found(*shard, q, k, beam)], ["qkey", "qhash", "ids", "scores"])
+
+    hits = met.mapInArrow(answer, "qkey long, qhash long, ids array<long>, scores array<double>")
+    hits = hits.select("qkey", "qhash", F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score")).alias("found"))
     one = hits.select("qkey", "qhash", F.explode("found").alias("f"))
     order = Window.partitionBy("qkey", "qhash").orderBy(F.col("f.score").desc(), "f.vec_id")
     best = one.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
