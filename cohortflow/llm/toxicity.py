@@ -239,7 +239,8 @@ def _over_chunks(chunks: DataFrame, task, known=None):
         out = [np.ascontiguousarray(a, np.float64).tobytes() for a in task(unpacked(), shared.value)]
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], names)
 
-    for row in chunks.mapInArrow(run, ", ".join(f"{x} binary" for x in names)).toLocalIterator():
+    # A row for each of the sample's few partitions.
+    for row in chunks.mapInArrow(run, ", ".join(f"{x} binary" for x in names)).collect():
         yield [np.frombuffer(x, np.float64) for x in row]
     shared.destroy()
 
