@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortflow.plans import event_queries, rating_queries, text_queries
+from cohortflow.plans import event_queries, rating_queries, store_queries, text_queries
 
-QUERIES = {**rating_queries.QUERIES, **event_queries.QUERIES, **text_queries.QUERIES}
-ORACLES = {**rating_queries.ORACLES, **event_queries.ORACLES, **text_queries.ORACLES}
+QUERIES = {**rating_queries.QUERIES, **event_queries.QUERIES, **text_queries.QUERIES, **store_queries.QUERIES}
+ORACLES = {**rating_queries.ORACLES, **event_queries.ORACLES, **text_queries.ORACLES, **store_queries.ORACLES}

@@ -173,12 +173,28 @@ def blinding_digests(spark, sf_dir):
     return t.select("run_id", "turn_number", hashing.response_hash(F.col("response_text")).alias("source_response_hash"), hashing.hmac_sha256(KEY, message).alias("digest"))
 
 
-@query()
+def _token(digest):
+    """Twenty base-32 letters of a hex digest: four for each five hex digits."""
+    return " || ".join(f"substr('abcdefghijklmnopqrstuvwxyz234567', CAST((CAST('0x' || substr({digest}, {5 * (i // 4) + 1}, 5) AS BIGINT) >> {15 - 5 * (i % 4)}) & 31 AS INT) + 1, 1)" for i in range(20))
+
+
+def _keyed(message, key=KEY):
+    """The token of a message under a key, as SQL."""
+    outer, inner = (bytes(b ^ pad for b in key.ljust(64, b"\0")).hex() for pad in (0x5C, 0x36))
+    return _token(f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))")
+
+
+_ITEMS = f"""{_CUT}, usable AS (SELECT *, sha256(response_text) AS source_response_hash FROM scorable WHERE reason = 'complete_pre_truncation' AND trim(response_text) <> ''),
+items AS (SELECT 'item_' || {_keyed("concat_ws(chr(31), 'annotation-item-v1', 'initial', run_id, turn_number, source_response_hash)")} AS item_id, run_id, turn_number, response_text AS response_to_score, source_response_hash FROM usable)"""
+
+
+@query(f"WITH {_ITEMS} SELECT item_id, 'initial' AS rating_round, turn_number, response_to_score, source_response_hash FROM items")
 def blinded_items(spark, sf_dir):
     return events.blinded_items(_scorable(spark, sf_dir), KEY)[0]
 
 
-@query()
+@query(f"""WITH {_ITEMS}, ranked AS (SELECT *, row_number() OVER (ORDER BY {_keyed("concat_ws(chr(31), 'rerating-selection-v1', item_id, source_response_hash)", b"seed-1")}, item_id) AS r, count(*) OVER () AS c FROM items)
+  SELECT 'item_' || {_keyed("concat_ws(chr(31), 'annotation-item-v1', 'rerating', 'seed-1', run_id, turn_number, source_response_hash)")} AS item_id, 'rerating' AS rating_round, turn_number, response_to_score, source_response_hash FROM ranked WHERE r <= ceil(c * 0.2)""")
 def rerating_sample(spark, sf_dir):
     items, item_map = events.blinded_items(_scorable(spark, sf_dir), KEY)
     return events.rerating_sample(items, item_map, KEY, "seed-1", 0.2)[0]
@@ -332,11 +348,10 @@ def join_report(spark, sf_dir):
     return integrity.join_report(h, j)
 
 
-@query(f"WITH {LOG} SELECT annotator_id FROM log WHERE item_id IN (SELECT item_id FROM log ORDER BY item_id LIMIT 1) GROUP BY annotator_id")
+@query("SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) = (SELECT count(DISTINCT l_returnflag) FROM lineitem)")
 def relational_division(spark, sf_dir):
-    log = annotation_log(spark, sf_dir)
-    first = log.agg(F.min("item_id").alias("item_id"))
-    return integrity.covers_all(log, first, "annotator_id")
+    flags = _table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_returnflag").alias("item_id"))
+    return integrity.covers_all(flags, flags, "l_partkey")
 
 
 @query(f"""WITH {LOG} SELECT CASE WHEN item_id LIKE '%9_2' THEN 'unmapped_item' WHEN item_id LIKE '%4_3' THEN 'unknown_run' WHEN item_id LIKE '%6_2' THEN 'hash_mismatch' END AS problem, count(*) AS n FROM log GROUP BY 1""")

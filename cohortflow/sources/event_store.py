@@ -5,7 +5,10 @@ Readers take explicit schemas; a malformed line fails or is kept aside, never si
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+import tempfile
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +29,27 @@ def read_json_files(spark: SparkSession, pattern: str, schema: str, strict: bool
     return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").schema(f"{schema}, _broken string").json(pattern).withColumn("_file", F.input_file_name())
 
 
-def read_headers(spark: SparkSession, root: str) -> DataFrame:
-    return read_json_files(spark, f"{root}/*/run.json", HEADER)
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only a local session may go without one and gets a folder of its own."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-store-")
+    return folder
 
 
-def read_turns(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+def read_headers(spark: SparkSession, root: str, files: str = "run.json") -> DataFrame:
+    return read_json_files(spark, f"{root}/*/{files}", HEADER)
+
+
+def read_turns(spark: SparkSession, root: str, prefix: str = "", files: str = "turn-*-success.json") -> DataFrame:
     """Success events of the runs whose directories start with the prefix: others aren't opened."""
-    return read_json_files(spark, f"{root}/{prefix}*/turn-*-success.json", TURN)
+    return read_json_files(spark, f"{root}/{prefix}*/{files}", TURN)
 
 
-def read_errors(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    return read_json_files(spark, f"{root}/{prefix}*/*error*.json", ERROR)
+def read_errors(spark: SparkSession, root: str, prefix: str = "", files: str = "*error*.json") -> DataFrame:
+    return read_json_files(spark, f"{root}/{prefix}*/{files}", ERROR)
 
 
 def read_log(spark: SparkSession, path: str, schema: str = ANNOTATION) -> DataFrame:
@@ -70,11 +83,38 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_config(spark: SparkSession, path: str) -> dict:
-    """A small JSON document as a dictionary, through Spark's own file access."""
-    import json
+def read_config(spark: SparkSession, path: str, required: Sequence[str] = ()) -> dict:
+    """A small JSON or YAML document (by its ending) as a dictionary, through Spark's own file access.
+
+    A document that isn't a mapping, or lacks a required key, is an error.
+    """
+    text = spark.read.text(path, wholetext=True).first()["value"]  # a configuration file
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        found = yaml.safe_load(text)
+    else:
+        import json
+
+        found = json.loads(text)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} isn't a mapping")
+    if missing := [k for k in required if found.get(k) in (None, "", [], {})]:
+        raise ValueError(f"{path} lacks {missing}")
+    return found
+
+
+def read_lexicon(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
+    """The categories of a lexicon file, as `lexical_features` takes them."""
+    from cohortflow.functions.text import checked_lexicon
 
-    return json.loads("\n".join(r["value"] for r in spark.read.text(path).collect()))  # a configuration file
+    return checked_lexicon(read_config(spark, path, ("version", "categories"))["categories"])
+
+
+def data_dictionary(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """A row for every column of the tables: table, position from 1, field and type, from their schemas."""
+    rows = [(t, i, f.name, f.dataType.simpleString()) for t, frame in tables.items() for i, f in enumerate(frame.schema, 1)]
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, position int, field string, type string")
 
 
 def flatten_turns(records: DataFrame) -> DataFrame:
@@ -104,18 +144,37 @@ def write_once(frame: DataFrame, path: str, kind: str = "json", overwrite: bool
     frame.write.mode("overwrite" if overwrite else "errorifexists").options(**options).format(kind).save(path)
 
 
-def append_events(frame: DataFrame, path: str, key: str = "event_id") -> int:
-    """Appends events that the store doesn't hold yet, partitioned by run; the number of rows that were new."""
-    spark = frame.sparkSession
+@contextmanager
+def append_lock(spark: SparkSession, path: str) -> Iterator[None]:
+    """Holds path.lock, a file that one writer alone can create; a second writer is refused."""
+    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
+    files = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.createNewFile(lock):
+        raise RuntimeError(f"{path} is being written to: {path}.lock exists")
     try:
-        known = spark.read.parquet(path).select(key)
-    except Exception as e:  # noqa: BLE001  only a store that doesn't exist yet is empty
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = frame.select(key).limit(0)
-    fresh = frame.join(known, key, "left_anti").dropDuplicates([key])
-    n = fresh.count()
-    fresh.write.mode("append").partitionBy("run_id").parquet(path)
+        yield
+    finally:
+        files.delete(lock, False)
+
+
+def append_events(frame: DataFrame, path: str, key: str = "event_id", by: str = "run_id", reject: bool = False) -> int:
+    """Appends events that the store doesn't hold yet, partitioned by a column; the number of rows that were new.
+
+    One writer at a time. With `reject`, keys that the store holds or that repeat are an error and nothing is written.
+    """
+    spark = frame.sparkSession
+    with append_lock(spark, path):
+        try:
+            known = spark.read.parquet(path).select(key)
+        except Exception as e:  # noqa: BLE001  only a store that doesn't exist yet is empty
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            known = frame.select(key).limit(0)
+        fresh = frame.join(known, key, "left_anti").dropDuplicates([key])
+        n = fresh.count()
+        if reject and n < frame.count():
+            raise ValueError(f"values of {key} repeat or are in {path} already")
+        fresh.write.mode("append").partitionBy(by).parquet(path)
     return n
 
 

@@ -300,3 +300,40 @@ def test_stream_deduplicates(spark, tmp_path):
     q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_lexicon_file(spark, tmp_path):
+    path = tmp_path / "lexicon.json"
+    path.write_text(json.dumps({"version": "2", "categories": {" advice ": [" Try ", "try", "You Should"]}}))
+    assert event_store.read_lexicon(spark, str(path)) == {"advice": ("try", "you should")}
+    row = text.lexical_features(spark.createDataFrame([("you should try",)], "t string"), "t", event_store.read_lexicon(spark, str(path))).first()
+    assert row["advice_count"] == 2
+    for bad in ({"version": "2"}, {"version": "2", "categories": {"a": ["?!"]}}, {"version": "2", "categories": {"a": []}}, {"version": "2", "categories": {" ": ["a"]}}, ["a"]):
+        path.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            event_store.read_lexicon(spark, str(path))
+
+
+def test_yaml_lexicon(spark, tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "lexicon.yaml"
+    path.write_text("version: '1'\ncategories:\n  advice:\n    - Try\n    - try\n")
+    assert event_store.read_lexicon(spark, str(path)) == {"advice": ("try",)}
+
+
+def test_append_takes_one_writer_and_no_repeated_ids(spark, tmp_path):
+    path = str(tmp_path / "store")
+    e = spark.createDataFrame([(1, "r"), (2, "r")], "event_id long, run_id string")
+    with event_store.append_lock(spark, path), pytest.raises(RuntimeError):
+        event_store.append_events(e, path)
+    assert event_store.append_events(e, path, reject=True) == 2
+    with pytest.raises(ValueError):
+        event_store.append_events(e, path, reject=True)
+    assert event_store.append_events(e, path) == 0 and spark.read.parquet(path).count() == 2
+
+
+def test_folds_balance_classes(spark):
+    rows = spark.createDataFrame([(f"c{c}", str(c % 2), t) for c in range(40) for t in range(1 + c % 7)], "conversation_id string, label string, t int")
+    for label in "01":
+        n = sorted(r["count"] for r in baseline.group_folds(rows).where(f"label = '{label}'").groupBy("fold").count().collect())
+        assert len(n) == 3 and n[-1] - n[0] <= 7
