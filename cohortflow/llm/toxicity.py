@@ -250,15 +250,22 @@ def _sparse(x: np.ndarray) -> list[np.ndarray]:
     return [at, x[at]]
 
 
-def _add_up(parts) -> tuple[np.ndarray, np.ndarray]:
-    """The sums over partitions of (places, values) pairs, and of the few numbers beside them."""
-    total, rest = np.zeros(_SIZE + 1), np.zeros(5)
+def _add_up(parts, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums over partitions of (place, value) pairs, in the order of `places`, and of the few numbers beside them."""
+    total, rest = np.zeros(len(places)), np.zeros(5)
     for at, values, others in parts:
-        total[at.astype(np.int64)] += values
+        total[np.searchsorted(places, at)] += values
         rest[: len(others)] += others
     return total, rest
 
 
+def _spread(at: np.ndarray, values) -> np.ndarray:
+    """A table with an entry for each hash and a last one for absent features."""
+    table = np.zeros(_SIZE + 1, np.asarray(values).dtype)
+    table[at] = values
+    return table
+
+
 def _count_task(label: int):
     def task(chunks, _):
         seen, n = np.zeros(_SIZE), 0
@@ -279,7 +286,8 @@ def _tagged(feats, counts, y, sign):
     return np.repeat(y == 1, counts) & sign[feats].any(axis=0)
 
 
-def _moves_task(chunks, sign):
+def _moves_task(chunks, signs):
+    sign = _spread(signs, True)
     seen = np.zeros((2, 2))
     for feats, counts, y in chunks:
         tags = _tagged(feats, counts, y, sign)
@@ -290,29 +298,24 @@ def _moves_task(chunks, sign):
     return [np.zeros(0), np.zeros(0), seen.ravel()]
 
 
-def _gradient_task(sign):
-    def task(chunks, model):
-        used, values, bias, move = model
-        weight = np.zeros(_SIZE + 1)
-        weight[used] = values
-        grad, gap_all, moves = np.zeros(_SIZE + 1), 0.0, np.zeros((2, 2))
-        for feats, counts, y in chunks:
-            p, own_moves = Chains(counts).marginals(emissions(weight, bias, feats), move, True)
-            gap = _tagged(feats, counts, y, sign) - p
-            far = np.flatnonzero(np.abs(gap) > 1e-7)  # the others' share of the gradient is nothing
-            for row in feats[:, far]:
-                grad += np.bincount(np.where(row < 0, _SIZE, row), weights=gap[far], minlength=_SIZE + 1)
-            gap_all += gap.sum()
-            moves += own_moves
-        return [*_sparse(grad), np.append(moves.ravel(), gap_all)]
-
-    return task
-
-
-def _aggregate_task(chunks, model):
-    used, values, bias, move = model
-    weight = np.zeros(_SIZE + 1)
-    weight[used] = values
+def _gradient_task(chunks, known):
+    signs, used, values, bias, move = known
+    sign, weight = _spread(signs, True), _spread(used, values)
+    grad, gap_all, moves = np.zeros(_SIZE + 1), 0.0, np.zeros((2, 2))
+    for feats, counts, y in chunks:
+        p, own_moves = Chains(counts).marginals(emissions(weight, bias, feats), move, True)
+        gap = _tagged(feats, counts, y, sign) - p
+        far = np.flatnonzero(np.abs(gap) > 1e-7)  # the others' share of the gradient is nothing
+        for row in feats[:, far]:
+            grad += np.bincount(np.where(row < 0, _SIZE, row), weights=gap[far], minlength=_SIZE + 1)
+        gap_all += gap.sum()
+        moves += own_moves
+    return [*_sparse(grad[:_SIZE]), np.append(moves.ravel(), gap_all)]
+
+
+def _aggregate_task(chunks, known):
+    _, used, values, bias, move = known
+    weight = _spread(used, values)
     x, labels = [np.zeros((0, 4))], [np.zeros(0)]
     for feats, counts, y in chunks:
         x.append(_aggregates(Chains(counts).marginals(emissions(weight, bias, feats), move)[0], counts))
@@ -323,11 +326,17 @@ def _aggregate_task(chunks, model):
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """A model from the labelled documents in `labels` (doc_id, toxic).
 
-    Every step over the sample is a Spark job; the driver adds up a gradient of at most 2^20 weights from each partition.
+    Every step over the sample is a Spark job; the driver adds up a gradient from each partition, over the features that
+    the sample holds, 2^20 at most.
     """
     chunks = _featured(_sample(docs, labels, sample_docs))
-    in_toxic, n_t = _add_up(_over_chunks(chunks, _count_task(1)))
-    in_clean, n_c = _add_up(_over_chunks(chunks, _count_task(0)))
+    parts = [list(_over_chunks(chunks, _count_task(y))) for y in (0, 1)]
+    held = np.zeros(_SIZE, bool)
+    for at, _, _ in parts[0] + parts[1]:
+        held[at.astype(np.int64)] = True
+    places = np.flatnonzero(held)
+    (in_clean, n_c), (in_toxic, n_t) = (_add_up(p, places) for p in parts)
+    del parts, held
     n_t, n_c = int(n_t[0]), int(n_c[0])
     if not n_t or not n_c:
         return {"empty": True}
@@ -335,30 +344,27 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     purity = (in_toxic / n_t) / np.maximum(in_toxic / n_t + in_clean / n_c, 1e-12)
     could = np.flatnonzero((purity >= 0.5 + SIGN_PURITY / 2) & (in_toxic > 2 * in_clean))
     ratio = _ratio(in_toxic[could], in_clean[could], n_t, n_c)
-    sign = np.zeros(_SIZE + 1, bool)
-    sign[could[ratio >= _significant(ratio, int(((in_toxic + in_clean) > 0).sum()))]] = True
-    seen = _add_up(_over_chunks(chunks, _moves_task, sign))[1][:4].reshape(2, 2)
+    signs = places[could[ratio >= _significant(ratio, len(places))]].astype(np.int32)
+    seen = _add_up(_over_chunks(chunks, _moves_task, signs), places)[1][:4].reshape(2, 2)
     move = np.log((seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True))
-    weight, bias = np.zeros(_SIZE + 1), 0.0
-    square_w, square_b, square_m = np.full(_SIZE + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    used = lambda: (np.flatnonzero(weight).astype(np.int32), weight[weight != 0], bias, move)
+    weight, bias = np.zeros(len(places)), 0.0
+    square_w, square_b, square_m = np.full(len(places), 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    known = lambda: (signs, places[weight != 0].astype(np.int32), weight[weight != 0], bias, move)
     for _ in range(EPOCHS):
-        grad, rest = _add_up(_over_chunks(chunks, _gradient_task(sign), used()))
+        grad, rest = _add_up(_over_chunks(chunks, _gradient_task, known()), places)
         moves, gap_all = rest[:4].reshape(2, 2), rest[4]
         grad -= 0.05 * weight
-        grad[_SIZE] = 0
         square_w += grad * grad
         weight += 0.8 * grad / np.sqrt(square_w)
-        weight[_SIZE] = 0
         step = seen - moves - 0.05 * move
         square_m += step * step
         move = move + 0.2 * step / np.sqrt(square_m)
         square_b += gap_all**2
         bias += 0.2 * gap_all / np.sqrt(square_b)
-    x, y = zip(*((a.reshape(-1, 4), b) for _, a, b in _over_chunks(chunks, _aggregate_task, used())), strict=True)
+    x, y = zip(*((a.reshape(-1, 4), b) for _, a, b in _over_chunks(chunks, _aggregate_task, known())), strict=True)
     final = _logistic(np.concatenate(x), np.concatenate(y))
-    large = np.flatnonzero(np.abs(weight) > 1e-3)
-    return {"used": large.astype(np.int32), "weight": weight[large], "bias": float(bias), "move": move, "final": final}
+    large = np.abs(weight) > 1e-3
+    return {"used": places[large].astype(np.int32), "weight": weight[large], "bias": float(bias), "move": move, "final": final}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
