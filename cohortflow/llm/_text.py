@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,11 @@ _PLAIN = ("doc_id", "text")
 _tables: dict[str, np.ndarray] = {}
 
 
+#: Span hashes also hold two polynomials modulo this prime, at these points.
+_PRIME = (1 << 31) - 1
+_POINTS = ((1_340_017_229, 702_184_663), (1_998_733_051, 415_926_539))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R^i and R^-i modulo 2^64 for i < n; kept between calls up to the size of a chunk."""
     have = _tables.get("p")
@@ -67,6 +73,38 @@ def _values(which: int) -> np.ndarray:
     return _tables[key]
 
 
+def _residues(n: int, point: int) -> tuple[np.ndarray, np.ndarray]:
+    """point^i and point^-i modulo the prime for i < n, kept like the powers above."""
+    have = _tables.get(f"m{point}")
+    if have is not None and len(have[0]) >= n:
+        return have
+    size = max(n, CHUNK_BYTES + 65536)
+    found = []
+    for base in (point, pow(point, -1, _PRIME)):
+        p = np.ones(size, np.uint64)
+        done = 1
+        while done < size:
+            more = min(done, size - done)
+            p[done : done + more] = p[:more] * U(pow(base, done, _PRIME)) % U(_PRIME)
+            done += more
+        found.append(p)
+    if size <= 4 * CHUNK_BYTES:
+        _tables[f"m{point}"] = tuple(found)
+    return tuple(found)
+
+
+def _modular(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, point: int) -> np.ndarray:
+    p, q = _residues(len(folded), point)
+    terms = (values & U(_PRIME - 1))[folded]
+    terms *= p[: len(folded)]
+    high = terms >> U(31)
+    terms &= U(_PRIME)
+    terms += high
+    sums = np.zeros(len(folded) + 1, np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    return (sums[ends] - sums[starts]) % U(_PRIME) * q[starts] % U(_PRIME)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit hashes (the finaliser of a well-known 64-bit hash)."""
     h = h ^ (h >> U(33))
@@ -77,7 +115,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of folded[start:end] for each span; equal bytes give equal hashes wherever they stand."""
+    """A 64-bit hash of folded[start:end] for each span; equal bytes give equal hashes wherever they stand.
+
+    A polynomial modulo 2^64 alone would give equal hashes to texts of a known pattern; polynomials at two points modulo
+    a prime, which have no such pattern, are mixed in.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     p, q = _powers(len(folded))
@@ -85,7 +127,42 @@ def span_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
     sums[0] = 0
     np.cumsum(_values(which)[folded] * p[: len(folded)], dtype=np.uint64, out=sums[1:])
     h = (sums[ends] - sums[starts]) * q[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    h = mix(h + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    one, two = (_modular(folded, starts, ends, _values(which), point) for point in _POINTS[which])
+    return mix(h ^ ((one << U(31)) + two + U(1)) * U(0x9FB21C651E98DF25))
+
+
+def same_spans(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span numbered `other`, compared byte by byte."""
+    sizes = ends - starts
+    same = sizes == sizes[other]
+    own = np.flatnonzero(same & (sizes > 0) & (other != np.arange(len(other))))
+    for at in range(0, len(own), 1 << 16):  # spans by the piece, so that long ones don't add up
+        some = own[at : at + (1 << 16)]
+        n = sizes[some]
+        ends_at = np.cumsum(n)
+        step = np.arange(int(ends_at[-1])) - np.repeat(ends_at - n, n)
+        equal = folded[np.repeat(starts[some], n) + step] == folded[np.repeat(starts[other[some]], n) + step]
+        same[some] = np.logical_and.reduceat(equal, ends_at - n)
+    return same
+
+
+def exact_ids(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span's group of equal bytes, the first span of each group). Hashes propose, bytes decide."""
+    def numbered(h):
+        codes, uniques = pd.factorize(signed(h))
+        at = np.empty(len(uniques), np.int64)
+        at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        return codes.astype(np.int64), at
+
+    ids, first = numbered(hashes)
+    open_ = np.flatnonzero(~same_spans(folded, starts, ends, first[ids]))
+    while len(open_):  # spans that share a hash with other bytes: numbered among themselves
+        own, again = numbered(hashes[open_])
+        ids[open_] = len(first) + own
+        first = np.concatenate([first, open_[again]])
+        open_ = open_[~same_spans(folded, starts[open_], ends[open_], again[own])]
+    return ids, first
 
 
 def text_chunks(column, limit: int = CHUNK_BYTES):
@@ -134,7 +211,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
     while at < n:
         to = min(n, at + 2 * CHUNK_BYTES)
         while to < n and not (separators[FOLD[data[to - 1]]] or bounds[to]):
-            gap = np.flatnonzero(separators[FOLD[data[to : to + CHUNK_BYTES]]] | bounds[to : to + CHUNK_BYTES])
+            gap = np.flatnonzero(separators[FOLD[data[to : to + CHUNK_BYTES]]] | bounds[to : min(n, to + CHUNK_BYTES)])
             to = to + int(gap[0]) + 1 if len(gap) else min(n, to + CHUNK_BYTES)
             if len(gap) and bounds[to - 1]:
                 to -= 1

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortflow.llm._text import span_hashes, text_chunks
+from cohortflow.llm._text import exact_ids, span_hashes, text_chunks
 
 #: Pre-tokens that a worker remembers: about 50 MB.
 CACHE_ENTRIES = 200_000
@@ -110,7 +110,7 @@ class Vocabulary:
         self.pair_keys = np.sort(np.fromiter(self.pairs, np.int64, len(self.pairs)))
         self.pair_ranks = np.fromiter((self.pairs[k] for k in self.pair_keys.tolist()), np.int64, len(self.pairs))
         self.byte_ids = np.array(self.byte, np.int64)
-        self.cache: dict[int, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
         self.classes = _classes()
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -312,18 +312,15 @@ class Vocabulary:
         for first, last, data, offsets in part:
             starts, counts = pretoken_starts(data, offsets, self.classes)
             ends = np.append(starts[1:], len(data))
-            codes, uniques = pd.factorize(span_hashes(data, starts, ends).view(np.int64))
-            where = np.empty(len(uniques), np.int64)
-            where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            codes, where = exact_ids(data, starts, ends, span_hashes(data, starts, ends))
             raw = data.tobytes()
-            for h, s, e in zip(uniques.tolist(), starts[where].tolist(), ends[where].tolist(), strict=True):
-                if h not in self.cache and h not in wanted:
-                    wanted[h] = raw[s:e]
+            uniques = [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+            wanted.update(dict.fromkeys(p for p in uniques if p not in self.cache))
             chunks.append((first, last, counts, codes.astype(np.int32), uniques))
-        fresh = dict(zip(wanted, self.encode_pieces(list(wanted.values())), strict=True)) if wanted else {}
+        fresh = dict(zip(wanted, self.encode_pieces(list(wanted)), strict=True)) if wanted else {}
         del wanted
         for first, last, counts, codes, uniques in chunks:
-            found = [fresh[h] if h in fresh else self.cache[h] for h in uniques.tolist()]
+            found = [fresh[h] if h in fresh else self.cache[h] for h in uniques]
             flat = np.frombuffer(b"".join(found), np.uint32)
             length = np.fromiter(map(len, found), np.int64, len(found)) >> 2
             begin = np.cumsum(length) - length

@@ -19,11 +19,10 @@ gives an empty table; extra columns are kept and those named like results replac
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortflow.llm._text import SPACE, span_hashes, text_chunks, words
+from cohortflow.llm._text import SPACE, exact_ids, span_hashes, text_chunks, words
 
 MARKER = "▁".encode()
 
@@ -122,9 +121,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             n_words, n_tokens = [], []
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 _, s, e, counts = words(data, offsets, SPACE)
-                codes, uniques = pd.factorize(span_hashes(data, s, e).view(np.int64))
-                first = np.empty(len(uniques), np.int64)
-                first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+                codes, first = exact_ids(data, s, e, span_hashes(data, s, e))
                 sums = np.concatenate([[0], np.cumsum(m.count(data, s[first], e[first])[codes])])
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 n_words.append(counts)
