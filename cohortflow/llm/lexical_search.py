@@ -45,8 +45,8 @@ _INDEX = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("df", pa.int6
 _INDEX_SQL = "shard long, term string, df long, n_terms long, lasts array<int>, blocks array<binary>"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Whole numbers from 0 as bytes of seven bits, the last of each number below 128."""
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers from 0 as bytes of seven bits, the last of each number below 128; and each number's bytes."""
     values = values.astype(np.uint64)
     size = np.ones(len(values), np.int64)
     for k in range(1, 10):
@@ -57,7 +57,11 @@ def pack(values: np.ndarray) -> bytes:
         has = size > k
         more = (size[has] > k + 1).astype(np.uint8) << 7
         out[at[has] + k] = ((values[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
-    return out.tobytes()
+    return out, size
+
+
+def pack(values: np.ndarray) -> bytes:
+    return varints(values)[0].tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -116,17 +120,22 @@ class _Builder:
         within = np.arange(len(term)) - np.repeat(first, size)
         gap = np.diff(doc, prepend=0)
         gap[within == 0] = doc[within == 0]
-        # A block's bytes: gaps, then frequencies, as one run of numbers per block.
+        # A block's bytes: gaps, then frequencies. All blocks are packed in one go and cut where they end.
         cut = np.flatnonzero(within % BLOCK == 0)
         ends = np.append(cut[1:], len(term))
-        blocks = [pack(np.concatenate([gap[a:b], tf[a:b]])) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+        step = np.arange(len(term)) + np.repeat(cut, ends - cut)
+        numbers = np.empty(2 * len(term), np.int64)
+        numbers[step], numbers[step + np.repeat(ends - cut, ends - cut)] = gap, tf
+        packed, width = varints(numbers)
+        at = np.append(np.cumsum(width) - width, len(packed))[np.append(2 * cut, 2 * len(term))]
         lasts = doc[ends - 1].astype(np.int32)
         edge = np.searchsorted(cut, np.append(first, len(term))).astype(np.int32)
         for a in range(0, len(names), 20_000):
             b = min(len(names), a + 20_000)
             own, lo, hi = edge[a : b + 1], int(edge[a]), int(edge[b])
-            arrays = [pa.array(np.full(b - a, shard)), pa.array([n.decode() for n in names[a:b]], pa.string()), pa.array(size[a:b]), pa.array(np.zeros(b - a, np.int64))]
-            arrays += [pa.ListArray.from_arrays(pa.array(own - lo), x) for x in (pa.array(lasts[lo:hi]), pa.array(blocks[lo:hi], pa.binary()))]
+            inner = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((at[lo : hi + 1] - at[lo]).astype(np.int32)), pa.py_buffer(packed[at[lo] : at[hi]])])
+            arrays = [pa.array(np.full(b - a, shard)), pa.array(names[a:b], pa.binary()).cast(pa.string()), pa.array(size[a:b]), pa.array(np.zeros(b - a, np.int64))]
+            arrays += [pa.ListArray.from_arrays(pa.array(own - lo), x) for x in (pa.array(lasts[lo:hi]), inner)]
             yield pa.RecordBatch.from_arrays(arrays, schema=_INDEX)
 
 
