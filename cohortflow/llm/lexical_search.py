@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortflow.llm._text import FOLD, NON_ALNUM, exact_ids, kept, stored, text_chunks, words
+from cohortflow.llm._text import FOLD, NON_ALNUM, exact_ids, give_back, kept, stored, text_chunks, words
 
 TOP = 10
 #: Documents and terms (with repeats) of a shard at most, but for one document; postings of a block; queries of a block.
-SHARD_DOCS, SHARD_TERMS, BLOCK, QUERIES_AT_ONCE = 8192, 1 << 23, 1024, 1024
+SHARD_DOCS, SHARD_TERMS, BLOCK, QUERIES_AT_ONCE = 8192, 1 << 22, 1024, 1024
 
 _NO_ID = np.iinfo(np.int64).max
 _INDEX = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("df", pa.int64()), ("n_terms", pa.int64()), ("lasts", pa.list_(pa.int32())), ("blocks", pa.list_(pa.binary()))])
@@ -92,7 +92,7 @@ class _Builder:
         known = np.fromiter((self.terms.setdefault(raw[s:e], len(self.terms)) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)), np.int64, len(first))
         doc = np.repeat(np.arange(len(counts)), counts)
         key, tf = np.unique(doc * max(len(first), 1) + own, return_counts=True)
-        self.postings.append((known[key % max(len(first), 1)], key // max(len(first), 1) + self.docs, tf))
+        self.postings.append(tuple(x.astype(np.int32) for x in (known[key % max(len(first), 1)], key // max(len(first), 1) + self.docs, tf)))
         self.ids.append(ids)
         self.lengths.append(counts.astype(np.int64))
         self.docs += len(counts)
@@ -101,20 +101,23 @@ class _Builder:
     def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
         """The shard's documents (a row without a term) and the postings of its terms, in order of the term."""
         term, doc, tf = (np.concatenate(x) for x in zip(*self.postings, strict=True))
+        self.postings = []
         ids, lengths = np.concatenate(self.ids), np.concatenate(self.lengths)
         by_id = np.argsort(ids, kind="stable")
-        place = np.empty(len(ids), np.int64)
+        place = np.empty(len(ids), np.int32)
         place[by_id] = np.arange(len(ids))
         ids, lengths = ids[by_id], lengths[by_id]
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([None], pa.string()), pa.array([int((lengths > 0).sum())], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), pa.array([[]], pa.list_(pa.int32())), pa.array([[ids.tobytes(), pack(lengths)]], pa.list_(pa.binary()))], schema=_INDEX)
         if not len(term):
             return
         names = sorted(self.terms)
-        rank = np.empty(len(names), np.int64)
+        rank = np.empty(len(names), np.int32)
         rank[np.fromiter((self.terms[n] for n in names), np.int64, len(names))] = np.arange(len(names))
         term, doc = rank[term], place[doc]
-        order = np.lexsort((doc, term))
+        self.terms = {}
+        order = np.argsort(term.astype(np.int64) * len(ids) + doc)
         term, doc, tf = term[order], doc[order], tf[order]
+        del order
         first = np.flatnonzero(np.diff(term, prepend=-1))
         size = np.diff(np.append(first, len(term)))
         within = np.arange(len(term)) - np.repeat(first, size)
@@ -127,6 +130,7 @@ class _Builder:
         numbers = np.empty(2 * len(term), np.int64)
         numbers[step], numbers[step + np.repeat(ends - cut, ends - cut)] = gap, tf
         packed, width = varints(numbers)
+        del numbers, step, gap, tf, within
         at = np.append(np.cumsum(width) - width, len(packed))[np.append(2 * cut, 2 * len(term))]
         lasts = doc[ends - 1].astype(np.int32)
         edge = np.searchsorted(cut, np.append(first, len(term))).astype(np.int32)
@@ -157,6 +161,7 @@ def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
                     if now.docs >= shard_docs or now.size >= SHARD_TERMS:
                         yield from now.rows(shard)
                         shard, now = shard + 1, _Builder()
+                        give_back()
         if now.docs:
             yield from now.rows(shard)
 
