@@ -129,3 +129,44 @@ def invalid_pairs(pairs: DataFrame) -> DataFrame:
     a, b = _numbers()
     out = lambda c: c.isNotNull() & ~c.isin(0, 1, 2)
     return pairs.where(out(a) | out(b))
+
+
+def _reported(first: DataFrame, second: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """A row per axis of two annotations of the same sources, in the axes' order; axes without a pair too."""
+    keys = ["run_id", "turn_number"]
+    pairs = first.select(*keys, *(F.col(x).alias(f"a_{x}") for x in axes)).join(second.select(*keys, *(F.col(x).alias(f"b_{x}") for x in axes)), keys)
+    row = lambda i, x: F.struct(F.lit(i).alias("place"), F.lit(x).alias("axis"), F.col(f"a_{x}").try_cast("int").alias("a"), F.col(f"b_{x}").try_cast("int").alias("b"))
+    long = pairs.select(F.explode(F.array(*(row(i, x) for i, x in enumerate(axes)))).alias("p")).select("p.*")
+    a, b = F.col("a"), F.col("b")
+    valid = a.isNotNull() & b.isNotNull()
+    bad = F.raise_error(F.concat(F.lit("scores outside 0 to 2 on "), F.col("axis"))).cast("int")
+    checked = long.withColumn("a", F.when(valid & ~(a.isin(0, 1, 2) & b.isin(0, 1, 2)), bad).otherwise(a))
+    n = F.count(F.when(valid, 1))
+    weighted = ~F.max("axis").isin(*UNWEIGHTED)
+    found = checked.groupBy("place", "axis").agg(F.count("*").alias("matched_items"), n.alias("n_pairs"), F.avg(F.when(valid, (a == b).cast("double"))).alias("exact_agreement"), _kappa(a, b, weighted).alias("cohen_kappa"))
+    every = pairs.sparkSession.createDataFrame(list(enumerate(axes)), "place int, axis string")
+    out = every.join(found.drop("axis"), "place", "left").withColumns({"matched_items": F.coalesce("matched_items", F.lit(0)), "n_pairs": F.coalesce("n_pairs", F.lit(0))})
+    plain = F.col("axis").isin(*UNWEIGHTED)
+    reason = (
+        F.when(F.col("n_pairs") == 0, "No paired complete scores are available for this axis")
+        .when(F.col("n_pairs") < 2, "At least two paired complete scores are required for kappa")
+        .when(F.col("cohen_kappa").isNull() & plain, "Kappa is undefined because expected disagreement is zero")
+        .when(F.col("cohen_kappa").isNull(), "Kappa is undefined because expected weighted disagreement is zero")
+    )
+    return out.select("axis", "matched_items", "n_pairs", "exact_agreement", "cohen_kappa", F.when(plain, "unweighted").otherwise("linear_weighted").alias("kappa_method"), reason.alias("reason"))
+
+
+def intra_rater(log: DataFrame, item_map: DataFrame, annotator: str, axes: Sequence[str]) -> DataFrame:
+    """One annotator's latest initial scores against the latest re-ratings of the same sources, straight from the log."""
+    from cohortflow.operators.events import latest_by_source
+
+    return _reported(latest_by_source(log, item_map, annotator, "initial"), latest_by_source(log, item_map, annotator, "rerating"), axes)
+
+
+def inter_rater(log: DataFrame, item_map: DataFrame, annotator_a: str, annotator_b: str, axes: Sequence[str], rating_round: str = "initial") -> DataFrame:
+    """Two annotators' latest scores of the same sources in one round, straight from the log."""
+    from cohortflow.operators.events import latest_by_source
+
+    if annotator_a == annotator_b:
+        raise ValueError("two different annotators are needed")
+    return _reported(*(latest_by_source(log, item_map, who, rating_round) for who in (annotator_a, annotator_b)), axes)

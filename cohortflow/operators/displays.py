@@ -68,16 +68,6 @@ def job_status(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"status": status, "progress": F.when(F.col("planned") > 0, F.col("done") / F.col("planned"))})
 
 
-def next_condition(outcomes: DataFrame, order: Sequence[str], enough: int) -> DataFrame:
-    """The next condition to try: the first of `order` that has no outcome, unless an earlier one finished within `enough` tokens."""
-    by = outcomes.groupBy().agg(*(F.max(F.when(F.col("condition") == c, F.struct("finish", "tokens"))).alias(f"_{i}") for i, c in enumerate(order)))
-    settled = [(F.col(f"_{i}.finish") == "stop") & (F.col(f"_{i}.tokens") <= enough) for i in range(len(order))]
-    choice = F.lit(None).cast("string")
-    for i in reversed(range(len(order))):
-        choice = F.when(F.col(f"_{i}").isNull(), order[i]).when(F.coalesce(settled[i], F.lit(False)), F.lit(None).cast("string")).otherwise(choice)
-    return by.select(choice.alias("next_condition"))
-
-
 def duration_text(seconds: Column) -> Column:
     """'1h 02m 03s'."""
     s = seconds.cast("long")

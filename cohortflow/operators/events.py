@@ -27,10 +27,20 @@ def with_revision(log: DataFrame, keys: Sequence[str] = ("item_id", "annotator_i
     return log.withColumn("revision", F.row_number().over(Window.partitionBy(*keys).orderBy(index)))
 
 
-def latest_by_source(log: DataFrame, item_map: DataFrame, rounds: str | None = None) -> DataFrame:
-    """Latest revisions keyed by run and turn; item_map has item_id, run_id and turn_number."""
-    rows = log if rounds is None else log.where(F.col("rating_round") == rounds)
-    return latest_revisions(rows).join(item_map, "item_id")
+def latest_by_source(log: DataFrame, item_map: DataFrame, annotator: str, rating_round: str = "initial") -> DataFrame:
+    """One annotator's latest row of a round for each source (run_id, turn_number), with the log's other columns.
+
+    item_map has item_id, run_id, turn_number and rating_round. Items that it lacks are left out. Two things fail the
+    query: an item that the map holds twice, and one that the map gives another round than the log.
+    """
+    twice = F.raise_error(F.concat(F.lit("the blinding map holds twice: "), F.col("item_id")))
+    once = item_map.groupBy("item_id").agg(F.count("*").alias("_n"), F.any_value(F.struct("run_id", "turn_number", F.col("rating_round").alias("_round"))).alias("_s"))
+    checked = once.select("item_id", F.when(F.col("_n") > 1, twice).otherwise(F.col("_s._round")).alias("_round"), F.col("_s.run_id").alias("run_id"), F.col("_s.turn_number").alias("turn_number"))
+    rows = log.where((F.col("annotator_id") == annotator) & (F.col("rating_round") == rating_round)).join(checked, "item_id")
+    other = F.raise_error(F.concat(F.lit("rating rounds differ for "), F.col("item_id")))
+    # A map entry without a round can't agree with the log's either.
+    rows = rows.withColumn("rating_round", F.when(F.coalesce(F.col("_round") == F.col("rating_round"), F.lit(False)), F.col("rating_round")).otherwise(other)).drop("_round")
+    return latest_revisions(rows, ("run_id", "turn_number"))
 
 
 def incomplete_items(items: DataFrame, log: DataFrame, axes: Sequence[str], annotator: str) -> DataFrame:

@@ -122,13 +122,6 @@ def pilot_statistics(events: DataFrame, cell: Sequence[str], planned: int) -> Da
     return events.groupBy(*cell).agg(done.alias("completed"), number(code.isNotNull()).alias("http_errors"), number(code == 429).alias("http_429"), F.count("*").alias("attempts"), verdict.alias("verdict"))
 
 
-def calibration_verdict(records: DataFrame, condition: str = "condition", tokens: str = "reasoning_tokens", on: str = "native", off: str = "disabled") -> DataFrame:
-    """Whether the control works: the 'off' condition reports no reasoning tokens where 'on' reports some."""
-    a = F.max(F.when(F.col(condition) == on, F.col(tokens)))
-    b = F.max(F.when(F.col(condition) == off, F.col(tokens)))
-    return records.agg(a.alias("tokens_on"), b.alias("tokens_off"), F.when(a.isNull() | b.isNull(), "INCOMPLETE").when((b == 0) & (a > 0), "CONTROL_WORKS").otherwise("CONTROL_FAILS").alias("verdict"))
-
-
 def judge_progress(successes: DataFrame, errors: DataFrame, total: int) -> DataFrame:
     """Per judge: done, remaining, retries, tokens and cost, errors."""
     s = successes.groupBy("judge_id").agg(F.count("*").alias("done"), F.coalesce(F.sum("retries"), F.lit(0)).cast("long").alias("retries"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"), F.sum("cost").alias("cost"))

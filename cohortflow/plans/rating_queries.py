@@ -374,9 +374,3 @@ def job_statuses(spark, sf_dir):
     jobs = e.groupBy(F.col("user_id").alias("job")).agg(F.count("*").alias("done"), (F.lit(45) - F.count(F.when(F.col("event_type") == "error", 1))).alias("attempts_left"))
     jobs = jobs.withColumns({"blocked": F.col("job") % 13 == 0, "running": F.col("job") % 5 == 0, "planned": F.lit(220)})
     return displays.job_status(jobs).select("job", "status", "progress")
-
-
-@query("SELECT 'native_2048' AS next_condition")
-def adaptive_condition(spark, sf_dir):
-    o = spark.createDataFrame([("native_1024", "length", 1024)], "condition string, finish string, tokens int")
-    return displays.next_condition(o, ("native_1024", "native_2048", "native_4096"), 2048)

@@ -6,14 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cohortflow.operators import baseline, design, events, integrity
+from cohortflow.operators import design, events, integrity
 from cohortflow.plans.event_queries import _EXCHANGES, _ITEMS, KEY, _scorable, _table, exchanges
 from cohortflow.plans.fixtures import CALLS, LOG, TURNS, annotation_log, technical_events, turn_ratings
 from cohortflow.sources import event_store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def query(sql: str):
@@ -139,11 +138,31 @@ def safe_names(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", event_store.safe_name(F.col("text")).alias("name"))
 
 
-@query("""SELECT table_name, CAST(ordinal_position AS INT) AS position, column_name AS field,
-  CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT' THEN 'float' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(data_type) END AS type
-  FROM information_schema.columns WHERE table_schema = 'main'""")
+#: The columns of the tables that the dictionary covers, as DuckDB names their types.
+_FIELDS = {
+    "nation": "n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER",
+    "customer": "c_custkey BIGINT, c_name VARCHAR, c_nationkey INTEGER, c_acctbal DOUBLE, c_mktsegment VARCHAR",
+    "supplier": "s_suppkey BIGINT, s_name VARCHAR, s_nationkey INTEGER, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name VARCHAR, p_brand VARCHAR, p_type VARCHAR, p_size INTEGER, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority VARCHAR",
+    "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR",
+    "documents": "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR",
+}
+_SPARK_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz"}
+
+
+def _dictionary_sql():
+    rows = []
+    for table, fields in _FIELDS.items():
+        for i, (name, kind) in enumerate((f.split() for f in fields.split(", ") if f), 1):
+            rows.append(f"SELECT '{table}' AS table_name, {i} AS position, '{name}' AS field, '{_SPARK_TYPES[kind]}' AS type, count(*) AS n_rows, count(*) - count({name}) AS n_null FROM {table}")
+    return " UNION ALL ".join(rows)
+
+
+@query(_dictionary_sql())
 def data_dictionary(spark, sf_dir):
-    return event_store.data_dictionary({t: _table(spark, sf_dir, t) for t in TABLES})
+    return event_store.data_dictionary({t: _table(spark, sf_dir, t) for t in _FIELDS})
 
 
 @query(f"WITH {LOG}, a AS (SELECT DISTINCT item_id FROM log WHERE A2 IS NOT NULL), b AS (SELECT DISTINCT item_id FROM log WHERE A1 = '0') SELECT item_id FROM a INTERSECT SELECT item_id FROM b")
@@ -171,15 +190,6 @@ def unrated_items(spark, sf_dir):
     return events.incomplete_items(log.select("item_id").distinct(), log, ("A1", "A2"), "annotator_0")
 
 
-@query("SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'study_evidence' WHEN 'O' THEN 'technical_only' ELSE 'mixed' END AS label FROM orders GROUP BY o_orderstatus")
-def evidence_labels(spark, sf_dir):
-    """The label of each group's set of statuses: groups and statuses are few."""
-    status = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("main_study"), F.lit("planned_study"))).when(F.col("o_orderstatus") == "O", F.array(F.lit("demo_fixture"))).otherwise(F.array(F.lit("main_study"), F.lit("demo_fixture")))
-    sets = _table(spark, sf_dir, "orders").select("o_orderstatus", F.explode(status).alias("s")).groupBy("o_orderstatus").agg(F.collect_set("s").alias("s"))
-    rows = [(r["o_orderstatus"], baseline.evidence_label(r["s"])) for r in sets.collect()]  # one row a status
-    return spark.createDataFrame(rows, "o_orderstatus string, label string")
-
-
 @query(f"WITH {_ITEMS} SELECT item_id, run_id, turn_number, source_response_hash FROM items")
 def blinded_files(spark, sf_dir):
     """Items and map are stored apart and meet by the opaque id alone."""

@@ -112,9 +112,17 @@ def read_lexicon(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
 
 
 def data_dictionary(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """A row for every column of the tables: table, position from 1, field and type, from their schemas."""
-    rows = [(t, i, f.name, f.dataType.simpleString()) for t, frame in tables.items() for i, f in enumerate(frame.schema, 1)]
-    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, position int, field string, type string")
+    """A row for every column of the tables: table, position from 1, field, type, and how many rows and nulls it has.
+
+    One aggregate a table; only their schemas reach the driver.
+    """
+    out = None
+    for name, frame in tables.items():
+        counts = frame.agg(F.count("*").alias("_all"), *(F.count(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(frame.schema)))
+        rows = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.col("_all").alias("n_rows"), (F.col("_all") - F.col(f"_{i}")).alias("n_null")) for i, f in enumerate(frame.schema))))
+        own = counts.select(F.lit(name).alias("table_name"), rows.alias("r")).select("table_name", "r.*")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def flatten_turns(records: DataFrame) -> DataFrame:
@@ -206,27 +214,81 @@ def safe_name(name: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", ""), 1, 180)
 
 
-def file_digests(spark: SparkSession, pattern: str, portable: bool = False) -> DataFrame:
-    """path, size and SHA-256 of files; portable digests don't depend on line ends."""
-    f = spark.read.format("binaryFile").load(pattern)
-    content = F.col("content")
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """name (the path below root), length and content of all files of a folder, nested ones too.
+
+    Spark's readers pass over empty files, so these come from the folder's listing.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = store.makeQualified(path).toString().rstrip("/") + "/"
+    listing, empty = store.listFiles(path, True), []
+    while listing.hasNext():
+        f = listing.next()
+        if not f.getLen():
+            empty.append((f.getPath().toString()[len(top) :],))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = files.select(F.expr(f"substring(path, {len(top) + 1})").alias("name"), "length", "content")
+    return found.unionByName(spark.createDataFrame(empty, "name string").select("name", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+
+
+def file_digests(spark: SparkSession, root: str, portable: bool = False) -> DataFrame:
+    """name, length and SHA-256 of a folder's files; portable digests don't depend on line ends."""
+    f, content = read_files(spark, root), F.col("content")
     if portable:
         from cohortflow.functions.hashing import portable_hash
 
-        return f.select("path", "length", portable_hash(F.decode(content, "UTF-8")).alias("sha256"))
-    return f.select("path", "length", F.sha2(content, 256).alias("sha256"))
+        return f.select("name", "length", portable_hash(F.decode(content, "UTF-8")).alias("sha256"))
+    return f.select("name", "length", F.sha2(content, 256).alias("sha256"))
+
+
+#: Bytes of a file that are hashed at once.
+PIECE = 1 << 20
+
+
+def tree_digest(files: DataFrame) -> DataFrame:
+    """One row: the SHA-256 of name, a zero byte, content and a zero byte of every file in order of name, and their number.
+
+    files: name, length and content. Such a hash is one chain, so one task folds it, from pieces of a megabyte that a sort
+    (which can spill) puts in order; it never holds a whole file.
+    """
+    import pyarrow as pa
+
+    pieces = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / PIECE).cast("int")))
+    cut = files.select("name", pieces.alias("at"), "content").select("name", "at", F.expr(f"substring(content, at * {PIECE} + 1, {PIECE})").alias("piece"))
+
+    def fold(batches):
+        import hashlib
+
+        h, n, last = hashlib.sha256(), 0, None
+        for batch in batches:
+            for name, piece in zip(batch.column("name").to_pylist(), batch.column("piece"), strict=True):
+                if name != last:
+                    h.update((b"\0" if n else b"") + name.encode() + b"\0")
+                    n, last = n + 1, name
+                h.update(piece.as_buffer() or b"")
+        if n:
+            h.update(b"\0")
+        yield pa.RecordBatch.from_pydict({"tree_sha256": [h.hexdigest()], "files": [n]})
+
+    return cut.repartition(1).sortWithinPartitions("name", "at").mapInArrow(fold, "tree_sha256 string, files long")
 
 
-def tree_digest(digests: DataFrame) -> DataFrame:
-    """One digest of paths and digests in order; files of an evidence folder, so the list is short."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat(x["path"], F.lit("\x00"), x["sha256"])), "\x00")
-    return digests.agg(F.sha2(lines, 256).alias("tree_sha256"), F.count("*").alias("files"))
+#: Lines of a manifest that hold no digest start with one of these.
+MANIFEST_HEADS = ("ANALYSIS ", "Git commit:", "Created:")
 
 
 def manifest_problems(spark: SparkSession, manifest: str, digests: DataFrame) -> DataFrame:
-    """Lines 'digest  path' of a manifest that are missing, changed or unlisted among the files."""
-    lines = spark.read.text(manifest).select(F.regexp_extract("value", r"^([0-9a-f]{64})\s+\*?(.+)$", 1).alias("expected"), F.regexp_extract("value", r"^([0-9a-f]{64})\s+\*?(.+)$", 2).alias("name")).where("name <> ''")
-    own = digests.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
-    j = lines.join(own, "name", "full_outer")
+    """Files of a manifest (lines of a digest, two blanks and the path below the folder) that are missing or changed, and
+    files that it doesn't list. Digests match in either case; a line of another form fails the query, as does a manifest
+    without entries."""
+    lines = spark.read.text(manifest).withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    some = lines.where((F.trim("value") != "") & ~F.col("value").rlike("^(" + "|".join(MANIFEST_HEADS) + ")"))
+    form = r"^([0-9A-Fa-f]{64})\s{2}(.+)$"
+    broken = F.raise_error(F.concat(F.lit("malformed manifest line: "), F.col("value")))
+    named = some.select(F.lower(F.regexp_extract("value", form, 1)).alias("expected"), F.when(F.col("value").rlike(form), F.regexp_extract("value", form, 2)).otherwise(broken).alias("name"))
+    j = named.join(digests.select("name", "sha256"), "name", "full_outer")
     problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("expected").isNull(), "unlisted").when(F.col("expected") != F.col("sha256"), "changed")
-    return j.withColumn("problem", problem).where("problem IS NOT NULL").select("name", "problem")
+    entries = F.broadcast(named.agg(F.count("*").alias("_entries")))  # one row
+    empty = F.raise_error(F.lit("the manifest has no entries"))
+    return entries.join(j.withColumn("problem", problem), F.lit(True), "left").select("name", F.when(F.col("_entries") > 0, F.col("problem")).otherwise(empty).alias("problem")).where("problem IS NOT NULL")
