@@ -38,8 +38,9 @@ def classify_errors(frame: DataFrame, error: str = "error_type", upstream: str |
 
 
 def finish_status(finish: Column) -> Column:
+    """unreported (null or blank), reported_stop, reported_length or reported_other; case and surrounding blanks don't count."""
     clean = F.lower(F.trim(finish))
-    return F.when(clean == "stop", "approved").when(clean.isNull() | (clean == ""), "missing").when(clean == "length", "truncated").otherwise("unapproved")
+    return F.when(clean.isNull() | (clean == ""), "unreported").when(clean == "stop", "reported_stop").when(clean == "length", "reported_length").otherwise("reported_other")
 
 
 def http_attempts(attempts: Column, exhausted: Column, retries: Column) -> Column:

@@ -86,6 +86,68 @@ def budget_audit(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     return events.groupBy(*keys).agg(n.alias("n"), F.median("tokens").alias("median_tokens"), have.alias("reported"), status.alias("reporting"))
 
 
+#: What makes a configuration of the generation budget, and the figures whose medians are reported.
+BUDGET_KEYS = ("requested_model", "resolved_model", "provider", "context_condition", "finish_reason", "truncated", "generation_version", "max_completion_tokens", "completion_limit_parameter", "reasoning_control_requested")
+BUDGET_MEDIANS = ("prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens", "visible_completion_tokens", "cached_prompt_tokens", "visible_characters", "visible_words", "visible_sentences", "latency_ms")
+
+
+def reporting_status(column: str) -> Column:
+    """Whether all, some or none of a group's rows report a figure."""
+    have = F.count(column)
+    return F.when(have == F.count("*"), "REPORTED_ALL").when(have > 0, "REPORTED_PARTIAL").otherwise("NOT_REPORTED")
+
+
+def generation_budget_audit(responses: DataFrame, pilots: Sequence[str] = ("pilot_version",)) -> DataFrame:
+    """Per pilot and configuration: responses, medians of what is reported, reporting statuses and a map of HTTP statuses.
+
+    responses: a row per successful response with the pilots' columns, BUDGET_KEYS, BUDGET_MEDIANS and http_status. A
+    missing reasoning control is that of the old versions, NONE_LEGACY; null keys are a configuration like any other.
+    """
+    rows = responses.withColumn("reasoning_control_requested", F.coalesce("reasoning_control_requested", F.lit("NONE_LEGACY")))
+    keys = [*pilots, *BUDGET_KEYS]
+    found = rows.groupBy(*keys).agg(
+        F.count("*").alias("response_count"),
+        *(F.median(c).alias(f"median_{c}") for c in BUDGET_MEDIANS),
+        reporting_status("reasoning_tokens").alias("reasoning_usage_reporting_status"),
+        reporting_status("visible_completion_tokens").alias("visible_token_reporting_status"),
+    )
+    # Statuses are counted before they meet: a map has an entry for each code that occurs.
+    codes = rows.where("http_status IS NOT NULL").groupBy(*keys, F.col("http_status").cast("string").alias("_code")).agg(F.count("*").alias("_n"))
+    maps = codes.groupBy(F.struct(*keys).alias("_key")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_code", "_n")))).alias("http_statuses"))
+    joined = found.withColumn("_own", F.struct(*keys)).join(maps, F.col("_own").eqNullSafe(F.col("_key")), "left").drop("_own", "_key")
+    return joined.withColumn("http_statuses", F.coalesce("http_statuses", F.from_json(F.lit("{}"), "map<string, long>")))
+
+
+def budget_conclusion(audit: DataFrame) -> DataFrame:
+    """One row: INCONCLUSIVE without a configuration or with one that reports no reasoning, else REQUIRES_REVIEW."""
+    silent = F.sum(F.when(F.col("reasoning_usage_reporting_status") == "NOT_REPORTED", 1).otherwise(0))
+    return audit.agg(F.count("*").alias("configurations"), F.when((F.count("*") == 0) | (silent > 0), "INCONCLUSIVE").otherwise("REQUIRES_REVIEW").alias("reasoning_contribution"))
+
+
+def finish_audit(turns: DataFrame, amendments: DataFrame) -> DataFrame:
+    """One row: counts of each finish status, anomalies approved by a valid amendment, those without any amendment, and
+    amendments that don't match their evidence.
+
+    turns: run_id, turn_number, finish_reason of successful turns. amendments: run_id, turn_number, amendment_id and
+    failed, the names of the checks that the amendment fails (see rules.broken_rules). An amendment whose turn isn't there
+    counts for nothing; two for one turn fail the query.
+    """
+    from cohortflow.functions.taxonomy import finish_status
+
+    twice = F.raise_error(F.concat_ws(" ", F.lit("two amendments for"), "run_id", F.col("turn_number").cast("string"))).cast("boolean")
+    once = amendments.groupBy("run_id", "turn_number").agg(F.count("*").alias("_n"), F.max(F.size("failed") == 0).alias("_valid"))
+    once = once.select("run_id", "turn_number", F.when(F.col("_n") > 1, twice).otherwise(F.col("_valid")).alias("_valid"))
+    j = turns.select("run_id", "turn_number", finish_status(F.col("finish_reason")).alias("_s")).join(once, ["run_id", "turn_number"], "left")
+    s, valid = F.col("_s"), F.col("_valid")
+    kinds = ("unreported", "reported_stop", "reported_length", "reported_other")
+    return j.agg(
+        *(number(s == k).alias(k) for k in kinds),
+        number(valid).alias("approved_anomaly_count"),
+        number(valid.isNull() & (s != "reported_stop")).alias("unapproved_anomaly_count"),
+        number(~valid).alias("invalid_amendments"),
+    )
+
+
 def metadata_keys(events: DataFrame, column: str) -> DataFrame:
     """How often each key of a JSON object column occurs."""
     keys = F.explode(F.json_object_keys(column)).alias("key")

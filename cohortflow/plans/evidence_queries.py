@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortflow.functions import hashing, literals, taxonomy
-from cohortflow.operators import agreement, baseline, bootstrap, calibration, rules
+from cohortflow.operators import agreement, baseline, bootstrap, calibration, rules, telemetry
 from cohortflow.plans.event_queries import _table
 from cohortflow.plans.rating_queries import _kappa_sql
 
@@ -309,3 +309,72 @@ def bundle_hashes(spark, sf_dir):
     others = [("models", models), ("histories", text('{"text": "\\u00e9 \\"', F.col("c_mktsegment"), '\\"", "history_id": "h"}'))]
     rest = [c.select(key.alias("bundle_id"), F.lit(kind).alias("kind"), F.lit(kind).alias("document_id"), d.alias("document")) for kind, d in others]
     return hashing.bundle_hashes(scripts.unionByName(rest[0]).unionByName(rest[1]))
+
+
+# --- generation budget and finish metadata ---------------------------------------------------------------------------
+
+_RESPONSES = """r AS (SELECT 'pilot_v' || (4 + user_id % 2) AS pilot_version, 'model_' || (user_id % 2) AS requested_model, CASE WHEN k % 10 = 0 THEN NULL ELSE 'model_' || (user_id % 2) END AS resolved_model, event_type AS provider,
+  CASE WHEN user_id % 3 = 0 THEN 'preloaded' ELSE 'no_preloaded' END AS context_condition, CASE WHEN k % 5 = 0 THEN 'length' WHEN k % 5 < 4 THEN 'stop' END AS finish_reason, k % 5 = 0 AS truncated, 'generation-v4' AS generation_version, 1024 AS max_completion_tokens, 'max_tokens' AS completion_limit_parameter,
+  CASE WHEN user_id % 2 = 1 THEN 'DISABLED' ELSE 'NONE_LEGACY' END AS reasoning_control_requested, CASE WHEN k % 6 > 0 THEN k + 100 END AS prompt_tokens, CASE WHEN k % 6 > 0 THEN 3 * k END AS completion_tokens, CASE WHEN k % 6 > 0 THEN 4 * k + 100 END AS total_tokens,
+  CASE WHEN event_type <> 'view' AND (event_type = 'click' OR k % 4 > 0) THEN k END AS reasoning_tokens, CASE WHEN k % 2 = 0 THEN k END AS visible_completion_tokens, CAST(NULL AS INT) AS cached_prompt_tokens, 10 * k AS visible_characters, 2 * k AS visible_words, k // 7 AS visible_sentences, value AS latency_ms,
+  CASE WHEN k % 9 < 7 THEN 200 WHEN k % 9 = 7 THEN 206 END AS http_status FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
+_KEYS = ", ".join(telemetry.BUDGET_KEYS)
+_STATUS = lambda c: f"CASE WHEN count({c}) = count(*) THEN 'REPORTED_ALL' WHEN count({c}) > 0 THEN 'REPORTED_PARTIAL' ELSE 'NOT_REPORTED' END"
+_BUDGET = f"""WITH {_RESPONSES}, g AS (SELECT pilot_version, {_KEYS}, count(*) AS response_count, {", ".join(f"median({c})::DOUBLE AS median_{c}" for c in telemetry.BUDGET_MEDIANS)},
+  {_STATUS("reasoning_tokens")} AS reasoning_usage_reporting_status, {_STATUS("visible_completion_tokens")} AS visible_token_reporting_status, count(*) FILTER (WHERE http_status = 200) AS ok, count(*) FILTER (WHERE http_status = 206) AS part FROM r GROUP BY ALL)"""
+
+
+def budget_responses(spark, sf_dir):
+    """A response for each event, in the roles of the budget audit."""
+    k, user, kind = F.get_json_object("props", "$.k").cast("int"), F.col("user_id"), F.col("event_type")
+    s = lambda x: x.cast("string")
+    used = lambda x: F.when(k % 6 > 0, x)
+    return _table(spark, sf_dir, "events").select(
+        F.concat(F.lit("pilot_v"), s(4 + user % 2)).alias("pilot_version"),
+        F.concat(F.lit("model_"), s(user % 2)).alias("requested_model"),
+        F.when(k % 10 != 0, F.concat(F.lit("model_"), s(user % 2))).alias("resolved_model"),
+        kind.alias("provider"),
+        F.when(user % 3 == 0, "preloaded").otherwise("no_preloaded").alias("context_condition"),
+        F.when(k % 5 == 0, "length").when(k % 5 < 4, "stop").alias("finish_reason"),
+        (k % 5 == 0).alias("truncated"),
+        F.lit("generation-v4").alias("generation_version"),
+        F.lit(1024).alias("max_completion_tokens"),
+        F.lit("max_tokens").alias("completion_limit_parameter"),
+        F.when(user % 2 == 1, "DISABLED").alias("reasoning_control_requested"),
+        used(k + 100).alias("prompt_tokens"),
+        used(3 * k).alias("completion_tokens"),
+        used(4 * k + 100).alias("total_tokens"),
+        F.when((kind != "view") & ((kind == "click") | (k % 4 > 0)), k).alias("reasoning_tokens"),
+        F.when(k % 2 == 0, k).alias("visible_completion_tokens"),
+        F.lit(None).cast("int").alias("cached_prompt_tokens"),
+        (10 * k).alias("visible_characters"),
+        (2 * k).alias("visible_words"),
+        F.floor(k / 7).alias("visible_sentences"),
+        F.col("value").alias("latency_ms"),
+        F.when(k % 9 < 7, 200).when(k % 9 == 7, 206).alias("http_status"),
+    )
+
+
+@query(f"{_BUDGET} SELECT * EXCLUDE (ok, part), concat_ws(',', CASE WHEN ok > 0 THEN '200:' || ok END, CASE WHEN part > 0 THEN '206:' || part END) AS http_statuses FROM g")
+def generation_budget_groups(spark, sf_dir):
+    found = telemetry.generation_budget_audit(budget_responses(spark, sf_dir))
+    return found.withColumn("http_statuses", F.array_join(F.transform(F.map_entries("http_statuses"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ","))
+
+
+@query(f"{_BUDGET} SELECT count(*) AS configurations, CASE WHEN count(*) = 0 OR bool_or(reasoning_usage_reporting_status = 'NOT_REPORTED') THEN 'INCONCLUSIVE' ELSE 'REQUIRES_REVIEW' END AS reasoning_contribution FROM g")
+def generation_budget_conclusion(spark, sf_dir):
+    return telemetry.budget_conclusion(telemetry.generation_budget_audit(budget_responses(spark, sf_dir)))
+
+
+@query("""WITH o AS (SELECT DISTINCT o_orderkey AS x, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' STOP ' WHEN 2 THEN 'length' WHEN 3 THEN 'stop' ELSE 'other' END AS f, o_orderkey % 7 = 0 AS amended FROM orders)
+SELECT count(*) FILTER (WHERE f IS NULL) AS unreported, count(*) FILTER (WHERE x % 5 IN (1, 3)) AS reported_stop, count(*) FILTER (WHERE f = 'length') AS reported_length, count(*) FILTER (WHERE f = 'other') AS reported_other,
+  count(*) FILTER (WHERE amended AND x % 30 = 29) AS approved_anomaly_count, count(*) FILTER (WHERE NOT amended AND x % 5 NOT IN (1, 3)) AS unapproved_anomaly_count, count(*) FILTER (WHERE amended AND x % 30 <> 29) AS invalid_amendments FROM o""")
+def finish_metadata_audit(spark, sf_dir):
+    """A turn for each order; every seventh has an amendment, one in thirty of which matches its evidence."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("x")).distinct()
+    x = F.col("x")
+    run = F.concat(F.lit("run_"), x.cast("string"))
+    finish = F.when(x % 5 == 1, " STOP ").when(x % 5 == 2, "length").when(x % 5 == 3, "stop").when(x % 5 == 4, "other")
+    turns = o.select(run.alias("run_id"), F.lit(1).alias("turn_number"), finish.alias("finish_reason"))
+    checked = rules.broken_rules(amended_evidence(o.where("x % 7 = 0")), rules.bundled("finish-amendment-v1"))
+    return telemetry.finish_audit(turns, checked.select(run.alias("run_id"), F.lit(1).alias("turn_number"), run.alias("amendment_id"), "failed"))

@@ -9,7 +9,7 @@ import random
 import numpy as np
 import pytest
 from cohortflow.functions import hashing, literals
-from cohortflow.operators import agreement, baseline, bootstrap, calibration, events, rules
+from cohortflow.operators import agreement, baseline, bootstrap, calibration, events, rules, telemetry
 from cohortflow.plans import evidence_queries
 from cohortflow.sources import event_store
 from hypothesis import given, settings
@@ -291,3 +291,21 @@ def test_tree_digest_and_manifest(spark, tmp_path, monkeypatch):
     for bad, said in (([*lines, "abc  b.txt"], "malformed"), (lines[:2], "no entries")):
         with pytest.raises(Exception, match=said):
             found(bad)
+
+
+def test_finish_audit_of_amendments(spark):
+    turns = spark.createDataFrame([("r", i, f) for i, f in enumerate([None, " ", "Stop", "LENGTH ", "tool", "tool"])], "run_id string, turn_number int, finish_reason string")
+    given_ = spark.createDataFrame([("r", 0, "a0", []), ("r", 4, "a4", ["provider"]), ("gone", 1, "a9", [])], "run_id string, turn_number int, amendment_id string, failed array<string>")
+    assert telemetry.finish_audit(turns, given_).first().asDict() == {"unreported": 2, "reported_stop": 1, "reported_length": 1, "reported_other": 2, "approved_anomaly_count": 1, "unapproved_anomaly_count": 3, "invalid_amendments": 1}
+    with pytest.raises(Exception, match="two amendments"):
+        telemetry.finish_audit(turns, given_.unionByName(given_)).collect()
+
+
+def test_budget_of_no_response(spark):
+    kinds = ", ".join([f"{c} string" for c in ("pilot_version", *telemetry.BUDGET_KEYS)] + [f"{c} double" for c in telemetry.BUDGET_MEDIANS] + ["http_status int"])
+    none = spark.createDataFrame([], kinds)
+    assert telemetry.budget_conclusion(telemetry.generation_budget_audit(none)).first().asDict() == {"configurations": 0, "reasoning_contribution": "INCONCLUSIVE"}
+    one = spark.createDataFrame([(None,) * 11 + (1.0,) * 10 + (None,)], kinds)
+    row = telemetry.generation_budget_audit(one).first()
+    assert (row["reasoning_control_requested"], row["http_statuses"], row["median_latency_ms"]) == ("NONE_LEGACY", {}, 1.0)
+    assert telemetry.budget_conclusion(telemetry.generation_budget_audit(one)).first()["reasoning_contribution"] == "REQUIRES_REVIEW"

@@ -198,8 +198,9 @@ def test_logs_and_sinks(spark, tmp_path):
     ev = spark.createDataFrame([("e1", "r"), ("e2", "r"), ("e2", "r")], "event_id string, run_id string")
     store = str(tmp_path / "events")
     assert event_store.append_events(ev, store) == 2 and event_store.append_events(ev, store) == 0
-    (tmp_path / "f.txt").write_bytes(b"a\r\nb")
-    d = one(event_store.file_digests(spark, str(tmp_path), portable=True))
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "f.txt").write_bytes(b"a\r\nb")
+    d = one(event_store.file_digests(spark, str(tmp_path / "texts"), portable=True))
     assert d["sha256"] == hashlib.sha256(b"a\nb").hexdigest()
     assert one(spark.range(1).select(event_store.safe_name(F.lit("../a b/ü.txt")).alias("n")))["n"] == "a_b_.txt"
 
