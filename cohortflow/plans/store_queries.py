@@ -124,18 +124,20 @@ def append_only_store(spark, sf_dir):
 
 
 @query(f"""WITH {CALLS}, old AS (SELECT run_id, CAST(event_id % 6 AS INT) AS turn_number, event_id, ts, event_id % 4 = 0 AS stored FROM calls WHERE kind = 'error')
-  SELECT run_id, turn_number, event_id, coalesce((SELECT count(*) FROM old o WHERE o.stored AND o.run_id = a.run_id AND o.turn_number = a.turn_number), 0)
-    + row_number() OVER (PARTITION BY run_id, turn_number ORDER BY ts, event_id) AS sequence FROM old a WHERE NOT stored""")
+  , taken AS (SELECT run_id, turn_number, list(2 * n) AS l FROM (SELECT run_id, turn_number, row_number() OVER (PARTITION BY run_id, turn_number ORDER BY ts, event_id) AS n FROM old WHERE stored) GROUP BY ALL)
+  SELECT run_id, turn_number, event_id, (list_filter(range(1, 2 * k + 1), lambda i: NOT list_contains(coalesce(l, []), i)))[k] AS sequence
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id, turn_number ORDER BY ts, event_id) AS k FROM old WHERE NOT stored) LEFT JOIN taken USING (run_id, turn_number)""")
 def error_sequence_numbers(spark, sf_dir):
     e = technical_events(spark, sf_dir).where("kind = 'error'").select("run_id", (F.col("event_id") % 6).cast("int").alias("turn_number"), "event_id", F.col("ts").alias("occurred_at"))
     none = e.limit(0).withColumn("sequence", F.lit(0))
-    stored = event_store.numbered_errors(none, e.where("event_id % 4 = 0"))
+    stored = event_store.numbered_errors(none, e.where("event_id % 4 = 0")).withColumn("sequence", 2 * F.col("sequence"))  # odd numbers are free
     return event_store.numbered_errors(stored, e.where("event_id % 4 <> 0")).select("run_id", "turn_number", "event_id", F.col("sequence").cast("long").alias("sequence"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS s FROM documents) SELECT doc_id, substr(s, 1, 180) AS name FROM t""")
+@query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(doc_id || ' ' || coalesce(text, ''), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS s FROM documents) SELECT doc_id, substr(s, 1, 180) AS name FROM t""")
 def safe_names(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", event_store.safe_name(F.col("text")).alias("name"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))
+    return _table(spark, sf_dir, "documents").select("doc_id", event_store.safe_name(name).alias("name"))
 
 
 #: The columns of the tables that the dictionary covers, as DuckDB names their types.

@@ -5,9 +5,12 @@ Readers take explicit schemas; a malformed line fails or is kept aside, never si
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
-from collections.abc import Iterator, Mapping, Sequence
+import time
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,21 +151,74 @@ def key_values(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_once(frame: DataFrame, path: str, kind: str = "json", overwrite: bool = False, **options) -> None:
-    """Writes a table; an existing one is refused unless overwriting is asked for."""
-    frame.write.mode("overwrite" if overwrite else "errorifexists").options(**options).format(kind).save(path)
+    """Writes a table; an existing one is refused unless overwriting is asked for. Of two writers at once one is refused."""
+    writer = frame.write.mode("overwrite" if overwrite else "errorifexists").options(**options).format(kind)
+    if overwrite:
+        writer.save(path)
+        return
+    with append_lock(frame.sparkSession, path) as still_held:
+        still_held()
+        writer.save(path)
+
+
+#: Seconds after which a writer that hasn't finished counts as dead.
+LEASE = 3600.0
 
 
 @contextmanager
-def append_lock(spark: SparkSession, path: str) -> Iterator[None]:
-    """Holds path.lock, a file that one writer alone can create; a second writer is refused."""
-    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
+def append_lock(spark: SparkSession, path: str, lease: float = LEASE) -> Iterator[Callable[[], None]]:
+    """Holds path.lock, a file that one writer alone can create; a second writer is refused.
+
+    A lock older than the lease is a dead writer's: it is renamed away, which of several takers only one can do, and
+    claimed anew. What is yielded is a check to make right before a write: it fails once another writer has taken over.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    lock = hadoop.Path(f"{path}.lock")
     files = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.createNewFile(lock):
-        raise RuntimeError(f"{path} is being written to: {path}.lock exists")
+    owner = uuid.uuid4().hex
+
+    def holder() -> str | None:
+        try:
+            with contextlib.closing(files.open(lock)) as stream:
+                return bytes(stream.readAllBytes()).decode()
+        except Exception as e:  # noqa: BLE001  the lock may be gone by now
+            if "FileNotFound" not in str(e):
+                raise
+            return None
+
+    def claim() -> bool:
+        try:
+            with contextlib.closing(files.create(lock, False)) as stream:  # fails where the file exists
+                stream.write(owner.encode())
+            return True
+        except Exception as e:  # noqa: BLE001
+            if "AlreadyExists" not in str(e):
+                raise
+            return False
+
+    def expired() -> bool:
+        try:
+            return time.time() - files.getFileStatus(lock).getModificationTime() / 1000 > lease
+        except Exception as e:  # noqa: BLE001
+            if "FileNotFound" not in str(e):
+                raise
+            return False
+
+    if not claim():
+        old = hadoop.Path(f"{path}.lock-{owner}")
+        if not (expired() and files.rename(lock, old) and claim()):
+            raise RuntimeError(f"{path} is being written to: {path}.lock exists")
+        files.delete(old, False)
+
+    def still_held() -> None:
+        if holder() != owner:
+            raise RuntimeError(f"the lease on {path} has run out and another writer has taken over")
+
     try:
-        yield
+        yield still_held
     finally:
-        files.delete(lock, False)
+        if holder() == owner:
+            files.delete(lock, False)
 
 
 def append_events(frame: DataFrame, path: str, key: str = "event_id", by: str = "run_id", reject: bool = False) -> int:
@@ -171,7 +227,7 @@ def append_events(frame: DataFrame, path: str, key: str = "event_id", by: str =
     One writer at a time. With `reject`, keys that the store holds or that repeat are an error and nothing is written.
     """
     spark = frame.sparkSession
-    with append_lock(spark, path):
+    with append_lock(spark, path) as still_held:
         try:
             known = spark.read.parquet(path).select(key)
         except Exception as e:  # noqa: BLE001  only a store that doesn't exist yet is empty
@@ -182,17 +238,30 @@ def append_events(frame: DataFrame, path: str, key: str = "event_id", by: str =
         n = fresh.count()
         if reject and n < frame.count():
             raise ValueError(f"values of {key} repeat or are in {path} already")
+        still_held()
         fresh.write.mode("append").partitionBy(by).parquet(path)
     return n
 
 
+def with_headers(turns: DataFrame, headers: DataFrame) -> DataFrame:
+    """Successes that may be stored: one of a run without a header fails the query."""
+    known = headers.select("run_id").distinct().withColumn("_known", F.lit(True))
+    none = F.raise_error(F.concat(F.lit("no header for run "), F.coalesce("run_id", F.lit("null")))).cast("boolean")
+    return turns.join(known, "run_id", "left").where(F.coalesce("_known", none)).drop("_known")
+
+
 def numbered_errors(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """New error events with the next free sequence numbers of their (run, turn)."""
+    """New error events with the free sequence numbers of their (run, turn), from the first on: gaps are filled.
+
+    A turn has as many errors as attempts, so its numbers fit in a row.
+    """
     from pyspark.sql import Window
 
-    last = existing.groupBy("run_id", "turn_number").agg(F.max("sequence").alias("_last"))
+    taken = existing.groupBy("run_id", "turn_number").agg(F.collect_set(F.col("sequence").cast("int")).alias("_taken"))
     order = Window.partitionBy("run_id", "turn_number").orderBy("occurred_at", "event_id")
-    return incoming.join(last, ["run_id", "turn_number"], "left").withColumn("sequence", F.coalesce("_last", F.lit(0)) + F.row_number().over(order)).drop("_last")
+    rows = incoming.join(taken, ["run_id", "turn_number"], "left").withColumn("_k", F.row_number().over(order)).withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
+    free = F.array_except(F.sequence(F.lit(1), F.size("_taken") + F.col("_k")), "_taken")
+    return rows.withColumn("sequence", F.element_at(free, F.col("_k"))).drop("_taken", "_k")
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, kind: str = "csv") -> None:
@@ -210,8 +279,10 @@ def write_blinded(items: DataFrame, item_map: DataFrame, folder: str) -> None:
 
 
 def safe_name(name: Column) -> Column:
-    """A file name of letters, digits, dots, dashes and underscores, 180 characters at most."""
-    return F.substring(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", ""), 1, 180)
+    """A file name of letters, digits, dots, dashes and underscores, 180 characters at most; a name that has none of them
+    fails the query."""
+    cleaned = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "-"), r"^[-._]+|[-._]+$", "")
+    return F.when(cleaned == "", F.raise_error(F.lit("an identifier without characters for a file name"))).otherwise(F.substring(cleaned, 1, 180))
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:

@@ -309,3 +309,34 @@ def test_budget_of_no_response(spark):
     row = telemetry.generation_budget_audit(one).first()
     assert (row["reasoning_control_requested"], row["http_statuses"], row["median_latency_ms"]) == ("NONE_LEGACY", {}, 1.0)
     assert telemetry.budget_conclusion(telemetry.generation_budget_audit(one)).first()["reasoning_contribution"] == "REQUIRES_REVIEW"
+
+
+# --- stores ----------------------------------------------------------------------------------------------------------
+
+
+def test_two_writers_and_a_dead_one(spark, tmp_path):
+    path = str(tmp_path / "store")
+    with event_store.append_lock(spark, path) as held:
+        held()
+        with pytest.raises(RuntimeError, match="being written"), event_store.append_lock(spark, path):
+            pass
+        with pytest.raises(RuntimeError, match="being written"):
+            event_store.write_once(spark.range(2), path)
+        with event_store.append_lock(spark, path, lease=-1.0) as other:  # the first one counts as dead
+            other()
+            with pytest.raises(RuntimeError, match="taken over"):
+                held()
+    assert not (tmp_path / "store.lock").exists()
+    event_store.write_once(spark.range(2), path)
+    assert spark.read.json(path).count() == 2
+
+
+def test_error_numbers_fill_gaps(spark):
+    kinds = "run_id string, turn_number int, event_id string, occurred_at int"
+    incoming = spark.createDataFrame([("r", 1, "a", 1), ("r", 1, "b", 2), ("r", 1, "c", 3), ("r", 2, "d", 1)], kinds)
+    stored = spark.createDataFrame([("r", 1, 2), ("r", 1, 3), ("r", 1, 5)], "run_id string, turn_number int, sequence int")
+    assert {r["event_id"]: r["sequence"] for r in event_store.numbered_errors(stored, incoming).collect()} == {"a": 1, "b": 4, "c": 6, "d": 1}
+    headers = spark.createDataFrame([("r",)], "run_id string")
+    assert event_store.with_headers(incoming, headers).count() == 4
+    with pytest.raises(Exception, match="no header for run q"):
+        event_store.with_headers(incoming.withColumn("run_id", F.lit("q")), headers).collect()
