@@ -205,9 +205,12 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
     if share < 1:
         usable = usable.where(F.xxhash64("doc_id") < F.lit(int(share * (1 << 64)) - (1 << 63)))
     chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_docs)
-    # The sample's ids, sample_docs at most, are what is broadcast.
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return own.dropDuplicates().orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "text", "toxic").limit(sample_docs).select("text", "toxic")
+    # The sample's ids, sample_docs at most, are what is broadcast. Rows are chosen by the hash of their text: only
+    # those of the sample are read with their texts, and no task sees them all.
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    rows = own.select("doc_id", "_h").join(F.broadcast(chosen), "doc_id").distinct()
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_h", "toxic").limit(sample_docs)
+    return own.join(F.broadcast(rows), ["doc_id", "_h"]).dropDuplicates(["doc_id", "text", "toxic"]).select("text", "toxic")
 
 
 def _featured(sample: DataFrame) -> DataFrame:
@@ -221,13 +224,15 @@ def _featured(sample: DataFrame) -> DataFrame:
                 packed = (features(data, s, e), counts.astype(np.int64), labels[first:last])
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["f", "n", "y"])
 
-    return stored(sample.repartition(SAMPLE_PARTS, F.xxhash64("text")).mapInArrow(run, "f binary, n binary, y binary"))
+    # In a fixed order: sums of a partition then have the same last bits in every run.
+    dealt = sample.repartition(SAMPLE_PARTS, F.xxhash64("text")).sortWithinPartitions(F.xxhash64("text"), "text", "toxic")
+    return stored(dealt.mapInArrow(run, "f binary, n binary, y binary"))
 
 
 def _over_chunks(chunks: DataFrame, task, known=None):
-    """What `task(chunks of a partition, known)`, three arrays, gives for each partition of the sample."""
+    """What `task(chunks of a partition, known)`, three arrays, gives for each partition of the sample, in their order."""
     shared = chunks.sparkSession.sparkContext.broadcast(known)
-    names = ["at", "values", "rest"]
+    kinds = {"at": np.int32, "values": np.float32, "rest": np.float64}
 
     def run(batches):
         def unpacked():
@@ -236,29 +241,15 @@ def _over_chunks(chunks: DataFrame, task, known=None):
                     f, n, y = (batch.column(j)[i].as_py() for j in range(3))
                     yield np.frombuffer(f, np.int32).reshape(1 + len(PREFIXES), -1), np.frombuffer(n, np.int64), np.frombuffer(y, np.int8)
 
-        out = [np.ascontiguousarray(a, np.float64).tobytes() for a in task(unpacked(), shared.value)]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], names)
+        out = [np.ascontiguousarray(a, k).tobytes() for a, k in zip(task(unpacked(), shared.value), kinds.values(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], list(kinds))
 
     # A row for each of the sample's few partitions.
-    for row in chunks.mapInArrow(run, ", ".join(f"{x} binary" for x in names)).collect():
-        yield [np.frombuffer(x, np.float64) for x in row]
+    for row in chunks.mapInArrow(run, ", ".join(f"{x} binary" for x in kinds)).collect():
+        yield [np.frombuffer(x, k) for x, k in zip(row, kinds.values(), strict=True)]
     shared.destroy()
 
 
-def _sparse(x: np.ndarray) -> list[np.ndarray]:
-    at = np.flatnonzero(x)
-    return [at, x[at]]
-
-
-def _add_up(parts, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sums over partitions of (place, value) pairs, in the order of `places`, and of the few numbers beside them."""
-    total, rest = np.zeros(len(places)), np.zeros(5)
-    for at, values, others in parts:
-        total[np.searchsorted(places, at)] += values
-        rest[: len(others)] += others
-    return total, rest
-
-
 def _spread(at: np.ndarray, values) -> np.ndarray:
     """A table with an entry for each hash and a last one for absent features."""
     table = np.zeros(_SIZE + 1, np.asarray(values).dtype)
@@ -266,19 +257,18 @@ def _spread(at: np.ndarray, values) -> np.ndarray:
     return table
 
 
-def _count_task(label: int):
-    def task(chunks, _):
-        seen, n = np.zeros(_SIZE), 0
-        for feats, counts, y in chunks:
-            mine = np.repeat(y == label, counts)
-            text = np.repeat(np.arange(len(counts)), counts)[mine]
-            pairs = [np.unique(text[row >= 0] * _SIZE + row[row >= 0]) for row in feats[:, mine]]
-            for pair in pairs:
-                seen += np.bincount(pair % _SIZE, minlength=_SIZE)
-            n += int((y == label).sum())
-        return [*_sparse(seen), np.array([n])]
-
-    return task
+def _count_task(chunks, _):
+    """(the features of a partition, in how many of its clean and of its toxic documents each is, documents of both)."""
+    seen, n = np.zeros((2, _SIZE), np.float32), np.zeros(2)
+    for feats, counts, y in chunks:
+        text = np.repeat(np.arange(len(counts)), counts)
+        for row in feats:
+            pair = np.unique(text[row >= 0] * _SIZE + row[row >= 0])
+            for label in (0, 1):
+                seen[label] += np.bincount(pair[y[pair // _SIZE] == label] % _SIZE, minlength=_SIZE)
+        n += np.bincount(y, minlength=2)
+    at = np.flatnonzero(seen.any(axis=0))
+    return at, seen[:, at].ravel(), n
 
 
 def _tagged(feats, counts, y, sign):
@@ -295,65 +285,74 @@ def _moves_task(chunks, signs):
         prior[1:] = tags[:-1]
         prior[(np.cumsum(counts) - counts)[counts > 0]] = False
         seen += np.array([[(~prior & ~tags).sum(), (~prior & tags).sum()], [(prior & ~tags).sum(), (prior & tags).sum()]], float)
-    return [np.zeros(0), np.zeros(0), seen.ravel()]
+    return np.zeros(0), np.zeros(0), seen.ravel()
 
 
 def _gradient_task(chunks, known):
+    """(nothing, the gradient of each feature of a partition in _count_task's order, expected moves and the bias's gradient)."""
     signs, used, values, bias, move = known
     sign, weight = _spread(signs, True), _spread(used, values)
-    grad, gap_all, moves = np.zeros(_SIZE + 1), 0.0, np.zeros((2, 2))
+    grad, held, gap_all, moves = np.zeros(_SIZE + 1), np.zeros(_SIZE + 1, bool), 0.0, np.zeros((2, 2))
     for feats, counts, y in chunks:
         p, own_moves = Chains(counts).marginals(emissions(weight, bias, feats), move, True)
         gap = _tagged(feats, counts, y, sign) - p
         far = np.flatnonzero(np.abs(gap) > 1e-7)  # the others' share of the gradient is nothing
-        for row in feats[:, far]:
-            grad += np.bincount(np.where(row < 0, _SIZE, row), weights=gap[far], minlength=_SIZE + 1)
+        for row in feats:
+            held[row] = True
+            grad += np.bincount(np.where(row[far] < 0, _SIZE, row[far]), weights=gap[far], minlength=_SIZE + 1)
         gap_all += gap.sum()
         moves += own_moves
-    return [*_sparse(grad[:_SIZE]), np.append(moves.ravel(), gap_all)]
+    return np.zeros(0), grad[:_SIZE][held[:_SIZE]], np.append(moves.ravel(), gap_all)
 
 
 def _aggregate_task(chunks, known):
     _, used, values, bias, move = known
     weight = _spread(used, values)
-    x, labels = [np.zeros((0, 4))], [np.zeros(0)]
+    rows = [np.zeros((0, 5))]
     for feats, counts, y in chunks:
-        x.append(_aggregates(Chains(counts).marginals(emissions(weight, bias, feats), move)[0], counts))
-        labels.append(y.astype(float))
-    return [np.zeros(0), np.concatenate(x).ravel(), np.concatenate(labels)]
+        x = _aggregates(Chains(counts).marginals(emissions(weight, bias, feats), move)[0], counts)
+        rows.append(np.concatenate([x, y[:, None]], axis=1))
+    return np.zeros(0), np.zeros(0), np.concatenate(rows).ravel()
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """A model from the labelled documents in `labels` (doc_id, toxic).
 
-    Every step over the sample is a Spark job; the driver adds up a gradient from each partition, over the features that
-    the sample holds, 2^20 at most.
+    Every step over the sample is a Spark job. A partition names its features once, when they are counted; after that it
+    sends a number for each, which the driver adds up. The sample holds 2^20 features at most.
     """
     chunks = _featured(_sample(docs, labels, sample_docs))
-    parts = [list(_over_chunks(chunks, _count_task(y))) for y in (0, 1)]
+    parts = list(_over_chunks(chunks, _count_task))
     held = np.zeros(_SIZE, bool)
-    for at, _, _ in parts[0] + parts[1]:
-        held[at.astype(np.int64)] = True
-    places = np.flatnonzero(held)
-    (in_clean, n_c), (in_toxic, n_t) = (_add_up(p, places) for p in parts)
+    for at, _, _ in parts:
+        held[at] = True
+    places = np.flatnonzero(held).astype(np.int32)
+    where = [np.searchsorted(places, at).astype(np.int32) for at, _, _ in parts]
+    by_class, documents = np.zeros((2, len(places))), np.zeros(2)
+    for at, (_, values, n) in zip(where, parts, strict=True):
+        by_class[:, at] += values.reshape(2, -1)
+        documents += n
     del parts, held
-    n_t, n_c = int(n_t[0]), int(n_c[0])
+    (in_clean, in_toxic), (n_c, n_t) = by_class, documents.astype(int)
     if not n_t or not n_c:
         return {"empty": True}
     # Purity on equal footing: as if both classes had as many documents.
     purity = (in_toxic / n_t) / np.maximum(in_toxic / n_t + in_clean / n_c, 1e-12)
     could = np.flatnonzero((purity >= 0.5 + SIGN_PURITY / 2) & (in_toxic > 2 * in_clean))
     ratio = _ratio(in_toxic[could], in_clean[could], n_t, n_c)
-    signs = places[could[ratio >= _significant(ratio, len(places))]].astype(np.int32)
-    seen = _add_up(_over_chunks(chunks, _moves_task, signs), places)[1][:4].reshape(2, 2)
+    signs = places[could[ratio >= _significant(ratio, len(places))]]
+    del by_class, in_clean, in_toxic, purity
+    seen = sum(rest for _, _, rest in _over_chunks(chunks, _moves_task, signs)).reshape(2, 2)
     move = np.log((seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True))
     weight, bias = np.zeros(len(places)), 0.0
     square_w, square_b, square_m = np.full(len(places), 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    known = lambda: (signs, places[weight != 0].astype(np.int32), weight[weight != 0], bias, move)
+    known = lambda: (signs, places[weight != 0], weight[weight != 0], bias, move)
     for _ in range(EPOCHS):
-        grad, rest = _add_up(_over_chunks(chunks, _gradient_task, known()), places)
+        grad, rest = -0.05 * weight, np.zeros(5)
+        for at, (_, values, others) in zip(where, _over_chunks(chunks, _gradient_task, known()), strict=True):
+            grad[at] += values
+            rest += others
         moves, gap_all = rest[:4].reshape(2, 2), rest[4]
-        grad -= 0.05 * weight
         square_w += grad * grad
         weight += 0.8 * grad / np.sqrt(square_w)
         step = seen - moves - 0.05 * move
@@ -361,10 +360,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         move = move + 0.2 * step / np.sqrt(square_m)
         square_b += gap_all**2
         bias += 0.2 * gap_all / np.sqrt(square_b)
-    x, y = zip(*((a.reshape(-1, 4), b) for _, a, b in _over_chunks(chunks, _aggregate_task, known())), strict=True)
-    final = _logistic(np.concatenate(x), np.concatenate(y))
+    rows = np.concatenate([rest.reshape(-1, 5) for _, _, rest in _over_chunks(chunks, _aggregate_task, known())])
+    final = _logistic(rows[:, :4], rows[:, 4])
     large = np.abs(weight) > 1e-3
-    return {"used": places[large].astype(np.int32), "weight": weight[large], "bias": float(bias), "move": move, "final": final}
+    return {"used": places[large], "weight": weight[large], "bias": float(bias), "move": move, "final": final}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
