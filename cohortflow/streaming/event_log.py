@@ -1,9 +1,11 @@
-"""The event log as a stream: deduplicated events, windowed counts and each run's running state."""
+"""The event log as a stream: deduplicated events, windowed counts, each run's running state and its progress with retries."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def read_events(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -23,3 +25,80 @@ def windowed_counts(events: DataFrame, by: str = "event_type", time: str = "ts",
 def run_states(events: DataFrame, run: str = "user_id") -> DataFrame:
     """Per run: events, errors and the last event's time, updated with every batch."""
     return events.groupBy(run).agg(F.count("*").alias("events"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.max("ts").alias("last_ts"))
+
+
+_RUN = "turns int, errors int, status string, next_turn int, failures int, wait_seconds int, note string"
+
+
+class _Progress(StatefulProcessor):
+    """A run's successes by turn, its errors by event id and the timer of its next retry."""
+
+    def __init__(self, planned: int, first: int, most: int, cycles: int):
+        self.planned, self.first, self.most, self.cycles = planned, first, most, cycles
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.turns = handle.getMapState("turns", "turn int", "us bigint")
+        self.errors = handle.getMapState("errors", "event_id string", "us bigint")
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            for event, kind, turn, us in zip(frame["event"], frame["kind"], frame["turn"], frame["us"], strict=True):
+                # Whatever comes twice, or late, finds its own place again: the state is the same in any order.
+                if kind == "error":
+                    self.errors.updateValue((event,), (int(us),))
+                elif 1 <= turn <= self.planned:
+                    old = self.turns.getValue((int(turn),)) if self.turns.containsKey((int(turn),)) else (int(us),)
+                    self.turns.updateValue((int(turn),), (max(old[0], int(us)),))
+        yield self._state(key, None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.timer.clear()
+        yield self._state(key, "retry_due")
+
+    def _state(self, key, note):
+        turns = {k[0]: v[0] for k, v in self.turns.iterator()}
+        errors = [v[0] for _, v in self.errors.iterator()]
+        missing = [t for t in range(1, self.planned + 1) if t not in turns]
+        last = max(turns.values(), default=None)
+        failures = sum(last is None or us > last for us in errors)
+        status = "completed" if not missing else "partial" if turns else "failed" if errors else "planned"
+        wait = min(self.most, self.first * 2 ** min(failures - 1, 30)) if missing and 0 < failures < self.cycles else None
+        if note is None:
+            if self.timer.exists():
+                self.handle.deleteTimer(self.timer.get()[0])
+                self.timer.clear()
+            if wait is not None:
+                due = max(errors) // 1000 + wait * 1000
+                self.handle.registerTimer(due)
+                self.timer.update((due,))
+        if missing and failures >= self.cycles:
+            note = "gave_up"
+        return pd.DataFrame({"run": [key[0]], "turns": [len(turns)], "errors": [len(errors)], "status": [status], "next_turn": pd.array([missing[0] if missing else None], "Int32"), "failures": [failures], "wait_seconds": pd.array([wait], "Int32"), "note": [note]})
+
+    def close(self) -> None:
+        pass
+
+
+def run_progress(events: DataFrame, planned: int = 6, first_wait: int = 3, longest_wait: int = 60, cycles: int = 10, lateness: str = "1 hour", run: str = "run_id") -> DataFrame:
+    """Each run's state after every batch that touches it: turns, errors, status, next missing turn, failures since its
+    last success and the seconds to wait before the next try.
+
+    events is a stream of (run, event_id, kind, turn_number, ts), kind being success or error. A row with note
+    'retry_due' comes when event time passes the wait; after `cycles` failures in a row there is no wait, and the note is
+    'gave_up'. Repeated events change nothing, late ones count as long as the watermark allows, and a run's last row is
+    the same in whatever order its events came; successes outside 1..planned, and rows without a run, event id or time,
+    count for nothing. State: one entry for each planned turn and each error of a run. The session needs the RocksDB
+    state store.
+    """
+    usable = F.col(run).isNotNull() & F.col("event_id").isNotNull() & F.col("ts").isNotNull()
+    rows = events.where(usable).select(
+        F.col(run).cast("string").alias("run"),
+        F.col("event_id").cast("string").alias("event"),
+        F.coalesce("kind", F.lit("")).alias("kind"),
+        F.coalesce(F.col("turn_number").cast("int"), F.lit(0)).alias("turn"),
+        F.col("ts").cast("timestamp").alias("time"),
+    ).where("kind IN ('success', 'error')").withColumn("us", F.unix_micros("time"))
+    states = rows.withWatermark("time", lateness).groupBy("run").transformWithStateInPandas(_Progress(planned, first_wait, longest_wait, cycles), f"run string, {_RUN}", "Update", "EventTime")
+    return states.withColumnRenamed("run", run)
