@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cohortflow.operators import design, events, integrity
 from cohortflow.plans.event_queries import _EXCHANGES, _ITEMS, KEY, _scorable, _table, exchanges
 from cohortflow.plans.fixtures import CALLS, LOG, TURNS, annotation_log, technical_events, turn_ratings
 from cohortflow.sources import event_store
+from cohortflow.streaming import event_log
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -200,3 +202,36 @@ def blinded_files(spark, sf_dir):
     event_store.write_blinded(items, item_map, folder)
     a, b = (spark.read.schema(f.schema).json(f"{folder}/{n}") for f, n in ((items, "items"), (item_map, "map")))
     return a.select("item_id", "source_response_hash").join(b.select("item_id", "run_id", "turn_number"), "item_id")
+
+
+@query("""WITH e AS (SELECT 'run_' || user_id || '_' || (day(ts) - 1) // 7 AS run_id, event_id, event_type = 'error' AS bad, CAST(event_id % 9 + 1 AS INT) AS turn, ts FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL),
+u AS (SELECT * FROM e WHERE bad OR turn <= 6), l AS (SELECT run_id, max(ts) FILTER (NOT bad) AS last_ok FROM u GROUP BY run_id),
+g AS (SELECT e.run_id, count(DISTINCT turn) FILTER (NOT bad AND turn <= 6) AS turns, count(DISTINCT event_id) FILTER (bad) AS errors,
+  count(DISTINCT event_id) FILTER (bad AND (last_ok IS NULL OR ts > last_ok)) AS failures, list(DISTINCT turn) FILTER (NOT bad AND turn <= 6) AS had FROM e LEFT JOIN l USING (run_id) GROUP BY e.run_id)
+SELECT run_id, CAST(turns AS INT) AS turns, CAST(errors AS INT) AS errors, CASE WHEN turns = 6 THEN 'completed' WHEN turns > 0 THEN 'partial' WHEN errors > 0 THEN 'failed' ELSE 'planned' END AS status,
+  CAST(list_min(list_filter([1, 2, 3, 4, 5, 6], lambda x: NOT list_contains(coalesce(had, []), x))) AS INT) AS next_turn, CAST(failures AS INT) AS failures,
+  CASE WHEN turns < 6 AND failures BETWEEN 1 AND 9 THEN CAST(least(60, 3 * pow(2, failures - 1)) AS INT) END AS wait_seconds, CASE WHEN turns < 6 AND failures >= 10 THEN 'gave_up' END AS note FROM g""")
+def streamed_run_progress(spark, sf_dir):
+    """The events as a stream of runs, a user's week each; every run's row after the last batch that touched it."""
+    folder = _folder(spark)
+    session = spark.newSession()  # the state store is the stream's own setting
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{sf_dir}/events.parquet"
+    # As a pattern: a stream takes a folder or a pattern, and the table may be one file.
+    e = event_log.read_events(session, f"{sf_dir}/events[.]parquet", spark.read.parquet(path).schema)
+    week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("string")
+    rows = e.select(
+        F.concat(F.lit("run_"), F.col("user_id").cast("string"), F.lit("_"), week).alias("run_id"),
+        "event_id",
+        F.when(F.col("event_type") == "error", "error").otherwise("success").alias("kind"),
+        (F.col("event_id") % 9 + 1).cast("int").alias("turn_number"),
+        "ts",
+    )
+    # The files are in no order of time: no event may count as late.
+    states = event_log.run_progress(rows, lateness="36500 days")
+    # A batch that is run again replaces its own rows.
+    sink = lambda frame, batch: frame.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/rows/{batch}")
+    states.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(StructType([*states.schema.fields, StructField("batch", IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+    return kept.groupBy("run_id").agg(F.max_by(F.struct(*states.columns[1:]), "batch").alias("s")).select("run_id", "s.*")
