@@ -59,14 +59,14 @@ RETIRED = ("expired", "deprecated", "retired", "unavailable")
 LIMIT_PARAMETERS = ("max_completion_tokens", "max_tokens")
 
 
-def eligibility(entries: DataFrame, retrieved_at: str, banned: tuple[str, ...] = ()) -> DataFrame:
+def eligibility(entries: DataFrame, retrieved_at: str | Column, banned: tuple[str, ...] = ()) -> DataFrame:
     """Adds eligible and rejection_reasons (sorted, distinct) to catalogue entries.
 
     Columns: id, canonical_slug, prompt_price, completion_price, input_modalities, output_modalities, parameters,
     context_length, completion_limits (array of numbers), availability, status, expires_at. Whatever can't be verified
     counts against an entry.
     """
-    at = F.to_timestamp(F.lit(retrieved_at))
+    at = F.to_timestamp(F.lit(retrieved_at) if isinstance(retrieved_at, str) else retrieved_at)
     price = lambda c: F.col(c).try_cast("decimal(38,18)")
     has = lambda c, v: F.coalesce(F.array_contains(c, v), F.lit(False))
     limit = F.array_max(F.filter("completion_limits", lambda x: x > 0))
