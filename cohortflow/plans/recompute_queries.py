@@ -30,9 +30,10 @@ _PHRASES = ("medical",)
 
 
 def _snapshots(spark, sf_dir, today: bool):
-    """Raw catalogues as JSON texts; of today's, some are lost and some cut off."""
+    """Raw catalogues as JSON texts; of today's, some are lost and some cut off. One whose entries have all gone is an empty list."""
     k = F.col("o_orderkey")
-    o = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").distinct().where((k % 29 != 0) if today else (k % 31 != 0))
+    o = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").distinct()
+    listed = (k % 29 != 0) if today else (k % 31 != 0)
     price = F.when((k % 23 == 0) & F.lit(today), "0.5").otherwise("0")
     texts = F.array(F.lit("text"))
     entry = F.struct(
@@ -45,11 +46,12 @@ def _snapshots(spark, sf_dir, today: bool):
         F.struct(F.lit(8192).alias("max_completion_tokens")).alias("top_provider"),
         F.lit("active").alias("status"),
     )
-    body = F.to_json(F.collect_list(entry))  # a customer's orders
+    body = F.to_json(F.collect_list(F.when(listed, entry)))  # a customer's orders
     if today:
         body = F.when(F.col("o_custkey") % 17 == 0, F.concat(F.lit("<"), body)).otherwise(body)
-    found = o.groupBy("o_custkey").agg(body.alias("body")).select(F.col("o_custkey").alias("snapshot_id"), F.to_timestamp(F.lit("2026-09-01 00:00:00")).alias("retrieved_at"), "body")
-    return found.where("snapshot_id % 17 = 0 OR snapshot_id % 19 <> 0") if today else found
+    found = o.groupBy(F.col("o_custkey").alias("snapshot_id")).agg(body.alias("body"), F.count(F.when(listed, 1)).alias("n"))
+    found = found.where("CASE WHEN snapshot_id % 17 = 0 THEN n > 0 ELSE snapshot_id % 19 <> 0 END") if today else found
+    return found.select("snapshot_id", F.to_timestamp(F.lit("2026-09-01 00:00:00")).alias("retrieved_at"), "body")
 
 
 @query(f"""WITH {_CATALOGUES}, b AS (SELECT * FROM f WHERE c % 17 <> 0 AND c % 19 <> 0), j AS (SELECT coalesce(b.c, t.c) AS snapshot_id, coalesce(b.id, t.id) AS id, coalesce(b.k, t.k) AS k, b.c IS NULL AS fresh, t.c IS NULL AS gone, b.ok AS ok, b.pos IS DISTINCT FROM t.pos AS moved FROM b FULL JOIN t USING (c, id)),
