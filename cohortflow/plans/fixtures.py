@@ -63,15 +63,21 @@ cells AS (SELECT run_id, turn_number AS t, count(*) AS c, {", ".join(f"CASE WHEN
   FROM rated GROUP BY run_id, turn_number)"""
 
 
+#: Line items that a task of rater_items holds on average.
+ITEMS = 100_000
+
+
 def rater_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, source (human and three judges), axis and rating; some judges shift some scores by one."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    item = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.max(F.col("l_quantity").cast("int")).alias("q"))
+    # All rows of an item stay in the task that it is dealt to, whatever they are grouped by next; a task's share is bounded.
+    dealt = li.withColumn("item_id", F.concat_ws("_", "l_orderkey", "l_linenumber")).repartition(max(1, -(-li.count() // ITEMS)), "item_id")
+    item = dealt.groupBy("item_id", "l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.max(F.col("l_quantity").cast("int")).alias("q"))
     a = F.when(F.col("s") % 5 == 0, "N/A").otherwise((F.col("s") % 3).cast("string"))
-    wide = item.select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("item_id"), "p", (F.col("q") % 3).cast("string").alias("A1"), a.alias("A2"), (F.col("p") % 2).cast("string").alias("A3"))
-    long = wide.unpivot(["item_id", "p"], ["A1", "A2", "A3"], "axis", "base")
-    source = F.explode(F.array(*(F.struct(F.lit(n).alias("source"), F.lit(i).alias("judge")) for i, n in enumerate(("human", "judge_1", "judge_2", "judge_3"))))).alias("x")
-    rows = long.select("item_id", "p", "axis", "base", source).select("*", "x.source", "x.judge").drop("x")
+    base = {"A1": (F.col("q") % 3).cast("string"), "A2": a, "A3": (F.col("p") % 2).cast("string")}
+    cell = lambda axis, c, source, judge: F.struct(F.lit(axis).alias("axis"), c.alias("base"), F.lit(source).alias("source"), F.lit(judge).alias("judge"))
+    cells = F.array(*(cell(x, c, n, i) for x, c in base.items() for i, n in enumerate(("human", "judge_1", "judge_2", "judge_3"))))
+    rows = item.select("item_id", "p", F.explode(cells).alias("x")).select("item_id", "p", "x.*")
     shifted = (F.col("judge") > 0) & ((F.col("p") + 7 * F.col("judge") + F.substring("axis", 2, 1).cast("int")) % 10 < 2)
     moved = F.when(F.col("base") == "N/A", "0").otherwise(((F.col("base").try_cast("int") + 1) % F.when(F.col("axis") == "A3", 2).otherwise(3)).cast("string"))
     return rows.select("item_id", "source", "axis", F.when(shifted, moved).otherwise(F.col("base")).alias("rating"))
