@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNWEIGHTED = ("A3",)
@@ -84,20 +84,24 @@ def majority_vote(raters: DataFrame, reference: str, judges: Sequence[str]) -> D
     """Per axis: the judges' majority (at least half of them and one more) against the reference, "N/A" as a vote like any other."""
     need = len(judges) // 2 + 1
     votes = raters.withColumn("rating", F.coalesce("rating", F.lit("N/A")))
-    j = votes.where(F.col("source").isin(*judges)).groupBy("item_id", "axis", "rating").agg(F.count("*").alias("c"))
-    top = j.groupBy("item_id", "axis").agg(F.max_by("rating", F.col("c")).alias("vote"), F.max("c").alias("c"))
-    ref = votes.where(F.col("source") == reference).select("item_id", "axis", F.col("rating").alias("ref"))
-    rows = ref.join(top, ["item_id", "axis"], "left").select("axis", "ref", F.when(F.col("c") >= need, F.col("vote")).alias("vote"), (F.col("c") == len(judges)).alias("all"))
+    judge = F.col("source").isin(*judges) & F.col("item_id").isNotNull() & F.col("axis").isNotNull()
+    ref = F.col("source") == reference
+    by_rating = votes.where(judge | ref).groupBy("item_id", "axis", "rating").agg(F.count(F.when(judge, 1)).alias("c"), F.count(F.when(ref, 1)).alias("m"))
+    top = F.max(F.when(F.col("c") > 0, F.struct("c", "rating"))).over(Window.partitionBy("item_id", "axis"))
+    # Only counts of (reference, vote) go on: m is how many ratings of the reference a row stands for.
+    met = by_rating.select("axis", F.col("rating").alias("ref"), "m", top.alias("top")).where("m > 0")
+    rows = met.groupBy("axis", "ref", F.when(F.col("top.c") >= need, F.col("top.rating")).alias("vote"), (F.col("top.c") == len(judges)).alias("all")).agg(F.sum("m").alias("m"))
     rows = rows.select("*", F.col("ref").try_cast("int").alias("a"), F.col("vote").try_cast("int").alias("b"))
-    n = lambda c: F.count(F.when(c, 1))
+    total = F.sum("m")
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0)).cast("long")
     available, numeric = F.col("vote").isNotNull(), F.col("a").isNotNull() & F.col("b").isNotNull()
     na_ref, na_vote = F.col("ref") == "N/A", F.col("vote") == "N/A"
     weighted = ~F.max("axis").isin(*UNWEIGHTED)
     share = lambda a, b: F.when(b > 0, a / b)
     return rows.groupBy("axis").agg(
-        F.count("*").alias("total_items"),
+        total.alias("total_items"),
         n(available).alias("majority_available"),
-        share(n(available), F.count("*")).alias("majority_available_rate"),
+        share(n(available), total).alias("majority_available_rate"),
         n(F.col("all")).alias("judges_unanimous"),
         n(available & (F.col("ref") == F.col("vote"))).alias("exact_matches"),
         share(n(available & (F.col("ref") == F.col("vote"))), n(available)).alias("exact_agreement"),
@@ -106,7 +110,7 @@ def majority_vote(raters: DataFrame, reference: str, judges: Sequence[str]) -> D
         n(na_ref & na_vote).alias("both_na"),
         n(na_ref & available & ~na_vote).alias("reference_na_only"),
         n(~na_ref & na_vote).alias("majority_na_only"),
-        _kappa(F.col("a"), F.col("b"), weighted).alias("kappa"),
+        _kappa(F.col("a"), F.col("b"), weighted, F.col("m")).alias("kappa"),
         F.when(weighted, "linear_weighted").otherwise("unweighted").alias("kappa_method"),
     )
 
