@@ -56,7 +56,7 @@ def cluster_bootstrap(frame: DataFrame, sums: Mapping[str, Column], statistic: C
     # Blocks: as many as the group's units ask for; their sizes are counted, not assumed.
     count = facts.select(*by, F.ceil(F.col("n_units") / BLOCK).alias("_blocks"), own.alias("_own"))
     dealt = units.join(count, by).withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int"))
-    blocks = dealt.groupBy(*by, "_own", "_block").agg(F.count("*").alias("_m"), F.array_sort(F.collect_list(F.struct(F.col("_key").cast("string").alias("k"), *names))).alias("_x"))
+    blocks = dealt.groupBy(*by, "_own", "_block").agg(F.count("*").alias("_m"))
     # First level: a row per slice of resamples, with the blocks' sizes (one number for each 4,096 units).
     sizes = blocks.groupBy(*by, "_own").agg(F.array_sort(F.collect_list(F.struct("_block", "_m"))).alias("_sizes"))
     slices = sizes.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // SLICE))))
@@ -70,22 +70,23 @@ def cluster_bootstrap(frame: DataFrame, sums: Mapping[str, Column], statistic: C
                 many = min(SLICE, resamples - row["_slice"] * SLICE)
                 totals = rng.multinomial(m.sum(), m / m.sum(), size=many)
                 out = pd.DataFrame({g: [row[g]] * len(m) for g in by})
-                yield out.assign(_block=np.array([s["_block"] for s in row["_sizes"]], np.int32), _slice=row["_slice"], _totals=list(totals.T))
-
-    totals = slices.repartition(*by, "_slice").select(*by, "_own", "_slice", "_sizes").mapInPandas(deal, f"{place}_block int, _slice int, _totals array<long>")
-    work = totals.join(blocks, [*by, "_block"]).select(*by, "_own", "_block", "_slice", "_totals", "_x").repartition(*by, "_block", "_slice")
-
-    def weigh(batches):
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                x = np.array([[e[n] for n in names] for e in row["_x"]], float)
-                rng = np.random.default_rng([row["_own"] % (1 << 64), row["_slice"], row["_block"] + 1])
-                weights = np.array([np.bincount(rng.integers(0, len(x), k), minlength=len(x)) for k in row["_totals"]])
-                out = pd.DataFrame({g: [row[g]] * len(weights) for g in by})
-                out["_resample"] = row["_slice"] * SLICE + np.arange(len(weights))
-                yield out.assign(**dict(zip(names, (weights @ x).T, strict=True)))
-
-    drawn = work.mapInPandas(weigh, f"{place}_resample long, " + ", ".join(f"`{n}` double" for n in names))
+                yield out.assign(_own=row["_own"], _block=np.array([s["_block"] for s in row["_sizes"]], np.int32), _slice=row["_slice"], _totals=list(totals.T))
+
+    totals = slices.repartition(*by, "_slice").select(*by, "_own", "_slice", "_sizes").mapInPandas(deal, f"{place}_own long, _block int, _slice int, _totals array<long>")
+    rows = dealt.select(*by, "_block", F.col("_key").cast("string").alias("_k"), *names)
+
+    def weigh(key, units, draws):
+        """One block: its units once, for all slices, so a worker holds a block and a slice of weights."""
+        x = units.sort_values("_k")[names].to_numpy(float)
+        found = []
+        for own, s, totals in zip(draws["_own"], draws["_slice"], draws["_totals"], strict=True):
+            rng = np.random.default_rng([own % (1 << 64), s, key[-1] + 1])
+            sums = np.stack([np.bincount(rng.integers(0, len(x), k), minlength=len(x)) for k in totals]) @ x
+            found.append(pd.DataFrame({"_resample": s * SLICE + np.arange(len(sums)), **dict(zip(names, sums.T, strict=True))}))
+        out = pd.concat(found)
+        return pd.DataFrame({g: [v] * len(out) for g, v in zip(by, key, strict=False)}).assign(**{c: out[c].to_numpy() for c in out})
+
+    drawn = rows.groupBy(*by, "_block").cogroup(totals.groupBy(*by, "_block")).applyInPandas(weigh, f"{place}_resample long, " + ", ".join(f"`{n}` double" for n in names))
     tried = drawn.groupBy(*by, "_resample").agg(*(F.sum(n).alias(n) for n in names)).withColumn("_v", statistic)
     fine = F.when(~F.isnan("_v") & (F.abs("_v") != float("inf")), F.col("_v"))
     alpha = (1 - confidence) / 2

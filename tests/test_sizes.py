@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import agreement
+from cohortflow.operators import agreement, bootstrap
 from cohortflow.plans import fixtures, rating_queries
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,11 @@ def test_majority_of_repeated_and_missing_ratings(spark):
     got = [r[c] for c in ("total_items", "majority_available", "judges_unanimous", "exact_matches", "numeric_pairs", "both_na", "reference_na_only")]
     assert got == [4, 2, 0, 1, 2, 0, 0]
     assert agreement.majority_vote(f.limit(0), "h", ("a", "b", "c")).count() == 0
+
+
+def test_bootstrap_never_repeats_units_for_slices(spark):
+    rows = spark.range(50).select(F.col("id").alias("u"), (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
+    found = bootstrap.mean_bootstrap(rows, "v", unit="u", groups=("g",), resamples=250)
+    plan = plan_of(found)[0]
+    assert "FlatMapCoGroups" in plan and "collect_list(struct(k" not in plan
+    assert [r["n_successful_resamples"] for r in found.collect()] == [250, 250]
