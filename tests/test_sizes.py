@@ -1,12 +1,15 @@
 """What a task or the driver holds doesn't grow with the tables."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from cohortflow.functions import literals, text
 from cohortflow.operators import agreement, bootstrap
 from cohortflow.plans import fixtures, rating_queries
+from cohortflow.sources import event_store
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -42,3 +45,24 @@ def test_bootstrap_never_repeats_units_for_slices(spark):
     plan = plan_of(found)[0]
     assert "FlatMapCoGroups" in plan and "collect_list(struct(k" not in plan
     assert [r["n_successful_resamples"] for r in found.collect()] == [250, 250]
+
+
+def test_markers_are_searched_plainly_where_none_overlaps(spark):
+    assert "regexp" not in str(text.marker_count(F.col("x"), "you are right")) and "regexp" in str(text.marker_count(F.col("x"), "so and so"))
+    rows = spark.createDataFrame([("so and so and so you are right ünd you are right",), ("",), ("sou are right so",)], "x string")
+    line = text.spaced(text.words(F.col("x")))
+    assert [tuple(r) for r in rows.select(text.marker_count(line, "you are right"), text.marker_count(line, "so and so"), text.marker_count(line, "ünd")).collect()] == [(2, 2, 1), (0, 0, 0), (0, 0, 0)]
+
+
+def test_errors_that_repeat_are_parsed_once():
+    literals._known.cache_clear()
+    assert [literals._known("{'code': 503, 'message': 'Busy'}", None) for _ in range(9)] == [(503, "Busy")] * 9
+    assert literals._known.cache_info().misses == 1
+
+
+def test_names_are_whole_where_the_beginning_is_not_enough(spark):
+    assert "btrim" in str(event_store.safe_name(F.col("x")))
+    names = ["a" * 179 + "/" * 2000, "." * 1030 + "b", "x" + "/" * 1500 + "y" * 300, "ab-" * 500, "é" * 3000 + "z", "..a..", "q" * 179 + "-" + "r" * 900, "w" * 178 + "-." + "é" * 2000]
+    want = [re.sub(r"^[-._]+|[-._]+$", "", re.sub(r"[^A-Za-z0-9._-]+", "-", n))[:180] for n in names]
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, x string").orderBy("i")
+    assert [r[0] for r in rows.select(event_store.safe_name(F.col("x"))).collect()] == want
