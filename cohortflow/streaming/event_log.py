@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -31,51 +32,57 @@ _RUN = "turns int, errors int, status string, next_turn int, failures int, wait_
 
 
 class _Progress(StatefulProcessor):
-    """A run's successes by turn, its errors by event id and the timer of its next retry."""
+    """A run's successes by turn, its errors by event id and the timer of its next retry: one value, read and written once a batch."""
 
     def __init__(self, planned: int, first: int, most: int, cycles: int):
         self.planned, self.first, self.most, self.cycles = planned, first, most, cycles
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.turns = handle.getMapState("turns", "turn int", "us bigint")
-        self.errors = handle.getMapState("errors", "event_id string", "us bigint")
-        self.timer = handle.getValueState("timer", "ms bigint")
+        self.state = handle.getValueState("run", "json string")
 
     def handleInputRows(self, key, rows, timerValues):
-        for frame in rows:
-            for event, kind, turn, us in zip(frame["event"], frame["kind"], frame["turn"], frame["us"], strict=True):
-                # Whatever comes twice, or late, finds its own place again: the state is the same in any order.
-                if kind == "error":
-                    self.errors.updateValue((event,), (int(us),))
-                elif 1 <= turn <= self.planned:
-                    old = self.turns.getValue((int(turn),)) if self.turns.containsKey((int(turn),)) else (int(us),)
-                    self.turns.updateValue((int(turn),), (max(old[0], int(us)),))
-        yield self._state(key, None)
+        turns, errors, due = self._read()
+        for r in rows:
+            # Whatever comes twice, or late, finds its own place again: the state is the same in any order.
+            at, what, *event = r.fact.split(" ", 2)
+            us = int(at)
+            if what == "error":
+                errors[event[0]] = max(errors.get(event[0], us), us)
+            elif 1 <= int(what) <= self.planned:
+                turns[int(what)] = max(turns.get(int(what), us), us)
+        now = self._row(key, turns, errors)
+        new = max(errors.values()) // 1000 + now.wait_seconds * 1000 if now.wait_seconds is not None else None
+        if new != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if new is not None:
+                self.handle.registerTimer(new)
+        self._write(turns, errors, new)
+        yield now
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.timer.clear()
-        yield self._state(key, "retry_due")
+        turns, errors, _ = self._read()
+        self._write(turns, errors, None)
+        yield self._row(key, turns, errors, "retry_due")
+
+    def _read(self):
+        old = self.state.get()
+        turns, errors, due = json.loads(old[0]) if old else ({}, {}, None)
+        return {int(t): us for t, us in turns.items()}, errors, due
+
+    def _write(self, turns, errors, due):
+        self.state.update((json.dumps([turns, errors, due]),))
 
-    def _state(self, key, note):
-        turns = {k[0]: v[0] for k, v in self.turns.iterator()}
-        errors = [v[0] for _, v in self.errors.iterator()]
+    def _row(self, key, turns, errors, note=None):
         missing = [t for t in range(1, self.planned + 1) if t not in turns]
         last = max(turns.values(), default=None)
-        failures = sum(last is None or us > last for us in errors)
+        failures = sum(last is None or us > last for us in errors.values())
         status = "completed" if not missing else "partial" if turns else "failed" if errors else "planned"
         wait = min(self.most, self.first * 2 ** min(failures - 1, 30)) if missing and 0 < failures < self.cycles else None
-        if note is None:
-            if self.timer.exists():
-                self.handle.deleteTimer(self.timer.get()[0])
-                self.timer.clear()
-            if wait is not None:
-                due = max(errors) // 1000 + wait * 1000
-                self.handle.registerTimer(due)
-                self.timer.update((due,))
         if missing and failures >= self.cycles:
             note = "gave_up"
-        return pd.DataFrame({"run": [key[0]], "turns": [len(turns)], "errors": [len(errors)], "status": [status], "next_turn": pd.array([missing[0] if missing else None], "Int32"), "failures": [failures], "wait_seconds": pd.array([wait], "Int32"), "note": [note]})
+        return Row(run=key[0], turns=len(turns), errors=len(errors), status=status, next_turn=missing[0] if missing else None, failures=failures, wait_seconds=wait, note=note)
 
     def close(self) -> None:
         pass
@@ -89,16 +96,19 @@ def run_progress(events: DataFrame, planned: int = 6, first_wait: int = 3, longe
     'retry_due' comes when event time passes the wait; after `cycles` failures in a row there is no wait, and the note is
     'gave_up'. Repeated events change nothing, late ones count as long as the watermark allows, and a run's last row is
     the same in whatever order its events came; successes outside 1..planned, and rows without a run, event id or time,
-    count for nothing. State: one entry for each planned turn and each error of a run. The session needs the RocksDB
+    count for nothing. State: one value a run with an entry for each planned turn and each error, which a batch reads and
+    writes once. Of an event that comes with several times the latest counts. The session needs the RocksDB
     state store.
     """
     usable = F.col(run).isNotNull() & F.col("event_id").isNotNull() & F.col("ts").isNotNull()
-    rows = events.where(usable).select(
+    time = F.col("ts").cast("timestamp")
+    failed = F.col("kind") == "error"
+    turn = F.coalesce(F.col("turn_number").cast("int"), F.lit(0)).cast("string")
+    # Workers take rows apart one by one, so what they need of a row is one text.
+    rows = events.where(usable & F.col("kind").isin("success", "error")).select(
         F.col(run).cast("string").alias("run"),
-        F.col("event_id").cast("string").alias("event"),
-        F.coalesce("kind", F.lit("")).alias("kind"),
-        F.coalesce(F.col("turn_number").cast("int"), F.lit(0)).alias("turn"),
-        F.col("ts").cast("timestamp").alias("time"),
-    ).where("kind IN ('success', 'error')").withColumn("us", F.unix_micros("time"))
-    states = rows.withWatermark("time", lateness).groupBy("run").transformWithStateInPandas(_Progress(planned, first_wait, longest_wait, cycles), f"run string, {_RUN}", "Update", "EventTime")
+        F.concat_ws(" ", F.unix_micros(time), F.when(failed, "error").otherwise(turn), F.when(failed, F.col("event_id").cast("string"))).alias("fact"),
+        time.alias("time"),
+    )
+    states = rows.withWatermark("time", lateness).groupBy("run").transformWithState(_Progress(planned, first_wait, longest_wait, cycles), f"run string, {_RUN}", "Update", "EventTime")
     return states.withColumnRenamed("run", run)

@@ -8,6 +8,7 @@ import random
 import pytest
 from cohortflow.operators import events as batch
 from cohortflow.streaming import event_log
+from pyspark.sql import Row
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SCHEMA = "run_id string, event_id string, kind string, turn_number int, ts timestamp"
@@ -83,3 +84,44 @@ def test_retries_fall_due_and_end(rocks, tmp_path):
     assert of("d") == [("failed", 10, None, "gave_up")]
     assert of("late") == []  # beyond the watermark by more than the lateness
     assert [r["next_turn"] for r in got if r["run_id"] == "c"] == [2, 3, 3, 4, 5]
+
+
+def test_a_batch_reads_and_writes_a_runs_state_once():
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+
+        def deleteTimer(self, ms):
+            calls.append("timer")
+
+    p = event_log._Progress(6, 3, 60, 10)
+    p.init(Handle())
+    facts = [Row(fact=f"{1000 * i} error event {i}") for i in range(2000)] + [Row(fact=f"{1000 * i} {i % 5 + 1}") for i in range(1990, 1998)]
+    for _ in range(2):
+        (got,) = p.handleInputRows(("run_1",), iter(facts), None)
+        assert (got.turns, got.errors, got.failures, got.next_turn, got.wait_seconds) == (5, 2000, 2, 6, 6)
+    assert calls == ["get", "timer", "update", "get", "update"]
+
+
+def test_an_error_that_comes_with_two_times_counts_at_the_later_one_in_any_order(rocks, tmp_path):
+    late, early = row("a", "e 1", "error", 1, 50), row("a", "e 1", "error", 1, 10)
+    for name, files in (("up", [[early], [late]]), ("down", [[late], [early]])):
+        (tmp_path / name).mkdir()
+        got = replay(rocks, tmp_path / name, [[row("a", "s", "success", 1, 20)], *files], "10 days")
+        assert (got[-1]["errors"], got[-1]["failures"], got[-1]["wait_seconds"]) == (1, 1, 3)
