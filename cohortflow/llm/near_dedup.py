@@ -37,6 +37,8 @@ from cohortflow.llm._text import SPACE, U, framed, kept, mix, shingle_hashes, si
 BANDS = 32
 ROWS = 5
 SKETCH_BITS = 512
+#: Bits of the filter that keeps texts without a counterpart out of a shuffle: 2^18 rows are broadcast at most.
+FILTER_BITS = 1 << 24
 
 _WORDS = SKETCH_BITS // 64
 _SKETCH = [f"s{i}" for i in range(_WORDS)]
@@ -197,6 +199,16 @@ def _prefix_pairs(side: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.greatest("a.cls", "b.cls").alias("u"), F.least("a.cls", "b.cls").alias("v")).distinct()
 
 
+def _with_filter(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """`docs` with `maybe`: false only where no row of `keys` (doc_id, tk) has the row's id and text key."""
+    bit = lambda text_key: F.pmod(F.xxhash64("doc_id", text_key), F.lit(FILTER_BITS))
+    # Of 64 bits a row each; true for some others too, the more the fuller it is, so an exact join has to follow.
+    words = keys.select(bit("tk").alias("b")).groupBy(F.expr("b div 64").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("_bits"))
+    placed = docs.withColumn("_b", bit(F.xxhash64("text"))).withColumn("_w", F.expr("_b div 64"))
+    hit = F.expr("coalesce(_bits & shiftleft(1L, CAST(_b % 64 AS INT)), 0L) <> 0")
+    return placed.join(F.broadcast(words), "_w", "left").withColumn("maybe", hit).drop("_w", "_b", "_bits")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: doc_id, tk (xxhash64 of the text), n_shingles, component_id, kept and the component's key."""
     spark: SparkSession = docs.sparkSession
@@ -215,8 +227,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     members = kept(spark, found.join(leaders, "key"))
     candidates = members.select("cls").distinct()
     # The full sets of candidates only: their representatives' texts are found again by id and text key.
-    wanted = classes.join(candidates, "cls").select(F.col("rep.doc_id").alias("_id"), F.col("rep.tk").alias("_tk")).hint("shuffle_hash")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tk")), "left_semi")
+    reps = kept(spark, classes.join(candidates, "cls").select("rep.doc_id", "rep.tk"))
+    wanted = reps.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).hint("shuffle_hash")
+    likely = _with_filter(docs, reps).where("maybe").select("doc_id", "text")
+    texts = likely.join(wanted, likely["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(likely["text"]) == F.col("_tk")), "left_semi")
     sets = kept(spark, _full_sets(texts, shingle_words).dropDuplicates(["cls"]))
     sketches = kept(spark, one.join(candidates, "cls", "left_semi").select("cls", F.col("n_shingles").alias("n"), *_SKETCH))
     labels = kept(spark, candidates.select("cls", F.col("cls").alias("comp")))
@@ -271,8 +285,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = kept(spark, near_duplicates(own, shingle_words=2))
     key = F.xxhash64("d.text")
     same = lambda side: F.col("d.doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & (key == F.col(f"{side}.tk"))
-    gone = found.where("not kept").select("doc_id", "tk").distinct().hint("shuffle_hash")
-    rest = own.alias("d").join(gone.alias("g"), same("g"), "left_anti")
+    gone = found.where("not kept").select("doc_id", "tk").distinct()
+    # Most texts have no copy to be told from, so they needn't travel.
+    held = _with_filter(own, gone)
+    looked_up = held.where("maybe").drop("maybe").alias("d").join(gone.hint("shuffle_hash").alias("g"), same("g"), "left_anti")
+    rest = held.where("not maybe").drop("maybe").unionByName(looked_up)
     # Rows that repeat an id as well as a text are kept together above; only such tables need another look.
     grouped = found.where("kept and component is not null")
     twice = grouped.groupBy("component").count().where("count > 1")

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 from cohortflow.llm import ann, byte_bpe, chat_format, decontamination, entry, language_id, line_dedup, lm_scoring, near_dedup, toxicity
+from cohortflow.llm._text import shared_folder
 from oracle import rows
 from pyspark.sql import functions as F
 
@@ -369,3 +370,25 @@ def test_chat_parts(spark):
     assert a["piece"] == "<|im_start|>assistant\nsee <\\|image|> <|image|><|audio|><|document|><|image|><|im_end|>\n"
     assert [(x["place"], x["kind"], x["ref"], x["tokens"]) for x in a["attachments"]] == [(1, "image", "a.png", 3), (2, "audio", "b.wav", 38), (3, "document", "c.pdf", 2048), (4, "image", "d.png", 1)]
     assert a["expanded"] == 3 + 38 + 2048 + 1 and b["piece"] == "<|im_start|>user\nplain<|im_end|>\n" and b["loss_from"] == b["loss_to"]
+
+
+def test_near_dedup_moves_no_texts_that_have_no_copy(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.bytes(4).hex() for _ in range(12000)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "one two three", "one two three"])], "doc_id long, text string").repartition(4)
+    docs.write.mode("overwrite").parquet(path := f"{shared_folder(spark)}/texts-that-stay")
+    bus, driver = spark.sparkContext._jsc.sc().listenerBus(), lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    bus.waitUntilEmpty()
+    before = driver()
+    kept_ids = sorted(r["doc_id"] for r in near_dedup.stage(spark, spark.read.parquet(path), "").select("doc_id").collect())
+    bus.waitUntilEmpty()
+    assert kept_ids == list(range(41))
+    assert driver() - before < sum(map(len, texts)) / 4
+
+
+def test_a_full_filter_changes_nothing(spark, tiny, monkeypatch):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    ids = lambda: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in near_dedup.stage(spark, docs, tiny).select("doc_id", "text").collect())
+    want = ids()
+    monkeypatch.setattr(near_dedup, "FILTER_BITS", 64)
+    assert ids() == want
