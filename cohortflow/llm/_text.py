@@ -51,11 +51,16 @@ _PRIME = (1 << 31) - 1
 _POINTS = ((1_340_017_229, 702_184_663), (1_998_733_051, 415_926_539))
 
 
+def _entries(n: int) -> int:
+    """How many entries a table gets for n that are asked for: few for short texts, as the driver keeps its tables as long as it lives."""
+    return max(n, min(CHUNK_BYTES + 65536, max(1 << 16, 1 << (n - 1).bit_length())))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R^i and R^-i modulo 2^64 for i < n; kept between calls up to the size of a chunk."""
     have = _tables.get("p")
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 65536)
+        size = _entries(n)
         p = np.full(size, U(_R))
         q = np.full(size, U(pow(_R, -1, 1 << 64)))
         p[0] = q[0] = 1
@@ -78,7 +83,7 @@ def _residues(n: int, point: int) -> tuple[np.ndarray, np.ndarray]:
     have = _tables.get(f"m{point}")
     if have is not None and len(have[0]) >= n:
         return have
-    size = max(n, CHUNK_BYTES + 65536)
+    size = _entries(n)
     found = []
     for base in (point, pow(point, -1, _PRIME)):
         p = np.ones(size, np.uint64)

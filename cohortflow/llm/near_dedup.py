@@ -135,24 +135,29 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls binary, items array<long>")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node of the distinct edges (u, v) is either tied to one other, or others are tied to it."""
+    as_child = F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
+    as_parent = F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
+    roles = edges.select(F.inline(F.array(as_child, as_parent))).groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return roles.where("child > 1 OR child > 0 AND parent > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an undirected graph (u, v); the root is the component's smallest node."""
+    """(node, root) for every node of an undirected graph (u, v) but the roots, the smallest nodes of the components."""
     spark = edges.sparkSession
+    tie = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     edges = kept(spark, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = None
-    while (now := tuple(print_of(edges))) != before and now[0]:
-        before = now
-        # Large star: every larger neighbour of u is tied to the smallest of u and its neighbours.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while not _settled(edges):
+        # Large star: every larger neighbour of u is tied to the smallest of u and its neighbours. An edge gives one at most.
+        both = edges.select(F.inline(F.array(tie("u", "v"), tie("v", "u"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: u and its smaller neighbours are tied to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(least, "u").select(F.inline(F.array(tie("v", "m"), tie("u", "m")))).where("u <> v").distinct()
         edges = kept(spark, small)
-    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _sketch_bound(threshold: float) -> int:
@@ -214,42 +219,39 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     spark: SparkSession = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sig = kept(spark, signatures(docs, shingle_words))
-    classes = sig.groupBy("cls").agg(F.min(F.struct("doc_id", "tk")).alias("rep"), F.min("doc_id").alias("smallest"))
-    one = sig.dropDuplicates(["cls"])
+    alike = [F.first(c).alias(c) for c in ("n_shingles", "bands", *_SKETCH)]
+    one = kept(spark, sig.groupBy("cls").agg(F.min(F.struct("doc_id", "tk")).alias("rep"), F.min("doc_id").alias("smallest"), *alike))
 
     keyed = one.select("cls", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    found = kept(spark, keyed.join(crowded, "key").select("key", "cls", "size"))
+    # Candidates are classes that share a bucket; a class has a bucket for each band at most.
+    placed = keyed.join(crowded, "key").groupBy("cls").agg(F.collect_list(F.struct("key", "size")).alias("buckets"), F.sum("size").alias("weight"))
+    candidates = kept(spark, placed.join(one.select("cls", "rep", F.col("n_shingles").alias("n"), *_SKETCH), "cls"))
     # The most central member leads: the one whose bands the most others share, in a group of copies their original.
-    central = found.groupBy("cls").agg(F.sum("size").alias("weight"))
-    weighed = found.join(central, "cls")
+    weighed = candidates.select("cls", "weight", F.inline("buckets"))
     leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("l")).select("key", F.col("l.cls").alias("lead"))
-    members = kept(spark, found.join(leaders, "key"))
-    candidates = members.select("cls").distinct()
+    members = kept(spark, weighed.select("key", "cls", "size").join(leaders, "key"))
     # The full sets of candidates only: their representatives' texts are found again by id and text key.
-    reps = kept(spark, classes.join(candidates, "cls").select("rep.doc_id", "rep.tk"))
+    reps = candidates.select("rep.doc_id", "rep.tk")
     wanted = reps.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).hint("shuffle_hash")
     likely = _with_filter(docs, reps).where("maybe").select("doc_id", "text")
     texts = likely.join(wanted, likely["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(likely["text"]) == F.col("_tk")), "left_semi")
     sets = kept(spark, _full_sets(texts, shingle_words).dropDuplicates(["cls"]))
-    sketches = kept(spark, one.join(candidates, "cls", "left_semi").select("cls", F.col("n_shingles").alias("n"), *_SKETCH))
-    labels = kept(spark, candidates.select("cls", F.col("cls").alias("comp")))
+    sketches = candidates.select("cls", "n", *_SKETCH)
 
-    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-        own = labels.select(F.col("cls").alias("u"), F.col("comp").alias("cu"))
-        other = labels.select(F.col("cls").alias("v"), F.col("comp").alias("cv"))
-        tied = links.join(own, "u").join(other, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")).where("u <> v")
-        roots = components(tied)
+    def merged(labels: DataFrame, ties: DataFrame) -> DataFrame:
+        roots = components(ties)
         return kept(spark, labels.join(roots, labels["comp"] == roots["node"], "left").select("cls", F.coalesce("root", "comp").alias("comp")))
 
     def star(pairs: DataFrame) -> DataFrame:
         a = sketches.alias("a")
         b = sketches.alias("b")
         near = pairs.join(a, F.col("u") == F.col("a.cls")).join(b, F.col("v") == F.col("b.cls")).where(_plausible(percent)).select("u", "v")
-        return kept(spark, _confirmed(kept(spark, near), sets, percent))
+        return _confirmed(kept(spark, near), sets, percent)
 
-    links = star(members.where("cls <> lead").select(F.col("cls").alias("u"), F.col("lead").alias("v")).distinct())
-    labels = merged(labels, links)
+    # A class has a leader for each of its buckets at most.
+    led = members.where("cls <> lead").select(F.col("cls").alias("u"), "lead").groupBy("u").agg(F.collect_set("lead").alias("leads"))
+    labels = merged(candidates.select("cls", F.col("cls").alias("comp")), star(led.select("u", F.explode("leads").alias("v"))))
 
     # Buckets of three and more whose members still lie in several components: all that is left to compare.
     now = members.where("size > 2").select("key", "cls").join(labels, "cls")
@@ -257,11 +259,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     now = kept(spark, now.join(split, "key"))
     if not now.isEmpty():
         shares = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-        side = now.join(shares, "key").groupBy("cls", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("outside"))
-        pairs = _prefix_pairs(side, sets, percent)
-        labels = merged(labels, star(pairs))
+        side = now.join(shares, "key").groupBy("cls").agg(F.min("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("outside"))
+        links = star(_prefix_pairs(side, sets, percent))
+        own = labels.select(F.col("cls").alias("u"), F.col("comp").alias("cu"))
+        other = labels.select(F.col("cls").alias("v"), F.col("comp").alias("cv"))
+        labels = merged(labels, links.join(own, "u").join(other, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
 
-    named = classes.join(labels, "cls", "left").select("cls", "smallest", F.coalesce("comp", "cls").alias("component"))
+    named = one.select("cls", "smallest").join(labels, "cls", "left").select("cls", "smallest", F.coalesce("comp", "cls").alias("component"))
     names = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     of_class = named.join(names, "component").select("cls", "component", "component_id")
     linked = sig.select("doc_id", "tk", "cls", "n_shingles").join(of_class, "cls", "left")
@@ -287,7 +291,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = lambda side: F.col("d.doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & (key == F.col(f"{side}.tk"))
     gone = found.where("not kept").select("doc_id", "tk").distinct()
     # Most texts have no copy to be told from, so they needn't travel.
-    held = _with_filter(own, gone)
+    held = _with_filter(own, found.where("not kept"))
     looked_up = held.where("maybe").drop("maybe").alias("d").join(gone.hint("shuffle_hash").alias("g"), same("g"), "left_anti")
     rest = held.where("not maybe").drop("maybe").unionByName(looked_up)
     # Rows that repeat an id as well as a text are kept together above; only such tables need another look.
